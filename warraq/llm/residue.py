@@ -1,0 +1,185 @@
+"""Template rests, filler, error pages and script notices (problem 10).
+
+Character four-gram models of filler, of error and access notices and of
+natural prose give each four-gram a log-likelihood ratio; windows in which the
+ratio speaks for residue are marked, and a document is residue if marked
+windows cover at least ``coverage`` of it. The prose model counts every
+document; the two others are fitted on the seed lines below. Four-grams are
+hashed into ``BUCKETS`` counters, so a model's size doesn't follow the corpus.
+
+Unfilled placeholders are found by their notation. One that is quoted or named
+in a sentence about templates isn't a case, and what stands between quotation
+marks inside a sentence doesn't count as covered.
+
+Defined results: NULL, empty and blank texts are no residue (kind NULL); every
+row gives one row, repeated rows too; columns but the two named are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from warraq.llm.batches import map_rows
+
+BUCKETS = 1 << 17
+COVERAGE = 0.5
+WINDOW = 24
+
+#: Training lines of the filler model.
+FILLER = """Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
+Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.
+Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur.
+Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.
+Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas. Vestibulum ante ipsum primis.
+Nolem exertus labrium dolvus ipran morantul ulcora tarquas velit sed consetum adipras. Viventus donal quoderis merat fegat minver pratum nolem. Labrium sed adipras velit exertus donal.
+Xxxxx xxxx xx xxxxxxx, xxxxxx. Xxx xxxxx. xxxxxx xxxxxxxx xxx
+Text text text text text. Text goes here. Your content goes here. Insert text here. Add your text here.
+This is sample text for layout only. Placeholder text. Dummy text. Replace this paragraph with your abstract.
+Type the introduction in this box. Heading 1 placeholder. Sample heading. Click to edit this text. Write the summary here.
+TBD TBD TBD. TODO TODO. To be added later. Title here - Abstract here - References here
+asdf asdf asdf qwerty qwerty test test test 12345
+null null null undefined undefined, undefined (undefined) NaN. [object Object]. Vol. undefined, No. undefined None None
+هذا نص تجريبي وضع لملء المساحة. سيستبدل لاحقا بنص المقال. فقرة نموذجية لعرض شكل الصفحة فقط.
+هذا النص هو مثال لنص يمكن أن يستبدل في نفس المساحة. لا يحمل هذا النص أي معنى. نص شكلي. نص افتراضي.
+اكتب الملخص في هذا الموضع. عنوان فرعي تجريبي رقم 1. العنوان هنا - الملخص هنا - المراجع هنا. أدخل النص هنا. أضف المحتوى هنا.
+لوريم ايبسوم دولار سيت أميت كونسيكتيتور أدايبا يسكينج أليايت سيت دو أيوسمود تيمبور
+أنكايديديونتيوت لابوري ات دولار ماجنا أليكيوا يوت انيم أد مينيم فينايم كيواس نوستريد
+Ceci est un texte d'exemple pour la mise en page. Votre texte ici. Texte de remplissage.
+Bu bir örnek metindir. Metninizi buraya yazın. این یک متن آزمایشی است. متن خود را اینجا بنویسید."""
+
+#: Training lines of the model of errors, access and waiting notices and program output.
+NOTICES = """404 Not Found. 403 Forbidden. 410 Gone. 500 Internal Server Error. 502 Bad Gateway. 503 Service Unavailable. 504 Gateway Timeout. 429 Too Many Requests. 401 Unauthorized. 400 Bad Request.
+HTTP/1.1 503 Service Unavailable Server: nginx. HTTP/1.1 404 Not Found. HTTP/1.1 410 Gone Server: papers.test
+Error 404: Not Found The requested URL /article/12345 could not be served by the server. The requested URL was not found on this server.
+The server at journals returned status 502. Reference #413097. Bad Gateway. Gone. Service Unavailable. An unexpected error occurred.
+Please enable JavaScript to view this article. You need to enable scripts and cookies to run this app. JavaScript is disabled in your browser. Turn it on and reload the page.
+This site requires a browser with scripting switched on. Code 443354. Please turn on cookies. Your browser does not support scripts.
+Checking your connection before opening the site. Verifying you are human. Please wait while the page is loading. Loading... Please wait. One moment please. Redirecting. Just a moment.
+Access denied. Your network address has been blocked by the site. You do not have permission to access this file. Log in to continue. Sign in to view. Session expired. Please log in again.
+Database error 261037: table articles is locked. Warning: undefined variable $article in /var/www/html/view.php on line 886. Fatal error: Uncaught exception. SQL syntax error near line 1. Connection refused. Connection timed out.
+Traceback (most recent call last): File "render.py", line 97, in page KeyError: 'abstract' TypeError: 'NoneType' object is not subscriptable ValueError
+java.lang.NullPointerException at repo.view.Page.render(Page.java:79) at java.base/java.lang.Thread.run. Exception in thread main. Stack trace. Segmentation fault (core dumped)
+يجب تفعيل جافا سكربت في متصفحك لعرض هذه الصفحة. متصفحك لا يدعم النصوص البرمجية، يرجى تفعيلها ثم إعادة التحميل. لعرض الملف فعل ملفات الارتباط والنصوص البرمجية.
+عذرا، الصفحة التي تبحث عنها غير موجودة. العودة إلى الصفحة الرئيسة. خطأ 404 - لم يتم العثور على المقال رقم 744151. حدث خطأ غير متوقع. خطأ في الخادم.
+غير مصرح لك بالدخول إلى هذا الملف. سجل الدخول للمتابعة. الخدمة غير متاحة حاليا، يرجى المحاولة لاحقا. انتهت الجلسة. تم حظر عنوانك. الوصول مرفوض.
+جار التحقق من أنك لست برنامجا آليا. الرمز 177603. جار التحميل، يرجى الانتظار. لحظة من فضلك. يتم الآن تحويلك.
+Veuillez activer JavaScript pour afficher cet article. Page introuvable. Accès refusé. Chargement en cours, veuillez patienter.
+Bu sayfayı görüntülemek için JavaScript gereklidir. Sayfa bulunamadı. Erişim engellendi. Lütfen bekleyin. برای نمایش این صفحه جاوا اسکریپت را فعال کنید. صفحه یافت نشد. لطفا صبر کنید."""
+
+_FIELD = r"(?:[^\W\d_][\w.]*(?:[ _][\w.]+){0,3})"
+_KNOWN = r"(?:title|authors?|author_?name|full_?name|name|abstract|keywords?|doi|issue|volume|journal|affiliation|publish_?date|date|(?:first|last)_?page|pages?|email|year|issn|university|department|\w+_\w+|[a-z]+[A-Z]\w*|[^\W\d_A-Za-z]*(?:عنوان|اسم|ملخص|كلمات|تاريخ|مجلة|مؤلف|باحث|جامعة|بريد)[^\[\]<>]{0,30})"
+#: Notations of a value still to be filled in. Square and angle brackets hold other things too, so there the field's name decides.
+PLACEHOLDER = regex.compile(
+    rf"\{{\{{\s*{_FIELD}\s*\}}\}}|\{{%\s*{_FIELD}\s*%\}}|<%=?\s*{_FIELD}\s*%>|\$\{{\s*{_FIELD}\s*\}}|\[\[\s*{_FIELD}\s*\]\]|@@{_FIELD}@@"
+    rf"|(?<![\w_])__{_FIELD}__(?![\w_])|(?<![\w%])%[^\W\d][\w ]{{1,40}}[^\W\d]%(?![\w%])|(?<![\w#])#[^\W\d][\w ]{{1,40}}[^\W\d]#(?![\w#])|(?<![\w$])\$[^\W\d][\w ]{{1,40}}[^\W\d]\$(?![\w$])"
+    rf"|\[insert [^\[\]\n]{{1,60}}\]|\[(?:أدخل|ادخل|اكتب) [^\[\]\n]{{1,60}}\]|«(?:أدخل|ادخل|اكتب) [^«»\n]{{1,60}}»|\[{_KNOWN}\]|<{_KNOWN}>",
+)
+#: A sentence that speaks of templates names a placeholder; it doesn't leave one open.
+_ABOUT = regex.compile(r"\b(?:templat\w*|placeholder\w*|markup|syntax|gabarits?|modèles? de page|şablon\w*)\b|قوالب|القالب|قالب|الگو", regex.I)
+_SENTENCE_END = regex.compile(r"(?<=[.!?؟])\s+|\n")
+_QUOTED = regex.compile(r"«[^«»\n]{1,400}»|“[^“”\n]{1,400}”|\"[^\"\n]{1,400}\"")
+
+
+def grams(text: str) -> np.ndarray:
+    """Hashed four-grams of a text in lower case, one for each place but the last three."""
+    points = np.frombuffer(regex.sub(r"\d", "0", text.lower()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(points) < 4:
+        return np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        h = points[:-3] * np.uint64(0x9E3779B1) + points[1:-2] * np.uint64(0x85EBCA77) + points[2:-1] * np.uint64(0xC2B2AE3D) + points[3:] * np.uint64(0x27D4EB2F)
+        h ^= h >> np.uint64(15)
+        h *= np.uint64(0x2C1B3C6D)
+    return ((h >> np.uint64(12)) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def prose_counts(df: DataFrame, text: str = "text") -> np.ndarray:
+    """Four-gram counts of all texts; at most ``BUCKETS`` rows come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    sums += np.bincount(grams(t), minlength=BUCKETS) if len(t) > 20_000 else 0
+            short = "\n\n\n\n".join(t for t in batch.column(0).to_pylist() if t and len(t) <= 20_000)
+            sums += np.bincount(grams(short), minlength=BUCKETS)
+        at = np.nonzero(sums)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["bucket", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in df.select(text).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def ratios(prose: np.ndarray) -> np.ndarray:
+    """The log-likelihood ratio of each four-gram, residue (the likelier of its two models) against prose."""
+    n = max(int(prose.sum()), 1)
+
+    def fitted(lines: str) -> np.ndarray:
+        counts = np.bincount(grams(lines), minlength=BUCKETS).astype(float)
+        return (counts + 0.02) / (counts.sum() + 0.02 * BUCKETS)
+
+    seen = np.maximum(fitted(FILLER), fitted(NOTICES))
+    ratio = np.log(seen) - np.log((prose + 0.02) / (n + 0.02 * BUCKETS))
+    base = float(np.log(0.02 / (len(NOTICES) + 0.02 * BUCKETS))) + 1
+    # seen by neither: no evidence but that prose has been seen a lot
+    return np.clip(np.where(np.log(seen) <= base, np.where(prose <= 3, 0.3, ratio), ratio), -4, 4).astype(np.float32)
+
+
+def judge(ratio: np.ndarray, coverage: float = COVERAGE, window: int = WINDOW) -> Callable[[str | None], tuple[str | None, float]]:
+    """A function from a text to its kind of residue (NULL: none) and the share that residue covers."""
+    kernel = np.ones(window)
+
+    def covered(text: str) -> float:
+        g = grams(text)
+        if len(g) < 4:
+            return 0.0
+        scores = ratio[g]
+        width = min(window, len(scores))
+        sums = np.convolve(scores, kernel[:width], "valid")
+        marked = np.zeros(len(scores) + 1)
+        hit = np.nonzero(sums > 0.5 * width)[0]
+        np.add.at(marked, hit, 1)
+        np.add.at(marked, np.minimum(hit + width, len(scores)), -1)
+        spread = np.cumsum(marked)[:-1] > 0
+        return float(spread.mean())
+
+    def decide(text: str | None) -> tuple[str | None, float]:
+        if text is None or not text.strip():
+            return None, 0.0
+        for m in PLACEHOLDER.finditer(text):
+            start = max((e.end() for e in _SENTENCE_END.finditer(text, max(0, m.start() - 300), m.start())), default=max(0, m.start() - 300))
+            end = _SENTENCE_END.search(text, m.end(), m.end() + 300)
+            if not _ABOUT.search(text, start, m.start()) and not _ABOUT.search(text, m.end(), end.start() if end else m.end() + 300):
+                return "placeholder", 1.0
+        share = covered(text)
+        if share >= coverage and _QUOTED.search(text):
+            bare = _QUOTED.sub(" ", text)
+            share = min(share, covered(bare)) if len(bare.strip()) >= 40 else share
+        return ("residue" if share >= coverage else None), share
+
+    return decide
+
+
+def find_residue(df: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
+    """(key, kind, covered) of every row; kind is ``placeholder``, ``residue`` or NULL."""
+    ratio = ratios(prose_counts(df, text))
+
+    def make() -> Callable[..., tuple]:
+        decide = judge(ratio, coverage)
+
+        def each(keys: list, texts: list) -> tuple:
+            found = [decide(t) for t in texts]
+            return keys, [f[0] for f in found], [f[1] for f in found]
+
+        return each
+
+    rows = df.select(F.col(key).cast("bigint").alias(key), F.col(text).alias("text"))
+    return map_rows(rows, make, f"`{key}` bigint, kind string, covered double", pa.schema([(key, pa.int64()), ("kind", pa.string()), ("covered", pa.float64())]))
