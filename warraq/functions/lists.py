@@ -15,7 +15,7 @@ def literal_list(c: Column) -> Column:
 
 def list_or_commas(c: Column) -> Column:
     """A list literal, else the parts between commas; NULL gives an empty array."""
-    parts = F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(F.from_json(c, _ARRAY), parts, F.array().cast(_ARRAY))
 
 
@@ -34,13 +34,13 @@ def id_list(c: Column) -> Column:
 
 def int_list(c: Column) -> Column:
     """Whole numbers of a list; other parts fall out."""
-    parts = F.filter(F.transform(F.split(F.regexp_replace(c, r"[\[\]]", ""), ","), F.trim), lambda x: x.rlike(r"^\d+$"))
+    parts = F.filter(F.transform(F.split(F.regexp_replace(c, r"[\[\]]", ""), ","), lambda x: F.trim(x)), lambda x: x.rlike(r"^\d+$"))
     return F.coalesce(F.transform(parts, lambda x: x.cast("bigint")), F.array().cast("array<bigint>"))
 
 
 def split_any(c: Column) -> Column:
     """Parts between any of the common list delimiters, trimmed, none empty."""
-    return F.filter(F.transform(F.split(c, r"[،,;؛|•]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"[،,;؛|•]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def joined(c: Column, by: str = ", ") -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warraq.functions.text import ARABIC, collapse, fold_author_zone, fold_search, join_pages
@@ -49,29 +51,30 @@ def full_text(page1: Column, page2: Column) -> Column:
     return F.concat(p1, F.lit(" \n "), F.when(repeated, rest).otherwise(p2))
 
 
-def _window(text: Column, start: Column) -> tuple[Column, Column]:
-    """(part of ``text`` from ``start`` up to a stop or 1000 characters, the same of its fold)."""
-    window = F.substring(fold_search(text), start, F.lit(3000))
-    upto = F.length(F.get(F.split(window, f"(?ds){KEYWORD_START}|{STOP}", 2), F.lit(0)))
-    length = F.when(upto < F.length(window), upto).otherwise(F.least(F.length(window), F.lit(1000)))
-    return F.substring(text, start, length), length
+def extract_abstracts(df: DataFrame, text: str, out: str = "abstract") -> DataFrame:
+    """``df`` with the longest abstract behind a header; without one, what a purpose verb near the start opens; NULL if neither.
 
-
-def extract_abstract(text: Column) -> Column:
-    """The longest abstract behind a header; without one, what a purpose verb near the start opens; NULL if neither."""
-    folded = fold_search(text)
-    # where headers end: the pieces between them give the offsets
-    pieces = F.split(folded, f"(?d){HEADER}", -1)
-    heads = F.regexp_extract_all(folded, F.lit(f"(?d){HEADER}"), F.lit(0))
-    ends = F.transform(heads, lambda h, i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(heads, 1, i + 1), F.lit(0), lambda a, p: a + F.length(p)) + 1)
+    The folded text, its headers and its windows are columns of their own, so
+    each is computed once a row.
+    """
+    size = lambda parts: F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
     tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)\A\s+|\s+\z", ""), r"(?U)\A[:\-.]+\s*", "")
-    candidates = F.filter(F.transform(ends, lambda e: tidy(_window(text, e)[0])), lambda c: (F.length(c) > 50) & c.rlike(ARABIC))
-    longest = F.aggregate(candidates, F.lit(""), lambda a, c: F.when(F.length(c) > F.length(a), c).otherwise(a))
-    before = F.regexp_extract(folded, f"(?Uds)\\A(.*?){_any(PURPOSE_VERBS, chr(92) + 'b')}", 1)
-    has_verb = folded.rlike(f"(?Ud){_any(PURPOSE_VERBS, chr(92) + 'b')}")
-    fallback = F.regexp_replace(_window(text, F.length(before) + 1)[0], r"(?U)\A\s+|\s+\z", "")
-    second = F.when(has_verb & (F.length(before) < 3000) & (F.length(fallback) > 50), collapse(fallback))
-    return F.when(longest != "", collapse(longest)).otherwise(second)
+    verb = f"(?Uds)\\A(.*?){_any(PURPOSE_VERBS, chr(92) + 'b')}"
+    rows = df.withColumn("_f", fold_search(F.col(text)))
+    rows = rows.withColumns({"_pieces": F.split("_f", f"(?d){HEADER}", -1), "_heads": F.regexp_extract_all("_f", F.lit(f"(?d){HEADER}"), F.lit(0))})
+    rows = rows.withColumn("_ends", F.transform("_heads", lambda h, i: size(F.slice("_pieces", F.lit(1), i + 1)) + size(F.slice("_heads", F.lit(1), i + 1)) + 1))
+    rows = rows.withColumn("_windows", F.transform("_ends", lambda e: F.substring(F.col("_f"), e, F.lit(3000))))
+    upto = lambda w: F.length(F.get(F.split(w, f"(?ds){KEYWORD_START}|{STOP}", 2), F.lit(0)))
+    length = lambda w: F.when(upto(w) < F.length(w), upto(w)).otherwise(F.least(F.length(w), F.lit(1000)))
+    rows = rows.withColumn("_found", F.transform(F.arrays_zip("_ends", "_windows"), lambda x: tidy(F.substring(F.col(text), x["_ends"], length(x["_windows"])))))
+    good = F.filter("_found", lambda c: (F.length(c) > 50) & c.rlike(ARABIC))
+    rows = rows.withColumn("_best", F.aggregate(good, F.lit(""), lambda a, c: F.when(F.length(c) > F.length(a), c).otherwise(a)))
+    rows = rows.withColumn("_before", F.when(F.col("_best") == "", F.regexp_extract("_f", verb, 1)))
+    has_verb = F.col("_f").rlike(f"(?Ud){_any(PURPOSE_VERBS, chr(92) + 'b')}")
+    rows = rows.withColumn("_window", F.when((F.col("_best") == "") & has_verb & (F.length("_before") < 3000), F.substring(F.col("_f"), F.length("_before") + 1, F.lit(3000))))
+    rows = rows.withColumn("_second", F.regexp_replace(F.substring(F.col(text), F.length("_before") + 1, length(F.col("_window"))), r"(?U)\A\s+|\s+\z", ""))
+    result = F.when(F.col("_best") != "", collapse(F.col("_best"))).when(F.length("_second") > 50, collapse(F.col("_second")))
+    return rows.withColumn(out, result).drop("_f", "_pieces", "_heads", "_ends", "_windows", "_found", "_best", "_before", "_window", "_second")
 
 
 def extract_keywords(text: Column) -> Column:
@@ -219,46 +222,63 @@ def strip_boilerplate(text: Column, p: Profile) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"(?U)\A\s+|\s+\z", "")
 
 
-def pinpoint_one(page1: Column, page2: Column, p: Profile, max_chars: int = 9000) -> Column:
-    """The labelled title, author, abstract and keyword regions of an article's first pages."""
-    text = strip_boilerplate(join_pages(page1, page2 if p.second_page else F.lit(None).cast("string")), p)
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    n = F.size(lines)
-    starts = lambda x, heads: F.exists(F.array(*map(F.lit, heads)), lambda h: F.startswith(F.lower(x), h))
-    places = lambda test: F.filter(F.transform(lines, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
-    first = lambda test: F.array_min(places(test))
-    region = lambda a, b: F.array_join(F.slice(lines, F.greatest(a, F.lit(0)) + 1, F.greatest(F.least(b, n) - F.greatest(a, F.lit(0)), F.lit(0))), "\n")
-    abs_at = first(lambda x: starts(x, p.abstract) | x.rlike(p.abstract_line))
-    key_at = first(lambda x: starts(x, KEYWORD_HEADS) | x.rlike(r"(?i)\bkeywords?\b"))
-    stops = [F.when(key_at > abs_at, key_at)]
-    if p.intro:
-        intro_at = first(lambda x: starts(x, p.intro))
-        stops.append(F.when(intro_at > abs_at, intro_at))
-    stop = stops[0] if len(stops) == 1 else F.least(*stops)
-    abs_end = F.coalesce(stop, F.least(n, abs_at + p.abstract_cap) if p.abstract_cap else n)
-    mails = places(lambda x: x.rlike(EMAIL))
-    cues = F.filter(places(lambda x: F.exists(F.array(*map(F.lit, p.cues)), lambda c: F.contains(F.lower(x), c))), lambda i: i <= p.cue_limit)
+def pinpoint_one(df: DataFrame, p: Profile, page1: str = "page1", page2: str = "page2", out: str = "regions", max_chars: int = 9000) -> DataFrame:
+    """``df`` with the labelled title, author, abstract and keyword regions of its pages.
+
+    Lines and anchors are columns of their own before they are used, so each
+    is computed once a row.
+    """
+    second = F.col(page2) if p.second_page else F.lit(None).cast("string")
+    tidy = lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
+    first = lambda test: F.array_min(_places(test))
+    starts = lambda x, heads: F.lower(x).rlike("^(?:" + "|".join(re.escape(h) for h in heads) + ")")
+    cue = "|".join(re.escape(c) for c in p.cues)
+
+    def region(a: Column, b: Column) -> Column:
+        a, b = F.greatest(a, F.lit(0)), F.least(b, F.col("_n"))
+        return F.array_join(F.slice("_lines", a + 1, F.greatest(b - a, F.lit(0))), "\n")
 
     def around(idx: Column, before: int, after: int) -> Column:
         wanted = F.array_sort(F.array_distinct(F.flatten(F.transform(idx, lambda i: F.sequence(i - before, i + after)))))
-        return F.array_join(F.transform(F.filter(wanted, lambda i: (i >= 0) & (i < n)), lambda i: F.get(lines, i)), "\n")
-
-    near_cues = around(F.slice(cues, 1, 1) if p.cue_cuts_title else cues, p.cue_before, p.cue_after)
-    authors = F.when(F.size(mails) > 0, around(mails, p.radius, p.radius)).otherwise(near_cues)
-    cuts = [F.array_min(mails), abs_at] + ([F.array_min(cues)] if p.cue_cuts_title else [])
-    title_end = F.coalesce(F.least(*cuts), F.least(n, F.lit(p.title_default)))
-    title = F.array_join(F.slice(F.filter(F.slice(lines, 1, title_end), lambda x: ~x.rlike(URL)), 1, p.title_max), "\n")
+        return F.array_join(F.transform(F.filter(wanted, lambda i: (i >= 0) & (i < F.col("_n"))), lambda i: F.get("_lines", i)), "\n")
+
+    rows = df.withColumn("_text", strip_boilerplate(join_pages(F.col(page1), second), p))
+    rows = rows.withColumn("_lines", F.filter(F.transform(F.split("_text", "\n"), lambda x: tidy(x)), lambda x: x != "")).withColumn("_n", F.size("_lines"))
+    rows = rows.withColumns(
+        {
+            "_abs": first(lambda x: starts(x, p.abstract) | x.rlike(p.abstract_line)),
+            "_key": first(lambda x: starts(x, KEYWORD_HEADS) | x.rlike(r"(?i)\bkeywords?\b")),
+            "_intro": first(lambda x: starts(x, p.intro)) if p.intro else F.lit(None).cast("int"),
+            "_mails": _places(lambda x: x.rlike(EMAIL)),
+            "_cues": F.filter(_places(lambda x: F.lower(x).rlike(cue)), lambda i: i <= p.cue_limit),
+        }
+    )
+    # least skips NULLs: the first stop behind the abstract's header
+    stop = F.least(F.when(F.col("_key") > F.col("_abs"), F.col("_key")), F.when(F.col("_intro") > F.col("_abs"), F.col("_intro")))
+    end = F.coalesce(stop, F.least(F.col("_n"), F.col("_abs") + p.abstract_cap) if p.abstract_cap else F.col("_n"))
+    near_cues = around(F.slice("_cues", 1, 1) if p.cue_cuts_title else F.col("_cues"), p.cue_before, p.cue_after)
+    authors = F.when(F.size("_mails") > 0, around(F.col("_mails"), p.radius, p.radius)).otherwise(near_cues)
+    cuts = [F.array_min("_mails"), F.col("_abs")] + ([F.array_min("_cues")] if p.cue_cuts_title else [])
+    title_end = F.coalesce(F.least(*cuts), F.least(F.col("_n"), F.lit(p.title_default)))
+    title = F.array_join(F.slice(F.filter(F.slice("_lines", F.lit(1), title_end), lambda x: ~x.rlike(URL)), 1, p.title_max), "\n")
     labelled = F.concat(
         F.lit("TITLE_REGION:\n"), title, F.lit("\n\nAUTHORS_REGION:\n"), authors,
-        F.lit("\n\nABSTRACT_REGION:\n"), F.coalesce(region(abs_at, abs_end), F.lit("")),
-        F.lit("\n\nKEYWORDS_REGION:\n"), F.coalesce(region(key_at, key_at + p.keyword_lines), F.lit("")),
+        F.lit("\n\nABSTRACT_REGION:\n"), F.coalesce(region(F.col("_abs"), end), F.lit("")),
+        F.lit("\n\nKEYWORDS_REGION:\n"), F.coalesce(region(F.col("_key"), F.col("_key") + p.keyword_lines), F.lit("")),
     )
-    return F.substring(F.regexp_replace(labelled, r"(?U)\A\s+|\s+\z", ""), 1, max_chars)
+    return rows.withColumn(out, F.substring(tidy(labelled), 1, max_chars)).drop("_text", "_lines", "_n", "_abs", "_key", "_intro", "_mails", "_cues")
+
+
+def _places(test: Callable[[Column], Column]) -> Column:
+    """Places of the lines that pass a test."""
+    return F.filter(F.transform("_lines", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
 
 
-def pinpoint(source: Column, page1: Column, page2: Column, profiles: dict[str, Profile] = PROFILES) -> Column:
-    """The regions by the source's profile, its case ignored; NULL for a source without one."""
-    out = F.lit(None).cast("string")
-    for code, p in profiles.items():
-        out = F.when(F.upper(F.trim(source)) == code, pinpoint_one(page1, page2, p)).otherwise(out)
+def pinpoint(df: DataFrame, source: str = "source", profiles: dict[str, Profile] = PROFILES, default: Profile | None = None) -> DataFrame:
+    """``df`` with regions by the profile of each row's source, its case ignored; a source without one takes the default, else NULL."""
+    code = F.upper(F.trim(F.col(source)))
+    rest = df.filter(code.isNull() | ~code.isin(*profiles))
+    out = pinpoint_one(rest, default) if default else rest.withColumn("regions", F.lit(None).cast("string"))
+    for name, p in profiles.items():
+        out = out.unionByName(pinpoint_one(df.filter(code == name), p))
     return out

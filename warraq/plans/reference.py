@@ -5,6 +5,397 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from warraq.functions import lists, text
+from warraq.functions.dimensions import FIELD_NAMES, SUBJECTS, canonical_source, general_field
+from warraq.operators import extraction, profile, registry, relational, retrieval
+from warraq.sources import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a query under its function's name, with its SQL if it has one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]"
+SPACE = r"[\t\n\x0B\f\r \x{85}\p{Z}]"
+
+# projections, filters, functions of single rows
+
+
+@query("select cast(row_no as varchar) as row_no, coalesce(title, '') as title, '' as title_en, coalesce(source, '') as source, coalesce(path, '') as path from sample_articles")
+def align_schema(spark: SparkSession, d: str) -> DataFrame:
+    return relational.align(load(spark, d, "sample_articles"), ["row_no", "title", "title_en", "source", "path"])
+
+
+@query(
+    """select row_no, regexp_replace(title, '[\\x{064B}-\\x{0652}]', '', 'g') as bare, replace(title, 'ـ', '') as unstretched, translate(title, 'أإآٱىٰ', 'اااااا') as alef,
+    translate(title, 'ة', 'ه') as teh, translate(title, 'أإآىئة', 'اااييه') as folded, translate(lower(title), 'أإآةىئ', 'اااهيي') as searched from sample_articles"""
+)
+def fold_titles(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("title")
+    return load(spark, d, "sample_articles").select(
+        "row_no", text.strip_tashkeel(t).alias("bare"), text.strip_tatweel(t).alias("unstretched"), text.fold_alef(t).alias("alef"), text.fold_teh(t).alias("teh"), text.fold_arabic(t).alias("folded"), text.fold_search(t).alias("searched")
+    )
+
+
+_CLEAN = f"""
+with a as (select row_no, translate(translate(replace(regexp_replace(coalesce(page1, ''), '[\\x{{064B}}-\\x{{0652}}]', '', 'g'), 'ـ', ''), 'أإآٱىٰ', 'اااااا'), 'ة', 'ه') as t from sample_articles),
+b as (select row_no, regexp_replace(t, '({WORD})-{SPACE}*\\n{SPACE}*({WORD})', '\\1\\2', 'g') as t from a),
+c as (select row_no, regexp_replace(replace(t, '|', ' '), '_{{3,}}|-{{3,}}', ' ', 'g') as t from b),
+e as (select row_no, regexp_replace(t, '(?m)^{SPACE}*\\p{{Nd}}+{SPACE}*$', '', 'g') as t from c),
+f as (select row_no, regexp_replace(t, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\x{{200C}}\\x{{200D}}\\t\\n\\x0B\\f\\r \\x{{85}}\\p{{Z}}\\x{{0600}}-\\x{{06FF}}.,:;\\-()\\[\\]/@+*]', ' ', 'g') as t from e),
+g as (select row_no, array_to_string(list_filter(string_split_regex(t, '\\n{SPACE}*\\n'), lambda x: regexp_matches(x, '[\\x{{0600}}-\\x{{06FF}}]') or length(regexp_replace(x, '^{SPACE}+|{SPACE}+$', '', 'g')) < 50), chr(10) || chr(10)) as t from f)
+select row_no, regexp_replace(regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), '\\n{SPACE}*\\n*', chr(10), 'g'), '^{SPACE}+|{SPACE}+$', '', 'g') as cleaned from g"""
+
+
+@query(_CLEAN)
+def clean_pages(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "sample_articles").select("row_no", text.clean_page(F.col("page1")).alias("cleaned"))
+
+
+@query(
+    """select row_no, regexp_replace(title, '[\\p{Latin}\\p{Nd}]+', '', 'g') as no_latin, trim(regexp_replace(title, '[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}\\x1c-\\x1f]+', ' ', 'g')) as collapsed,
+    regexp_replace(regexp_replace(title, '[\\p{P}\\p{S}]+', '', 'g'), '[\\x{FE0F}\\x{200B}-\\x{200F}\\x{2060}]', '', 'g') as no_signs,
+    case when length(title) > 30 then left(title, 30) || '…' else title end as short,
+    regexp_matches(title, '[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}\\x{FB50}-\\x{FDFF}\\x{FE70}-\\x{FEFF}]') as arabic, regexp_matches(title, '[A-Za-z]') as latin,
+    title is null or regexp_replace(title, '[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]+', '', 'g') = '' as missing from sample_articles"""
+)
+def clean_titles(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("title")
+    return load(spark, d, "sample_articles").select(
+        "row_no", text.remove_latin_digits(t).alias("no_latin"), text.collapse(t).alias("collapsed"), text.remove_punctuation(t).alias("no_signs"), text.truncate(t).alias("short"),
+        text.is_arabic(t).alias("arabic"), text.is_latin(t).alias("latin"), text.is_missing(t).alias("missing"),
+    )
+
+
+@query("select row_no, replace(replace(replace(replace(replace(replace(authors, '1', ''), ',2', ''), '*', ''), '&', ','), '/', ','), chr(8204), '') as authors from sample_articles")
+def fix_author_cells(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "sample_articles").select("row_no", text.fix_author_cell(F.col("authors")).alias("authors"))
+
+
+@query(
+    """select row_no, split_part(path, '/', -1) as file, regexp_matches(path, '(?i)\\.pdf$') as is_pdf, nullif(regexp_extract(path, '(?:^|/)finalpdfs/([^/]*)', 1), '') as behind,
+    case when source like 'NBA\\_%' escape '\\' then 'NBA' else source end as source, case when source like 'NBA\\_%' escape '\\' then substr(source, 5)
+    when source = 'NBA' then nullif(regexp_extract(path, '(?:^|/)NBA/([^/]*)', 1), '') else general_field end as general_field from sample_articles"""
+)
+def path_and_source_parts(spark: SparkSession, d: str) -> DataFrame:
+    rows = relational.split_source(load(spark, d, "sample_articles"), "NBA")
+    p = F.col("path")
+    return rows.select("row_no", F.element_at(F.split(p, "/"), -1).alias("file"), p.rlike(r"(?i)\.pdf$").alias("is_pdf"), text.segment_after(p, "finalpdfs").alias("behind"), "source", "general_field")
+
+
+@query(
+    """select row_no, case when regexp_matches(a, '[\\x{0600}-\\x{06FF}]') then a end as authors, case when not regexp_matches(a, '[\\x{0600}-\\x{06FF}]') then a end as authors_en
+    from (select row_no, nullif(authors, '') as a from sample_articles)"""
+)
+def route_authors(spark: SparkSession, d: str) -> DataFrame:
+    return relational.route_by_script(load(spark, d, "sample_articles").select("row_no", "authors")).select("row_no", "authors", "authors_en")
+
+
+_DATE = """
+with a as (select row_no, translate(trim(publish_date), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789') as t from sample_articles)
+select row_no, coalesce(cast(try_strptime(nullif(regexp_extract(t, '^(\\d{4}-\\d{1,2}-\\d{1,2})', 1), ''), '%Y-%m-%d') as date),
+ cast(try_strptime(nullif(replace(regexp_extract(t, '^(\\d{1,2}[/.]\\d{1,2}[/.]\\d{4})$', 1), '.', '/'), ''), '%d/%m/%Y') as date),
+ make_date(cast(nullif(regexp_extract(t, '(?:^|\\D)((?:19|20)\\d{2})(?:\\D|$)', 1), '') as integer), 1, 1)) as published from a"""
+
+
+@query(_DATE)
+def publish_dates(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "sample_articles").select("row_no", text.publish_date(F.col("publish_date")).alias("published"))
+
+
+@query(
+    """select row_no, coalesce(len(p), 0) as n_values, coalesce(array_to_string(p, ' | '), '') as joined from (select row_no,
+    case when trim(regexp_replace(trim(keywords), '^\\[|\\]$', '', 'g')) = '' then [] else list_filter(list_transform(string_split(regexp_replace(trim(keywords), '^\\[|\\]$', '', 'g'), ','),
+    lambda x: regexp_replace(trim(x), '^["'']+|["'']+$', '', 'g')), lambda x: x <> '') end as p from sample_articles)"""
+)
+def parse_bracket_lists(spark: SparkSession, d: str) -> DataFrame:
+    parts = lists.bracket_list(F.col("keywords"))
+    return load(spark, d, "sample_articles").select("row_no", F.size(parts).cast("bigint").alias("n_values"), F.array_join(parts, " | ").alias("joined"))
+
+
+@query(
+    """select id, coalesce(list_sum(v), 0)::bigint as total, coalesce(len(v), 0) as n_ids from (select id, list_transform(list_filter(list_transform(string_split(regexp_replace(articles_ids, '[\\[\\]]', '', 'g'), ','), lambda x: trim(x)),
+    lambda x: regexp_matches(x, '^[0-9]+$')), lambda x: cast(x as bigint)) as v from authors06)"""
+)
+def parse_int_lists(spark: SparkSession, d: str) -> DataFrame:
+    ids = lists.int_list(F.col("articles_ids"))
+    return load(spark, d, "authors06").select("id", F.aggregate(ids, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"), F.size(ids).cast("bigint").alias("n_ids"))
+
+
+@query("select row_no, coalesce(json_extract_string(try_cast(authors_en as json), '$[0]'), '') as first_name, coalesce(json_array_length(try_cast(authors_en as json)), 0)::bigint as n_names from sample_articles")
+def parse_json_lists(spark: SparkSession, d: str) -> DataFrame:
+    names = lists.literal_list(F.col("authors_en"))
+    return load(spark, d, "sample_articles").select("row_no", F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("first_name"), F.size(names).cast("bigint").alias("n_names"))
+
+
+_STEM_PREFIX = """case when regexp_matches(w, '^(?:وال|بال|كال|فال|لل|ال).{2,}') and regexp_replace(w, '^(?:وال|بال|كال|فال|لل|ال)(.{2,})$', '\\1') <> w then regexp_replace(w, '^(?:وال|بال|كال|فال|لل|ال)(.{2,})$', '\\1')
+ when regexp_matches(w, '^و.{3,}') then substr(w, 2) else w end"""
+
+
+def _stem_sql() -> str:
+    stem = _STEM_PREFIX
+    for s in text.SUFFIXES:
+        stem = f"regexp_replace({stem}, '(..){s}$', '\\1')"
+    stop = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+    return f"""with a as (select doc_id, unnest(string_split(trim(regexp_replace(regexp_replace(text, '[\\x{{064B}}-\\x{{0652}}]', '', 'g'), '[\\t\\n\\x0B\\f\\r \\x{{85}}\\p{{Z}}\\x1c-\\x1f]+', ' ', 'g')), ' ')) as w from documents where text is not null)
+    select stem, count(*) as n from (select {stem} as stem from a where w <> '') where stem not in ({stop}) and stem <> '' group by stem having count(*) >= 2"""
+
+
+@query(_stem_sql())
+def stem_counts(spark: SparkSession, d: str) -> DataFrame:
+    stems = F.transform(text.words(text.strip_tashkeel(F.col("text"))), text.light_stem)
+    rows = load(spark, d, "documents").filter("text is not null").select(F.explode(text.drop_stopwords(stems)).alias("stem"))
+    return rows.filter("stem <> ''").groupBy("stem").agg(F.count("*").alias("n")).filter("n >= 2")
+
+
+@query()
+def index_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "documents").select("doc_id", text.index_tokens(F.col("text")).alias("tokens"))
+
+
+# merging, resuming, chunks, samples
+
+
+@query("select row_no, case when trim(title) = '' or title is null then title_x else title end as title, case when trim(keywords) = '' or keywords is null then kw_x else keywords end as keywords from (select *, 'untitled' as title_x, 'none given' as kw_x from sample_articles)")
+def fill_missing(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "sample_articles").select("row_no", "title", "keywords", F.lit("untitled").alias("title_x"), F.lit("none given").alias("kw_x"))
+    return relational.prefer_existing(rows, {"title": "title_x", "keywords": "kw_x"})
+
+
+@query("select count(*) as n_rows, count(*) filter (where title is null or trim(title) = '' or abstract_ar is null or trim(abstract_ar) = '' or keywords is null or trim(keywords) = '') as incomplete from sample_articles")
+def incomplete_rows(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "sample_articles").agg(F.count("*").alias("n_rows"), F.count_if(relational.needs_extraction(["title", "abstract_ar", "keywords"])).alias("incomplete"))
+
+
+@query("select row_no, article_id from sample_articles where article_id not in (select article_id from author_links where article_id is not null)")
+def unlinked_articles(spark: SparkSession, d: str) -> DataFrame:
+    return relational.resume(load(spark, d, "sample_articles").select("row_no", "article_id"), load(spark, d, "author_links"), "article_id")
+
+
+@query("select distinct author_id as id from author_links where author_id is not null and author_id not in (select id from authors06)")
+def orphan_authors(spark: SparkSession, d: str) -> DataFrame:
+    return relational.orphans(load(spark, d, "author_links"), "author_id", load(spark, d, "authors06"), "id")
+
+
+@query("select row_no, cast(floor((row_number() over (order by row_no) - 1) / 200) as bigint) as chunk from sample_articles")
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    return relational.chunked(load(spark, d, "sample_articles").select("row_no"), [F.col("row_no")], 200)
+
+
+@query("select row_no, row_number() over (order by md5(concat_ws('|', '42', cast(row_no as varchar))), row_no) <= (select ceil(count(*) * 0.2) from sample_articles) as is_test from sample_articles")
+def split_train_test(spark: SparkSession, d: str) -> DataFrame:
+    return relational.train_test(load(spark, d, "sample_articles").select("row_no"), "42", "row_no")
+
+
+@query("select doc_id from documents order by md5(concat_ws('|', '7', cast(doc_id as varchar))), doc_id limit 25")
+def sample_documents(spark: SparkSession, d: str) -> DataFrame:
+    return relational.sample_rows(load(spark, d, "documents").select("doc_id"), 25, "7", "doc_id")
+
+
+@query("select row_no, article_id, loaded_at from (select *, row_number() over (partition by article_id order by loaded_at desc nulls last, row_no desc) as rn from sample_articles) where rn = 1")
+def latest_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    return registry.latest(load(spark, d, "sample_articles"), "article_id", "loaded_at", "row_no").select("row_no", "article_id", "loaded_at")
+
+
+# profiles
+
+
+@query("select 'row_no' as column_name, count(*) - count(row_no) as nulls, count(*) as n_rows from sample_articles union all " + " union all ".join(f"select '{c}', count(*) - count({c}), count(*) from sample_articles" for c in ("title", "abstract_ar", "authors", "keywords", "page1", "page2", "source")))
+def count_nulls(spark: SparkSession, d: str) -> DataFrame:
+    return profile.null_counts(load(spark, d, "sample_articles").select("row_no", "title", "abstract_ar", "authors", "keywords", "page1", "page2", "source"))
+
+
+@query("select * from (" + " union all ".join(f"select '{c}' as column_name, round(100.0 * (count(*) - count({c})) / count(*), 6) as pct from documents" for c in ("text", "lang", "source", "article_id", "general_field", "doc_kind")) + ") where pct > 0")
+def missing_percentages(spark: SparkSession, d: str) -> DataFrame:
+    rows = profile.missing_share(load(spark, d, "documents").select("text", "lang", "source", "article_id", "general_field", "doc_kind"))
+    return rows.select("column_name", F.round("pct", 6).alias("pct"))
+
+
+@query("select lang as value, count(*) as n from documents where lang is not null group by lang")
+def language_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return profile.value_counts(load(spark, d, "documents"), "lang")
+
+
+@query("select cast(count(*) - (select count(*) from (select distinct * from author_links)) as bigint) as n_duplicates from author_links")
+def duplicate_links(spark: SparkSession, d: str) -> DataFrame:
+    return profile.duplicate_rows(load(spark, d, "author_links"))
+
+
+@query("select count(n_chars) as n, round(avg(n_chars), 6) as mean, round(stddev_samp(n_chars), 6) as std, min(n_chars) as lo, quantile_cont(n_chars, 0.25) as q25, quantile_cont(n_chars, 0.5) as q50, quantile_cont(n_chars, 0.75) as q75, max(n_chars) as hi from documents")
+def describe_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return profile.describe(load(spark, d, "documents"), "n_chars").withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query("with s as (select min(l) as lo, max(l) as hi from (select length(abstract_ar) as l from sample_articles)) select cast(case when hi = lo then 1 else least(floor((l - lo) / ((hi - lo) / 20.0)) + 1, 20) end as integer) as bin, count(*) as n from (select length(abstract_ar) as l from sample_articles), s where l is not null group by 1")
+def abstract_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return profile.histogram(load(spark, d, "sample_articles").select(F.length("abstract_ar").alias("l")), "l", 20)
+
+
+@query(
+    """with q as (select quantile_cont(articles_count, 0.25) as q1, quantile_cont(articles_count, 0.5) as median, quantile_cont(articles_count, 0.75) as q3 from authors06)
+    select q1, median, q3, min(articles_count) filter (where articles_count between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as low, max(articles_count) filter (where articles_count between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as high,
+    round(avg(articles_count), 6) as mean from authors06, q where articles_count is not null group by q1, median, q3"""
+)
+def author_box(spark: SparkSession, d: str) -> DataFrame:
+    return profile.box(load(spark, d, "authors06"), "articles_count").withColumn("mean", F.round("mean", 6))
+
+
+_FIELD_CASE = "case lower(trim(replace(general_field, '_', ' '))) " + " ".join(f"when '{k}' then '{v}'" for k, v in ({s.lower(): s for s in SUBJECTS} | FIELD_NAMES).items()) + " end"
+_SOURCE_CASE = "case when source is null or lower(trim(source)) in ('', '-', 'nan', 'none', 'null', 'n/a', 'unknown') then null else upper(regexp_replace(trim(source), '_[0-9A-Za-z_]{2,4}$', '')) end"
+
+
+@query(f"select source, general_field, count(*) as n from (select coalesce(m.acronym, k) as source, f as general_field from (select {_SOURCE_CASE} as k, {_FIELD_CASE} as f from documents) d left join source_map m on d.k = upper(trim(m.acronym))) group by 1, 2")
+def dimension_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("source", "general_field")
+    rows = canonical_source(docs, "source", load(spark, d, "source_map")).withColumn("general_field", general_field(F.col("general_field")))
+    return rows.groupBy("source", "general_field").agg(F.count("*").alias("n"))
+
+
+# authors
+
+
+@query("select author_id, count(*) as articles_count, array_to_string(list_sort(list(article_id)), ',') as articles_ids from (select distinct author_id, article_id from author_links where author_id is not null and article_id is not null) group by author_id")
+def author_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return registry.author_stats(load(spark, d, "author_links")).withColumn("articles_ids", F.array_join(F.col("articles_ids").cast("array<string>"), ","))
+
+
+_AR = registry.AR_TITLES.replace("'", "''")
+_NAME = f"regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(trim(author), '{_AR}', ''), '[_*()\\[\\]\\p{{Nd}}]', '', 'g')), '{registry.EN_TITLES}', ''), '[\\t\\n\\x0B\\f\\r \\x{{85}}\\p{{Z}}]+', ' ', 'g')"
+
+
+@query(f"select format('AUTH_{{:05d}}', row_number() over (order by seen, name)) as id, name from (select name, min(rec_id) as seen from (select rec_id, case when length(trim({_NAME})) >= 3 then trim({_NAME}) end as name from authors) where name is not null group by name)")
+def author_registry(spark: SparkSession, d: str) -> DataFrame:
+    names = load(spark, d, "authors").select("rec_id", registry.clean_name(F.col("author")).alias("name"))
+    return registry.register(names, ["rec_id"])
+
+
+@query("select coalesce(a.name, 'Unknown (' || l.author_id || ')') as name, count(*) as n from (select coalesce(author_id, 'N/A') as author_id from author_links) l left join authors06 a on a.id = l.author_id group by 1")
+def named_links(spark: SparkSession, d: str) -> DataFrame:
+    links = load(spark, d, "author_links").select(F.coalesce("author_id", F.lit("N/A")).alias("author_id"))
+    # counted before the join: one author holds a tenth of all links
+    counted = links.groupBy("author_id").agg(F.count("*").alias("k"))
+    joined = counted.join(load(spark, d, "authors06").select("id", "name"), counted["author_id"] == F.col("id"), "left")
+    return joined.groupBy(F.coalesce("name", F.concat(F.lit("Unknown ("), "author_id", F.lit(")"))).alias("name")).agg(F.sum("k").alias("n"))
+
+
+_U = "(('0x' || substr(md5({}), 1, 8))::bigint / 4294967296.0)"
+_PLACES = ", ".join(f"cast(floor({_U.format(f"concat_ws('|', '42|{i}', cast(article_id as varchar))")} * size) as bigint) + 1" for i in range(16))
+
+
+@query(
+    f"""with p as (select id as author_id, row_number() over (order by id) as n from authors06), s as (select count(*) as size from p),
+    a as (select distinct article_id from sample_articles where authors is null or trim(authors) in ('', '[]', 'nan', 'None')),
+    d as (select article_id, {_U.format("concat_ws('|', '42', cast(article_id as varchar))")} as u, [{_PLACES}] as places from a, s),
+    e as (select article_id, list_slice(list_transform(list_sort(list_transform(list_distinct(places), lambda x: list_position(places, x))), lambda x: places[x]), 1, case when u < 0.6 then 1 when u < 0.9 then 2 when u < 0.98 then 3 else 4 end) as chosen from d),
+    f as (select article_id, unnest(chosen) as n, generate_subscripts(chosen, 1) as author_pos from e)
+    select f.article_id, p.author_id, cast(f.author_pos as integer) as author_pos from f join p on p.n = f.n"""
+)
+def imputed_links(spark: SparkSession, d: str) -> DataFrame:
+    nobody = F.col("authors").isNull() | F.trim("authors").isin("", "[]", "nan", "None")
+    articles = load(spark, d, "sample_articles").filter(nobody).select("article_id").distinct()
+    return registry.impute(articles, load(spark, d, "authors06").select(F.col("id").alias("author_id")))
+
+
+# retrieval
+
+
+@query("select term, count(*) as df, sum(tf)::bigint as tf from (select row_no, term, count(*) as tf from (select row_no, unnest(regexp_extract_all(lower(abstract_ar), '[\\p{L}\\p{N}_]{2,}')) as term from sample_articles) group by 1, 2) group by term having count(*) >= 2")
+def vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    counts = retrieval.term_counts(load(spark, d, "sample_articles"), "row_no", "abstract_ar")
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).filter("df >= 2")
+
+
+_COSINE = """
+with c as (select row_no, term, count(*) as tf from (select row_no, unnest(regexp_extract_all(lower(abstract_ar), '[\\p{L}\\p{N}_]{2,}')) as term from sample_articles) group by 1, 2),
+v as (select term, count(*) as df from c group by term having count(*) >= 2), n as (select count(*) as n from sample_articles),
+r as (select row_no, c.term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) as raw from c join v on c.term = v.term, n),
+w as (select row_no, term, raw / sqrt(sum(raw * raw) over (partition by row_no)) as w from r),
+s as (select q.row_no as query_no, d.row_no, sum(q.w * d.w) as score from w q join w d on q.term = d.term where q.row_no % 20 = 0 and q.row_no <> d.row_no group by 1, 2),
+k as (select *, row_number() over (partition by query_no order by round(score, 9) desc, row_no) as rank from s)
+select query_no, rank, round(score, 6) as score from k where rank <= 20"""
+
+
+@query(_COSINE)
+def similar_abstracts(spark: SparkSession, d: str) -> DataFrame:
+    return _similar(spark, d).select("query_no", "rank", F.round("score", 6).alias("score"))
+
+
+def _similar(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
+    sample = load(spark, d, "sample_articles").select("row_no", "abstract_ar")
+    counts = retrieval.term_counts(sample, "row_no", "abstract_ar")
+    w = retrieval.weighted(counts, retrieval.document_frequency(counts), sample.count(), "row_no")
+    asked = w.filter("row_no % 20 = 0").withColumnRenamed("row_no", "query_no")
+    dots = asked.withColumnRenamed("w", "_qw").join(w, "term").filter("query_no <> row_no").groupBy("query_no", "row_no").agg(F.sum(F.col("_qw") * F.col("w")).alias("score"))
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("query_no").orderBy(F.round("score", 9).desc(), "row_no")
+    return dots.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+@query()
+def recommended_reviewers(spark: SparkSession, d: str) -> DataFrame:
+    ranked = _similar(spark, d)
+    ids = load(spark, d, "sample_articles").select("row_no", "article_id")
+    links = load(spark, d, "author_links").filter("author_id is not null").select("article_id", "author_id").distinct().groupBy("article_id").agg(F.array_sort(F.collect_list("author_id")).alias("authors"))
+    known = ranked.join(ids, "row_no").join(links, "article_id", "left").withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
+    return retrieval.choose_reviewer(known.select("query_no", "rank", "score", "authors"), "query_no")
+
+
+@query(
+    """with s as (select q.vec_id as query_id, d.vec_id as id, list_cosine_similarity(q.embedding::double[], d.embedding::double[]) as score from embeddings q, embeddings d where q.vec_id % 20 = 0 and q.vec_id <> d.vec_id),
+    k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from s) select query_id, rank, round(score, 6) as score from k where rank <= 10"""
+)
+def similar_vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings")
+    return retrieval.dense_neighbours(e.filter("vec_id % 20 = 0"), e, 10).select("query_id", "rank", F.round("score", 6).alias("score"))
+
+
+# extraction: patterns that SQL dialects don't share; tests hold them against plain versions
+
+
+def _full(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "sample_articles").select("row_no", "source", "authors", "page1", "page2", extraction.full_text(F.col("page1"), F.col("page2")).alias("full"))
+
+
+@query()
+def extracted_abstracts(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.extract_abstracts(_full(spark, d), "full").select("row_no", "abstract")
+
+
+@query()
+def extracted_keywords(spark: SparkSession, d: str) -> DataFrame:
+    return _full(spark, d).select("row_no", extraction.extract_keywords(F.col("full")).alias("keywords"))
+
+
+@query()
+def extracted_authors(spark: SparkSession, d: str) -> DataFrame:
+    return _full(spark, d).select("row_no", extraction.extract_authors(F.col("authors"), F.col("page1")).alias("authors"))
+
+
+@query()
+def pinpointed_regions(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.pinpoint(load(spark, d, "sample_articles"), default=extraction.PROFILES["AM"]).select("row_no", "regions")
+
+
+@query("select id, regexp_matches(name, '[\\x{0600}-\\x{06FF}]') as arabic, name is not null and length(n) >= 3 and not regexp_matches(n, '\\p{Nd}') as long_enough from (select id, name, regexp_replace(coalesce(name, ''), '^[.\\-/_:,\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}*]+|[.\\-/_:,\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}*]+$', '', 'g') as n from authors06)")
+def name_shapes(spark: SparkSession, d: str) -> DataFrame:
+    n = F.regexp_replace(F.coalesce("name", F.lit("")), r"(?U)^[.\-/_:,\s*]+|[.\-/_:,\s*]+$", "")
+    return load(spark, d, "authors06").select("id", F.col("name").rlike(text.ARABIC).alias("arabic"), (F.col("name").isNotNull() & (F.length(n) >= 3) & ~n.rlike(r"\p{Nd}")).alias("long_enough"))
+
+
+@query()
+def valid_names(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "authors06").select("id", extraction.validate_name(F.col("name")).alias("v")).select("id", "v.valid", "v.name")
