@@ -72,7 +72,8 @@ def extract_abstracts(df: DataFrame, text: str, out: str = "abstract") -> DataFr
     rows = rows.withColumn("_before", F.when(F.col("_best") == "", F.regexp_extract("_f", verb, 1)))
     has_verb = F.col("_f").rlike(f"(?Ud){_any(PURPOSE_VERBS, chr(92) + 'b')}")
     rows = rows.withColumn("_window", F.when((F.col("_best") == "") & has_verb & (F.length("_before") < 3000), F.substring(F.col("_f"), F.length("_before") + 1, F.lit(3000))))
-    rows = rows.withColumn("_second", F.regexp_replace(F.substring(F.col(text), F.length("_before") + 1, length(F.col("_window"))), r"(?U)\A\s+|\s+\z", ""))
+    opened = F.when(F.col("_window").isNotNull(), F.substring(F.col(text), F.length("_before") + 1, length(F.col("_window"))))
+    rows = rows.withColumn("_second", F.regexp_replace(opened, r"(?U)\A\s+|\s+\z", ""))
     result = F.when(F.col("_best") != "", collapse(F.col("_best"))).when(F.length("_second") > 50, collapse(F.col("_second")))
     return rows.withColumn(out, result).drop("_f", "_pieces", "_heads", "_ends", "_windows", "_found", "_best", "_before", "_window", "_second")
 
