@@ -70,7 +70,7 @@ def test_very_long_value(values):
 item = st.text(st.characters(codec="utf-8", exclude_categories=("Cs", "Cc", "Cf", "Co", "Zs", "Zl", "Zp")), min_size=1, max_size=12).filter(lambda s: s.strip() == s and s.lower() not in ("nan", "none", "null", "na", "n/a", "[]", "{}", "()", "<na>"))
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(item, min_size=1, max_size=6))
 def test_json_and_python_lists_round_trip(values, items):
     got = values(json.dumps(items), json.dumps(items, ensure_ascii=False), repr(items)).select(split_values(F.col("v"), AUTHORS).alias("x")).collect()

@@ -87,14 +87,16 @@ def _mask(text: Column, pattern: str, spans: Column) -> tuple[Column, Column]:
 
 def _unquoted(span: Column) -> Column:
     """The value of a quoted span as the inner text of a JSON string."""
-    inner = span.substr(F.lit(2), F.length(span) - 2)
+    # an escaped backslash is set aside, so no later step takes half of it for another escape
+    pair = f"{OPEN}B{CLOSE}"
+    inner = F.replace(span.substr(F.lit(2), F.length(span) - 2), F.lit("\\\\"), F.lit(pair))
     inner = F.regexp_replace(inner, r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
     wide = F.array_distinct(F.regexp_extract_all(inner, F.lit(r"\\U[0-9a-fA-F]{8}"), F.lit(0)))
     shown = F.aggregate(wide, inner, lambda acc, m: F.replace(acc, m, F.decode(F.unhex(m.substr(F.lit(3), F.lit(8))), "UTF-32")))
     inner = F.when(F.contains(inner, F.lit("\\U")), shown).otherwise(inner)
     inner = F.regexp_replace(inner, r"\\'", "'")
     inner = F.regexp_replace(inner, r"\\(?![\"\\/bfnrtu])", r"\\\\")
-    return F.regexp_replace(inner, r'(?<!\\)"', r'\\"')
+    return F.replace(F.regexp_replace(inner, r'(?<!\\)"', r'\\"'), F.lit(pair), F.lit("\\\\"))
 
 
 def split_values(value: Column, notation: Notation = Notation()) -> Column:
