@@ -103,7 +103,7 @@ def split_values(value: Column, notation: Notation = Notation()) -> Column:
     """The values packed in ``value``, in the order of the string, as an array; NULL and "nothing" give an empty one."""
     empty = F.array().cast("array<string>")
     text = F.regexp_replace(F.coalesce(value, F.lit("")), OPEN, f"{OPEN}L{CLOSE}")
-    text = F.regexp_replace(text, r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$", "")
+    text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     listed = text.rlike(r"^[\[{(]") & text.rlike(r"[\]})]$")
     quoted = text.rlike(r"^[\[{(]?\s*(?:np\.\w+\(\s*)?[\"']")
     # 1. quoted spans, of one kind each per value, decoded as JSON strings in one parse
@@ -140,7 +140,7 @@ def split_values(value: Column, notation: Notation = Notation()) -> Column:
                 item,
                 lambda acc, k: F.replace(acc, F.concat(F.lit(OPEN), k, F.lit(CLOSE)), F.get(spans, k.cast("int"))),
             )
-        return F.regexp_replace(F.regexp_replace(item, f"{OPEN}L{CLOSE}", OPEN), r"(?U)^[\s\p{Cf}]+|[\s\p{Cf}]+$", "")
+        return F.regexp_replace(F.regexp_replace(item, f"{OPEN}L{CLOSE}", OPEN), r"(?U)^\s+|\s+$", "")
 
     items = F.transform(items, restored)
     if notation.ids:
