@@ -81,3 +81,33 @@ def test_clients_are_asked_for_what_is_needed(spark):
     out = services.ask_once(df, "t", lambda: lambda ts: [t.upper() for t in ts]).orderBy("k").collect()
     assert [r.reply for r in out] == ["X", None, "X"]
     assert [r.reply for r in services.ask(df, "t", services.echo).orderBy("k").collect()] == ["x", None, "x"]
+
+
+def test_enrichment_asks_for_incomplete_rows_alone(spark):
+    schema = "article_id int, title string, abstract_ar string, general_field string, authors string, page1 string, page2 string"
+    df = spark.createDataFrame([(1, "t", "a", "Art", "x", "p", "q"), (2, None, "kept", None, "", "p", None)], schema)
+
+    def client():
+        def reply(prompts):
+            assert len(prompts) == 1 and "PAGE 1:\np" in prompts[0]
+            return ['so: {"title_ar": "new", "abstract_ar": "other", "general_field": "Music", "authors": ["m"]}']
+
+        return reply
+
+    got = services.enrich(df, client, ("Art", "Music", "Education")).orderBy("article_id").collect()
+    assert [tuple(r)[1:5] for r in got] == [("t", "a", "Art", "x"), ("new", "kept", "Music", '["m"]')]
+
+
+def test_corrected_names(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, n string")
+    client = lambda: lambda ts: ['[{"latin": "A", "ar": "ا"}]' if t == "a" else "no list" for t in ts]
+    got = services.corrected_names(df, "n", client).orderBy("k").collect()
+    assert [[tuple(p) for p in r.pairs] for r in got] == [[("A", "ا")], [], []]
+
+
+def test_summaries(spark):
+    chosen = spark.createDataFrame([(1, "a", "m"), (2, "z", "m"), (3, None, "m")], "q int, winner string, method string")
+    actual = spark.createDataFrame([(1, "a"), (1, "b"), (2, "y")], "q int, author_id string")
+    names = spark.createDataFrame([("a", "Ann"), ("b", "Bob")], "id string, name string")
+    got = {r.q: (r.recommended, list(r.actual), r.hit) for r in retrieval.reviewer_summary(chosen, actual, names, "q").collect()}
+    assert got == {1: ("Ann", ["Ann", "Bob"], True), 2: ("Unknown (z)", ["Unknown (y)"], False), 3: ("N/A", [], False)}

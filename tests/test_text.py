@@ -73,3 +73,10 @@ def test_replies(values):
     good = '{"title_ar": " t ", "general_field": "Art", "authors": ["a"]}'
     rows = one(values, lists.normalized_reply, good, "chatter " + good + " more", '{"general_field": "Cooking", "title_ar": "t"}', '{"title_ar": "t"}', "no json", None, rest=(fields,))
     assert [(r.title_ar, r.general_field, r.authors) for r in rows] == [("t", "Art", ["a"])] * 2 + [("", "Education", []), ("t", "Education", [])] + [("", "Education", [])] * 2
+
+
+def test_roots_and_compatible_forms(values):
+    from warraq.functions.unicode import compatible, root
+
+    assert {w: root(w) for w in ("كاتب", "مكتوب", "المدرسون", "استخرج", "كتب", "والكتاب")} == {"كاتب": "كتب", "مكتوب": "كتب", "المدرسون": "درس", "استخرج": "خرج", "كتب": "كتب", "والكتاب": "كتب"}
+    assert one(values, compatible, "ﻻ Ａ\u200f", "plain نص", None) == ["لا A", "plain نص", None]

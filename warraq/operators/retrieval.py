@@ -81,3 +81,17 @@ def dense_neighbours(queries: DataFrame, corpus: DataFrame, k: int, key: str = "
     met = c.crossJoin(blocks).select("id", F.explode(F.transform("some", lambda s: F.struct(s["query_id"].alias("query_id"), dot(s["q"], F.col("c")).alias("score")))).alias("x"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return met.select("x.query_id", "id", "x.score").filter("query_id <> id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def reviewer_summary(chosen: DataFrame, actual: DataFrame, names: DataFrame, qkey: str) -> DataFrame:
+    """(qkey, recommended, actual, hit): the chosen reviewer's name beside the names of the query's own authors.
+
+    ``actual`` has (qkey, author_id), ``names`` (id, name). An unknown id shows
+    as ``Unknown (id)``, no winner as ``N/A``.
+    """
+    known = lambda c: F.coalesce("name", F.when(F.col(c).isNull(), F.lit("N/A")).otherwise(F.concat(F.lit("Unknown ("), F.col(c), F.lit(")"))))
+    own = actual.join(names, F.col("author_id") == F.col("id"), "left").groupBy(qkey).agg(F.array_sort(F.collect_set(known("author_id"))).alias("actual"), F.collect_set("author_id").alias("_ids"))
+    won = chosen.join(names, F.col("winner") == F.col("id"), "left").select(qkey, "winner", known("winner").alias("recommended"))
+    none = F.array().cast("array<string>")
+    both = won.join(own, qkey, "left").select(qkey, "winner", "recommended", F.coalesce("actual", none).alias("actual"), F.coalesce("_ids", none).alias("_ids"))
+    return both.select(qkey, "recommended", "actual", F.coalesce(F.array_contains("_ids", F.col("winner")), F.lit(False)).alias("hit"))

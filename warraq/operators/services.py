@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from warraq.functions.lists import normalized_reply
+from warraq.operators.relational import needs_extraction, prefer_existing
+
 Client = Callable[[list[str]], list[str | None]]
 
 
@@ -46,3 +49,31 @@ def ask_once(df: DataFrame, text: str, make: Callable[[], Client], out: str = "r
 def echo() -> Client:
     """A client that replies with the text itself, for tests and as the identity translator."""
     return lambda texts: list(texts)
+
+
+REQUEST = "Read the two pages and reply with one JSON object with the keys title_ar, title_en, abstract_ar, abstract_en, general_field and authors.\n\nPAGE 1:\n%s\n\nPAGE 2:\n%s"
+
+
+def enrich(articles: DataFrame, make: Callable[[], Client], fields: tuple[str, ...], parts: int | None = None) -> DataFrame:
+    """Articles with what a model extracts where something is missing.
+
+    Complete rows make no call; of the others only what is missing is filled.
+    ``parts`` is how many calls may run at once. To resume, leave out the
+    articles that are done (``relational.resume``) before.
+    """
+    wanted = {"title": "title_ar", "abstract_ar": "abstract_ar", "general_field": "general_field", "authors": "authors"}
+    missing = needs_extraction(list(wanted))
+    asked = ask(articles.filter(missing).withColumn("_prompt", prompt(REQUEST, "page1", "page2")), "_prompt", make, "_reply", parts)
+    reply = normalized_reply(F.col("_reply"), fields)
+    got = asked.withColumn("_r", reply).withColumns({f"_{c}": (F.to_json(F.col("_r.authors")) if x == "authors" else F.nullif(F.col(f"_r.{x}"), F.lit(""))) for c, x in wanted.items()})
+    filled = prefer_existing(got, {c: f"_{c}" for c in wanted}).drop("_prompt", "_reply", "_r")
+    return articles.filter(~missing).unionByName(filled)
+
+
+PAIRS = "array<struct<latin: string, ar: string>>"
+
+
+def corrected_names(df: DataFrame, names: str, make: Callable[[], Client], out: str = "pairs") -> DataFrame:
+    """(latin, ar) pairs of each row's names, as a service replies; a reply that isn't such a list gives an empty one."""
+    asked = ask(df, names, make, "_reply")
+    return asked.withColumn(out, F.coalesce(F.from_json("_reply", PAIRS), F.array().cast(PAIRS))).drop("_reply")

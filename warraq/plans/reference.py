@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from warraq.functions import lists, text
 from warraq.functions.dimensions import FIELD_NAMES, SUBJECTS, canonical_source, general_field
+from warraq.functions.unicode import compatible, roots
 from warraq.operators import extraction, profile, registry, relational, retrieval
 from warraq.sources import load
 
@@ -345,6 +346,26 @@ def _similar(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     return dots.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+@query()
+def root_counts(spark: SparkSession, d: str) -> DataFrame:
+    tokens = text.words(text.remove_punctuation(text.remove_latin_digits(F.col("abstract_ar"))))
+    rows = load(spark, d, "sample_articles").select(F.explode(roots(tokens)).alias("root"))
+    return rows.groupBy("root").agg(F.count("*").alias("n"))
+
+
+@query("select row_no, nfkc as title from (select row_no, case when title is null then null else regexp_replace(nfc_normalize(title), '[\\x{AD}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]', '', 'g') end as nfkc from sample_articles where not coalesce(regexp_matches(title, '[^\\x{00}-\\x{7F}\\x{0600}-\\x{06FF}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]'), false))")
+def compatible_titles(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "sample_articles").filter(~F.coalesce(F.col("title").rlike(r"[^\x00-\x7F\u0600-\u06FF\u200B-\u200F\u2060\uFEFF]"), F.lit(False)))
+    return rows.select("row_no", compatible(F.col("title")).alias("title"))
+
+
+@query()
+def reviewer_summaries(spark: SparkSession, d: str) -> DataFrame:
+    ids = load(spark, d, "sample_articles").select(F.col("row_no").alias("query_no"), "article_id")
+    actual = ids.join(load(spark, d, "author_links").select("article_id", "author_id").distinct(), "article_id").select("query_no", "author_id")
+    return retrieval.reviewer_summary(recommended_reviewers(spark, d), actual, load(spark, d, "authors06").select("id", "name"), "query_no")
+
+
 @query()
 def recommended_reviewers(spark: SparkSession, d: str) -> DataFrame:
     ranked = _similar(spark, d)
