@@ -231,7 +231,7 @@ def segments(df: DataFrame, key: str, text: str, model: np.ndarray) -> DataFrame
 
 #: Lines that open a list of keywords or of references; what they open is no sentence.
 _NOT_PROSE = re.compile(
-    r"^\s*(?:key\s*-?words?|mots[\s-]*cl[ée]s?|anahtar\s+(?:kelime|sözcük)ler|(?:ال)?كلمات\s+(?:ال)?\w+|(?:ال)?مفاتيح|کلید\s*واژه\w*|واژ\w+\s+کلیدی|کلمات\s+کلیدی|"
+    r"^\s*(?:k[ec]y\s*-?w[oc]r(?:d|cl)s?|mots[\s-]*cl[ée]s?|anahtar\s+(?:kelime|sözcük)ler|(?:ال)?[كک]ل[مه]ا[تثن]\s+(?:ال)?\w+|\w+\s+(?:ال)?(?:مفتاحية|دالة)|(?:ال)?مفاتيح|کلید\s*واژه\w*|واژ\w+\s+کلیدی|کلمات\s+کلیدی|"
     r"references?|bibliograph\w+|références?|kaynak(?:lar|ça)|(?:ال)?مراجع|المصادر|منابع|مراجع)\s*[:：]",
     re.I,
 )
