@@ -80,3 +80,9 @@ def test_roots_and_compatible_forms(values):
 
     assert {w: root(w) for w in ("كاتب", "مكتوب", "المدرسون", "استخرج", "كتب", "والكتاب")} == {"كاتب": "كتب", "مكتوب": "كتب", "المدرسون": "درس", "استخرج": "خرج", "كتب": "كتب", "والكتاب": "كتب"}
     assert one(values, compatible, "ﻻ Ａ\u200f", "plain نص", None) == ["لا A", "plain نص", None]
+
+
+def test_paths_and_models(values):
+    assert one(values, text.normal_path, "a/./b/../c.pdf", "x\\y//z", "../a") == ["a/c.pdf", "x/y/z", "../a"]
+    assert one(values, text.source_of_url, "http://s/Art/issue/1", "x", rest=("AM",)) == ["AM_Art", None]
+    assert one(values, text.model_cleanup, "a\r\n\n\n\nb…… = == c____d•", None) == ["a\n\nb = cd", ""]

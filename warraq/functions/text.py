@@ -235,3 +235,25 @@ def publish_date(c: Column) -> Column:
         F.try_to_date(F.regexp_replace(F.regexp_extract(t, r"^(\d{1,2}[/.]\d{1,2}[/.]\d{4})$", 1), r"\.", "/"), "d/M/yyyy"),
         F.when(year != "", F.make_date(year.cast("int"), F.lit(1), F.lit(1))),
     )
+
+
+def model_cleanup(c: Column) -> Column:
+    """Cleanup before a text goes to a model: like ``basic_cleanup``, but decorative signs vanish and quotation marks become plain; NULL gives an empty text."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"\p{Cf}", ""), r"[•●▪♦■★☆※…‐-⁃]", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\.{3,}", "."), r"={2,}|[_~^`]+", "")
+    return _strip(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+
+
+def normal_path(c: Column) -> Column:
+    """A relative path with forward slashes, without ``./`` and ``x/../``."""
+    t = F.regexp_replace(F.translate(c, "\\", "/"), r"(?:^|(?<=/))\./", "")
+    for _ in range(3):
+        t = F.regexp_replace(t, r"(?:^|(?<=/))(?!\.\./)[^/]+/\.\./", "")
+    return F.regexp_replace(t, r"/{2,}", "/")
+
+
+def source_of_url(url: Column, prefix: str) -> Column:
+    """``PREFIX_x`` where x is the third segment from an address's end."""
+    parts = F.split(url, "/")
+    return F.when(F.size(parts) >= 3, F.concat(F.lit(f"{prefix}_"), F.element_at(parts, -3)))

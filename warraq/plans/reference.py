@@ -167,6 +167,64 @@ def index_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", text.index_tokens(F.col("text")).alias("tokens"))
 
 
+@query(
+    """select row_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(page2, ''), '\\r\\n?', chr(10), 'g'),
+    '\\p{Cf}', '', 'g'), '[•●▪♦■★☆※…\\x{2010}-\\x{2043}]', '', 'g'), '\\.{3,}', '.', 'g'), '={2,}|[_~^`]+', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'),
+    '^[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]+|[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]+$', '', 'g') as cleaned from sample_articles"""
+)
+def model_ready_pages(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "sample_articles").select("row_no", text.model_cleanup(F.col("page2")).alias("cleaned"))
+
+
+_WORDS = "len(list_filter(string_split(trim(regexp_replace(coalesce({}, ''), '[\\t\\n\\x0B\\f\\r \\x{{85}}\\p{{Z}}\\x1c-\\x1f]+', ' ', 'g')), ' '), lambda x: x <> ''))"
+
+
+@query(f"select count(*) as n_rows, count(*) filter (where t >= 400) as kept, count(*) filter (where t < 400) as removed, round(avg(t), 6) as mean_tokens from (select 2 * {_WORDS.format('page1')} + 2 * {_WORDS.format('page2')} as t from sample_articles)")
+def token_filter(spark: SparkSession, d: str) -> DataFrame:
+    t = text.token_estimate(F.col("page1")) + text.token_estimate(F.col("page2"))
+    return load(spark, d, "sample_articles").select(t.alias("t")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("t") >= 400).alias("kept"), F.count_if(F.col("t") < 400).alias("removed"), F.round(F.avg("t"), 6).alias("mean_tokens"))
+
+
+@query("select name, count(*) as article_count, array_to_string(list_sort(list(article_id)), ',') as article_ids from (select article_id, trim(unnest(from_json(authors_en, '[\"VARCHAR\"]'))) as name from sample_articles where authors_en like '[%') where name <> '' group by name")
+def inverted_index(spark: SparkSession, d: str) -> DataFrame:
+    names = load(spark, d, "sample_articles").filter("authors_en like '[%'").select("article_id", F.explode(lists.literal_list(F.col("authors_en"))).alias("raw")).select("article_id", F.trim("raw").alias("name"))
+    rows = names.filter("name <> ''").groupBy("name").agg(F.count("*").alias("article_count"), F.array_sort(F.collect_list("article_id")).alias("ids"))
+    return rows.select("name", "article_count", F.array_join(F.col("ids").cast("array<string>"), ",").alias("article_ids"))
+
+
+@query("select source, row_number() over (order by source) as place from (select distinct source from sample_articles where source is not null)")
+def distinct_sources(spark: SparkSession, d: str) -> DataFrame:
+    sources = load(spark, d, "sample_articles").select("source").filter("source is not null").distinct()
+    return relational.numbered(sources, [F.col("source")], "place")
+
+
+@query("select author_id, articles_count from (select author_id, count(distinct article_id) as articles_count from author_links where author_id is not null group by author_id) order by articles_count desc, author_id limit 5")
+def busiest_authors(spark: SparkSession, d: str) -> DataFrame:
+    return registry.author_stats(load(spark, d, "author_links")).select("author_id", "articles_count").orderBy(F.col("articles_count").desc(), "author_id").limit(5)
+
+
+@query("select round(avg(n), 6) as authors_per_article, (select round(avg(m), 6) from (select count(distinct article_id) as m from author_links where author_id is not null group by author_id)) as articles_per_author from (select count(distinct author_id) as n from author_links where author_id is not null group by article_id)")
+def link_means(spark: SparkSession, d: str) -> DataFrame:
+    links = load(spark, d, "author_links").filter("author_id is not null").select("article_id", "author_id").distinct()
+    per_article = links.groupBy("article_id").count().agg(F.round(F.avg("count"), 6).alias("authors_per_article"))
+    per_author = links.groupBy("author_id").count().agg(F.round(F.avg("count"), 6).alias("articles_per_author"))
+    # a row each
+    return per_article.join(F.broadcast(per_author))
+
+
+@query("select article_id, loaded_at, row_no from (select article_id, max(loaded_at) as loaded_at, max(row_no) as row_no, count(*) as n from sample_articles group by article_id) where n > 1")
+def repeated_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "sample_articles").groupBy("article_id").agg(F.max("loaded_at").alias("loaded_at"), F.max("row_no").alias("row_no"), F.count("*").alias("n"))
+    return rows.filter("n > 1").select("article_id", "loaded_at", "row_no")
+
+
+@query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events group by 1, 2")
+def hourly_events(spark: SparkSession, d: str) -> DataFrame:
+    from warraq.streaming.ingest import windowed_counts
+
+    return windowed_counts(load(spark, d, "events"))
+
+
 # merging, resuming, chunks, samples
 
 
