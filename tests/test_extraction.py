@@ -10,29 +10,27 @@ def fold(t):
     return t.lower().translate(str.maketrans("أإآةىئ", "اااهيي"))
 
 
-def plain_abstract(t):
+def plain_abstract(t, p=x.STRICT):
     """The extraction again, as a plain loop."""
     s = fold(t)
-    stop = re.compile(f"{x.KEYWORD_START}|{x.STOP}")
 
     def until(a):
         w = s[a : a + 3000]
-        m = re.search(x.KEYWORD_START + "|" + x.STOP, w, re.S)
+        m = re.search(p.keyword_start + "|" + p.stop, w, re.S)
         return a + (m.start() if m else min(len(w), 1000))
 
     found = []
-    for m in re.finditer(x.HEADER, s):
+    for m in re.finditer(p.header, s):
         c = re.sub(r"^[:\-.]+\s*", "", t[m.end() : until(m.end())].strip())
         if len(c) > 50 and re.search("[؀-ۿ]", c):
             found.append(c)
     if found:
         return re.sub(r"\s+", " ", max(found, key=len)).strip()
-    m = re.search(x._any(x.PURPOSE_VERBS, r"\b"), s)
+    m = re.search(p.verbs, s)
     if m and m.start() < 3000:
         c = t[m.start() : until(m.start())].strip()
         if len(c) > 50:
             return re.sub(r"\s+", " ", c).strip()
-    del stop
     return None
 
 
@@ -48,6 +46,16 @@ def test_abstracts_are_those_of_the_plain_loop(values):
     assert [r.abstract for r in got] == [plain_abstract(t) for t in TEXTS]
 
 
+def test_markers_that_the_fold_changes(values):
+    loose = x.Patterns.of(strict=False)
+    texts = [f"ملخص {BODY}Introduction {BODY}", f"تسعى الدراسة إلى {BODY}", f"Keywords: one, two\n{BODY}"]
+    got = x.extract_abstracts(values(*texts), "v", patterns=loose).orderBy("k").collect()
+    assert [r.abstract for r in got] == [plain_abstract(t, loose) for t in texts]
+    assert got[0].abstract == BODY.strip() and got[1].abstract.startswith("تسعى")
+    strict, free = (values(texts[2]).select(x.extract_keywords(F.col("v"), p).alias("w")).first().w for p in (x.STRICT, loose))
+    assert strict is None and free == ["one", "two"]
+
+
 @pytest.mark.parametrize(
     "page,want",
     [

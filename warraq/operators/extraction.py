@@ -37,9 +37,32 @@ KEYWORD_SECOND = ("مفتاحية", "دالة", "رئيسية")
 STOP_ROOTS = ("مقدمة", "تمهيد", "Introduction", "Correspondence", "المراجع")
 PURPOSE_VERBS = ("هدفت", "استهدفت", "تهدف", "يهدف", "هدف", "سعت", "تسعى", "يسعى", "تناولت", "تتناول", "ركزت", "تركز", "تكمن", "aims", "aimed", "objective", "purpose")
 
-HEADER = _any(ABSTRACT_ROOTS)
-KEYWORD_START = rf"(?:{skeleton('كلمات')}.{{0,15}}{_any(KEYWORD_SECOND)}|Keywords|Key\s*words)"
-STOP = "(?:" + "|".join([*(skeleton(w) for w in STOP_ROOTS), "Doi", r"1\.", r"\*", "First", r"I\."]) + ")"
+
+
+@dataclass(frozen=True)
+class Patterns:
+    """Patterns over folded text.
+
+    ``strict`` keeps the markers as they are written, so those with capitals
+    or with letters that the fold changes never match; without it they are
+    folded like the text, and match.
+    """
+
+    header: str
+    keyword_start: str
+    stop: str
+    verbs: str
+
+    @staticmethod
+    def of(strict: bool = True) -> Patterns:
+        fold = (lambda w: w) if strict else (lambda w: w.lower().translate(str.maketrans("أإآةىئ", "اااهيي")))
+        some = lambda words, before="": _any(tuple(fold(w) for w in words), before)
+        start = rf"(?:{skeleton('كلمات')}.{{0,15}}{some(KEYWORD_SECOND)}|{fold('Keywords')}|{fold('Key')}\s*words)"
+        stop = "(?:" + "|".join([*(skeleton(fold(w)) for w in STOP_ROOTS), fold("Doi"), r"1\.", r"\*", fold("First"), fold("I") + r"\."]) + ")"
+        return Patterns(some(ABSTRACT_ROOTS), start, stop, some(PURPOSE_VERBS, r"\b"))
+
+
+STRICT = Patterns.of()
 
 
 def full_text(page1: Column, page2: Column) -> Column:
@@ -51,7 +74,7 @@ def full_text(page1: Column, page2: Column) -> Column:
     return F.concat(p1, F.lit(" \n "), F.when(repeated, rest).otherwise(p2))
 
 
-def extract_abstracts(df: DataFrame, text: str, out: str = "abstract") -> DataFrame:
+def extract_abstracts(df: DataFrame, text: str, out: str = "abstract", patterns: Patterns = STRICT) -> DataFrame:
     """``df`` with the longest abstract behind a header; without one, what a purpose verb near the start opens; NULL if neither.
 
     The folded text, its headers and its windows are columns of their own, so
@@ -59,18 +82,18 @@ def extract_abstracts(df: DataFrame, text: str, out: str = "abstract") -> DataFr
     """
     size = lambda parts: F.aggregate(parts, F.lit(0), lambda a, p: a + F.length(p))
     tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)\A\s+|\s+\z", ""), r"(?U)\A[:\-.]+\s*", "")
-    verb = f"(?Uds)\\A(.*?){_any(PURPOSE_VERBS, chr(92) + 'b')}"
+    verb = f"(?Uds)\\A(.*?){patterns.verbs}"
     rows = df.withColumn("_f", fold_search(F.col(text)))
-    rows = rows.withColumns({"_pieces": F.split("_f", f"(?d){HEADER}", -1), "_heads": F.regexp_extract_all("_f", F.lit(f"(?d){HEADER}"), F.lit(0))})
+    rows = rows.withColumns({"_pieces": F.split("_f", f"(?d){patterns.header}", -1), "_heads": F.regexp_extract_all("_f", F.lit(f"(?d){patterns.header}"), F.lit(0))})
     rows = rows.withColumn("_ends", F.transform("_heads", lambda h, i: size(F.slice("_pieces", F.lit(1), i + 1)) + size(F.slice("_heads", F.lit(1), i + 1)) + 1))
     rows = rows.withColumn("_windows", F.transform("_ends", lambda e: F.substring(F.col("_f"), e, F.lit(3000))))
-    upto = lambda w: F.length(F.get(F.split(w, f"(?ds){KEYWORD_START}|{STOP}", 2), F.lit(0)))
+    upto = lambda w: F.length(F.get(F.split(w, f"(?ds){patterns.keyword_start}|{patterns.stop}", 2), F.lit(0)))
     length = lambda w: F.when(upto(w) < F.length(w), upto(w)).otherwise(F.least(F.length(w), F.lit(1000)))
     rows = rows.withColumn("_found", F.transform(F.arrays_zip("_ends", "_windows"), lambda x: tidy(F.substring(F.col(text), x["_ends"], length(x["_windows"])))))
     good = F.filter("_found", lambda c: (F.length(c) > 50) & c.rlike(ARABIC))
     rows = rows.withColumn("_best", F.aggregate(good, F.lit(""), lambda a, c: F.when(F.length(c) > F.length(a), c).otherwise(a)))
     rows = rows.withColumn("_before", F.when(F.col("_best") == "", F.regexp_extract("_f", verb, 1)))
-    has_verb = F.col("_f").rlike(f"(?Ud){_any(PURPOSE_VERBS, chr(92) + 'b')}")
+    has_verb = F.col("_f").rlike(f"(?Ud){patterns.verbs}")
     rows = rows.withColumn("_window", F.when((F.col("_best") == "") & has_verb & (F.length("_before") < 3000), F.substring(F.col("_f"), F.length("_before") + 1, F.lit(3000))))
     opened = F.when(F.col("_window").isNotNull(), F.substring(F.col(text), F.length("_before") + 1, length(F.col("_window"))))
     rows = rows.withColumn("_second", F.regexp_replace(opened, r"(?U)\A\s+|\s+\z", ""))
@@ -78,17 +101,17 @@ def extract_abstracts(df: DataFrame, text: str, out: str = "abstract") -> DataFr
     return rows.withColumn(out, result).drop("_f", "_pieces", "_heads", "_ends", "_windows", "_found", "_best", "_before", "_window", "_second")
 
 
-def extract_keywords(text: Column) -> Column:
+def extract_keywords(text: Column, patterns: Patterns = STRICT) -> Column:
     """Keywords of the last keyword line, as an array; NULL if there are none."""
     folded = fold_search(text)
-    found = F.regexp_extract_all(folded, F.lit(rf"(?d)(?s:(.?)){KEYWORD_START}(?s:.{{0,4}}?\n)?[^\n]*"), F.lit(0))
-    pieces = F.split(folded, rf"(?d)(?s:(.?)){KEYWORD_START}(?s:.{{0,4}}?\n)?[^\n]*", -1)
+    found = F.regexp_extract_all(folded, F.lit(rf"(?d)(?s:(.?)){patterns.keyword_start}(?s:.{{0,4}}?\n)?[^\n]*"), F.lit(0))
+    pieces = F.split(folded, rf"(?d)(?s:(.?)){patterns.keyword_start}(?s:.{{0,4}}?\n)?[^\n]*", -1)
 
     def candidate(match: Column, i: Column) -> Column:
         start = F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + 1
-        head = F.length(F.regexp_extract(match, rf"(?d)\A(?s:.?){KEYWORD_START}(?s:.{{0,4}}?\n)?", 0))
+        head = F.length(F.regexp_extract(match, rf"(?d)\A(?s:.?){patterns.keyword_start}(?s:.{{0,4}}?\n)?", 0))
         line = F.substring(match, head + 1, F.length(match))
-        stop = f"(?d){STOP}|{HEADER}"
+        stop = f"(?d){patterns.stop}|{patterns.header}"
         upto = F.when(F.substring(match, 1, 1) == "(", F.length(F.get(F.split(line, stop + r"|\)", 2), F.lit(0)))).otherwise(F.length(F.get(F.split(line, stop, 2), F.lit(0))))
         raw = F.substring(text, start + head, upto)
         return F.regexp_replace(F.regexp_replace(raw, r"(?U)\A\s+|\s+\z", ""), r"(?U)\A[:\-.]+\s*", "")
