@@ -240,19 +240,26 @@ _RUNNING = re.compile(r"ISSN|\bvol\.?\s*\d|\bno\.\s*\d|(?:المجلد|مجلد|
 _END = re.compile(r"[.!?؟]+(?=[\s»\")]|$)")
 
 
-def sentences(page: str) -> list[str]:
-    """The whole sentences of a page: at least five words up to an end mark, without keyword and reference lists, headers and page numbers."""
+_UNSEEN = re.compile(f"[{_ZERO}]")
+_WIDE, _DIGIT = re.compile("[！-￮]"), re.compile(r"\d")
+
+
+def sentences(page: str) -> list[list[str]]:
+    """The words of the whole sentences of a page: at least five up to an end mark, without keyword and reference lists, headers and page numbers."""
     kept: list[str] = []
     skipping = False
-    page = unicodedata.normalize("NFKC", page) if not page.isascii() and re.search("[！-￮]", page) else page
+    page = _UNSEEN.sub("", page)
+    page = unicodedata.normalize("NFKC", page) if _WIDE.search(page) else page
     for line in page.split("\n"):
-        line = re.sub(rf"[{_ZERO}]", "", line).strip()
-        if not line or _RUNNING.search(line):
+        line = line.strip()
+        # a running line has a number or the word that stands before it
+        if not line or ((_DIGIT.search(line) or "ISSN" in line) and _RUNNING.search(line)):
             continue
-        if _NOT_PROSE.match(line):
-            skipping = True
-        elif skipping and _OPENS.match(line):
-            skipping = False
+        if ":" in line or "：" in line:
+            if _NOT_PROSE.match(line):
+                skipping = True
+            elif skipping and _OPENS.match(line):
+                skipping = False
         if skipping:
             # the list ends with its full stop at a line's end
             if line.endswith("."):
@@ -264,10 +271,10 @@ def sentences(page: str) -> list[str]:
     for block in "\n".join(kept).split("\0"):
         last = 0
         for m in _END.finditer(block):
-            s = block[last : m.end()].strip()
+            words = WORD.findall(block, last, m.end())
             last = m.end()
-            if len(WORD.findall(s)) >= 5:
-                out.append(s)
+            if len(words) >= 5:
+                out.append(words)
     return out
 
 
@@ -279,9 +286,8 @@ def page_languages(df: DataFrame, key: str, text: str, model: np.ndarray, share:
         labeller = Labeller(model)
 
         def each(keys: list, texts: list) -> tuple:
-            split = [sentences(t) if t else [] for t in texts]
             # one path over the whole page, so a sentence is judged by its neighbours too
-            per = [[WORD.findall(s) for s in some] for some in split]
+            per = [sentences(t) if t else [] for t in texts]
             rows = []
             for key_, words, (path, scores) in zip(keys, per, labeller.paths([[w for s in some for w in s] for some in per])):
                 counts: dict[int, list[float]] = {}
