@@ -41,3 +41,18 @@ def test_operator(spark):
     got = residue.find_residue(df).collect()
     assert sorted((r.doc_id, r.kind) for r in got if r.kind) == [(90, "residue")] * 2 and len(got) == len(rows)
     assert residue.find_residue(df.limit(0)).collect() == []
+
+
+def test_copies_are_no_prose(spark):
+    notices = ["Please enable JavaScript to view this article.", "هذا الموقع يتطلب تشغيل البرامج النصية (رمز {}).", "Access denied. Your network address has been blocked by the site {}."]
+    filled = [(k, PROSE + f"sample {chr(97 + k // 8)}{chr(97 + k % 8)} " + ARABIC * 3) for k in range(60)]
+    for notice in notices:
+        rows = filled + [(1000 + k, notice.format(k)) for k in range(60)]
+        got = {r.doc_id for r in residue.find_residue(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.kind}
+        assert got == set(range(1000, 1060))
+
+
+def test_windows_of_notices_are_left_out(spark):
+    mixed = [(PROSE * 3 + f"sample {k} Please enable JavaScript to view this article.",) for k in "abcdefgh"]
+    counts = residue.prose_counts(spark.createDataFrame(mixed, "text string"))
+    assert counts[residue.grams("JavaScript")].sum() == 0 and counts[residue.grams("salinity")].min() > 0

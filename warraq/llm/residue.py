@@ -3,9 +3,11 @@
 Character four-gram models of filler, of error and access notices and of
 natural prose give each four-gram a log-likelihood ratio; windows in which the
 ratio speaks for residue are marked, and a document is residue if marked
-windows cover at least ``coverage`` of it. The prose model counts every
-document; the two others are fitted on the seed lines below. Four-grams are
-hashed into ``BUCKETS`` counters, so a model's size doesn't follow the corpus.
+windows cover at least ``coverage`` of it. The prose model counts each distinct
+text once, without texts and windows made up of the seed lines' four-grams, so
+that copies of a notice can't make it prose; the two others are fitted on the
+seed lines below. Four-grams are hashed into ``BUCKETS`` counters, so a model's
+size doesn't follow the corpus.
 
 Unfilled placeholders are found by their notation. One that is quoted or named
 in a sentence about templates isn't a case, and what stands between quotation
@@ -30,6 +32,9 @@ from warraq.llm.batches import map_rows
 BUCKETS = 1 << 17
 COVERAGE = 0.5
 WINDOW = 24
+#: Line ends between joined texts. The share of four-grams known from the seed lines that keeps a text, or a window, out of the prose model.
+GAP = 4
+SEED_TEXT, SEED_WINDOW = 0.5, 0.9
 
 #: Training lines of the filler model.
 FILLER = """Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua.
@@ -98,22 +103,44 @@ def grams(text: str) -> np.ndarray:
     return ((h >> np.uint64(12)) % np.uint64(BUCKETS)).astype(np.int64)
 
 
+def _of_seeds() -> np.ndarray:
+    known = np.zeros(BUCKETS, bool)
+    known[grams(FILLER)] = known[grams(NOTICES)] = True
+    return known
+
+
+def _kept(g: np.ndarray, sizes: list[int], known: np.ndarray) -> np.ndarray:
+    """The four-grams ``g`` of joined texts, of so many places each, without what the seed lines alone tell for residue."""
+    sums = np.concatenate([[0], np.cumsum(known[g])])
+    starts = np.cumsum([0, *sizes[:-1]])
+    ends = np.minimum(starts + np.maximum(np.array(sizes) - GAP - 3, 0), len(g))
+    starts = np.minimum(starts, ends)
+    drop = np.repeat(sums[ends] - sums[starts] >= SEED_TEXT * np.maximum(ends - starts, 1), sizes)[: len(g)]
+    if len(g) >= WINDOW:
+        edge = np.zeros(len(g) + 1, np.int32)
+        full = (sums[WINDOW:] - sums[:-WINDOW] >= SEED_WINDOW * WINDOW).astype(np.int32)
+        edge[: len(full)] += full
+        edge[WINDOW : WINDOW + len(full)] -= full
+        drop |= np.cumsum(edge)[:-1] > 0
+    return g[~drop]
+
+
 def prose_counts(df: DataFrame, text: str = "text") -> np.ndarray:
-    """Four-gram counts of all texts; at most ``BUCKETS`` rows come to the driver."""
+    """Four-gram counts of the distinct texts, digits apart, less what the seed lines know; at most ``BUCKETS`` rows come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(BUCKETS, np.int64)
+        sums, known = np.zeros(BUCKETS, np.int64), _of_seeds()
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    sums += np.bincount(grams(t), minlength=BUCKETS) if len(t) > 20_000 else 0
-            short = "\n\n\n\n".join(t for t in batch.column(0).to_pylist() if t and len(t) <= 20_000)
-            sums += np.bincount(grams(short), minlength=BUCKETS)
+            texts = [t.lower() for t in batch.column(0).to_pylist() if t]
+            for some in [[t] for t in texts if len(t) > 20_000] + [[t for t in texts if len(t) <= 20_000]]:
+                if some:
+                    sums += np.bincount(_kept(grams(("\n" * GAP).join(some)), [len(t) + GAP for t in some], known), minlength=BUCKETS)
         at = np.nonzero(sums)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["bucket", "n"])
 
     out = np.zeros(BUCKETS, np.int64)
-    for r in df.select(text).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    distinct = df.select(F.regexp_replace(F.lower(text), r"\p{Nd}", "0").alias("text")).distinct()
+    for r in distinct.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
