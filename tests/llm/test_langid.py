@@ -62,3 +62,18 @@ def test_nothing_to_learn_from(spark):
     m = langid.train(spark.createDataFrame([], "text string, lang string"))
     assert np.isfinite(m).all()
     assert langid.identify(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text", m).collect() == []
+
+
+def test_pages_and_name_lists_have_segments_and_confidence(spark, tmp_path):
+    from warraq.llm import queries
+
+    ar, en = "تهدف الدراسة إلى قياس أثر الذاكرة العاملة في التحصيل الدراسي لدى الطلاب.", "The paper aims to measure the effect of working memory on the students."
+    spark.createDataFrame([(k, t, c) for k in range(20) for t, c in ((ar, "ar"), (en, "en"))], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, f"{ar}\n{en}", "منى الشلنغري; Mona Kamel"), (2, None, None)], "row_no long, page1 string, authors string").write.parquet(f"{tmp_path}/sample_articles.parquet")
+    page, names = f"{ar}\n{en}", "منى الشلنغري; Mona Kamel"
+    got = queries.queries()["p7_field_segments"](spark, str(tmp_path)).collect()
+    text = {"page1": page, "authors": names}
+    spans = {(r.field, r.rec_key, r.lang, text[r.field][r.start : r.end]) for r in got}
+    assert {("page1", 1, "ar", ar[:-1]), ("page1", 1, "en", en[:-1]), ("authors", 1, "en", "Mona Kamel")} <= spans and all(0 < r.confidence <= 1 for r in got)
+    found = queries.queries()["p7_field_languages"](spark, str(tmp_path)).collect()
+    assert {(r.field, r.rec_key, r.lang) for r in found} == {(f, 1, c) for f in ("page1", "authors") for c in ("ar", "en")} and all(0 < r.confidence <= 1 for r in found)

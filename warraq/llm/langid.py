@@ -317,3 +317,34 @@ def name_list_languages(df: DataFrame, key: str, authors: str) -> DataFrame:
     both = F.array(F.struct(F.lit("ar").alias("lang"), ar.alias("k")), F.struct(F.lit("en").alias("lang"), en.alias("k")))
     rows = items.select(key, n.alias("n"), F.explode(both).alias("x")).filter("x.k > 0")
     return rows.select(key, F.col("x.lang").alias("lang"), F.round(F.col("x.k") / F.col("n"), 4).alias("confidence"))
+
+
+_NAME_SCRIPT = re.compile("(?P<ar>[ء-يٱ-ۓﭐ-﷿ﹰ-ﻼ])|(?P<en>[A-Za-zＡ-Ｚａ-ｚ])")
+
+
+def name_list_segments(df: DataFrame, key: str, authors: str) -> DataFrame:
+    """(key, seg_no, start, end, lang, confidence): the spans of a packed list in ``ar`` and ``en``, by script as in ``name_list_languages``; confidence is the share of their words in that script."""
+    columns = [(key, pa.int64()), ("seg_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]
+
+    def make() -> Callable[..., tuple]:
+        def each(keys: list, texts: list) -> tuple:
+            rows = []
+            for key_, text in zip(keys, texts):
+                spans: list[list] = []
+                for m in WORD.finditer(text or ""):
+                    script = _NAME_SCRIPT.search(m.group())
+                    lang = script.lastgroup if script else None
+                    if lang and (not spans or spans[-1][2] != lang):
+                        spans.append([m.start(), m.end(), lang, 0, 0])
+                    if spans:
+                        spans[-1][3] += bool(lang)
+                        spans[-1][4] += 1
+                        if lang:
+                            spans[-1][1] = m.end()
+                rows += [(key_, no, a, b, lang, round(k / n, 4)) for no, (a, b, lang, k, n) in enumerate(spans, 1)]
+            return tuple(zip(*rows)) if rows else ([],) * len(columns)
+
+        return each
+
+    rows = df.select(F.col(key).cast("bigint").alias(key), F.col(authors).alias("text"))
+    return map_rows(rows, make, f"`{key}` bigint, seg_no int, start int, end int, lang string, confidence double", pa.schema(columns))

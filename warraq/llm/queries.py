@@ -112,6 +112,22 @@ def p7_segments(spark: SparkSession, d: str) -> DataFrame:
     return langid.segments(docs, "doc_id", "text", langid.train(docs))
 
 
+def p7_field_segments(spark: SparkSession, d: str) -> DataFrame:
+    """(field, rec_key, seg_no, start, end, lang, confidence): the spans of one language of every page and name list."""
+    sample, model = load(spark, d, "sample_articles"), _model(spark, d)
+    of = lambda found, field: found.select(F.lit(field).alias("field"), F.col("row_no").alias("rec_key"), *found.columns[1:])
+    page1, authors = of(langid.segments(sample, "row_no", "page1", model), "page1"), of(langid.name_list_segments(sample, "row_no", "authors"), "authors")
+    return page1.unionByName(authors)
+
+
+def p7_field_languages(spark: SparkSession, d: str) -> DataFrame:
+    """(field, rec_key, lang, confidence): the languages of every page and name list."""
+    sample = load(spark, d, "sample_articles")
+    pages = langid.page_languages(sample, "row_no", "page1", _model(spark, d)).select(F.lit("page1").alias("field"), F.col("row_no").alias("rec_key"), "lang", "confidence")
+    lists = langid.name_list_languages(sample, "row_no", "authors").select(F.lit("authors").alias("field"), F.col("row_no").alias("rec_key"), "lang", "confidence")
+    return pages.unionByName(lists)
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, ids) of every document."""
     return encode.encode(load(spark, d, "documents"))
