@@ -94,3 +94,29 @@ def test_little_room_is_left():
     histogram = {s: 1 + (s * 7919) % 90 for s in range(60, 1200, 3)}
     used = sum(p.copies for p in packing.plan(histogram, 4096))
     assert sum(s * n for s, n in histogram.items()) / (used * 4096) > 0.985
+
+
+def test_the_program_packs(monkeypatch):
+    histogram = {s: 1 + (s * 7919) % 90 for s in range(3, 1200)}
+    total = sum(s * n for s, n in histogram.items())
+    rest = []
+    best_fit = packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda lengths, *more: rest.append(lengths) or best_fit(lengths, *more))
+    for times in (1, 1000):
+        rest.clear()
+        some = {s: n * times for s, n in histogram.items()}
+        done = packing.plan(some, 4096)
+        # best-fit gets less than a twentieth, and the plan is as good as best-fit alone but for a ten thousandth
+        assert sum(s * n for s, n in rest[0].items()) < 0.05 * total * times
+        assert sum(p.copies for p in done) <= 1.0001 * sum(p.copies for p in best_fit(Counter(some), 4096))
+        # the driver's rows follow the lengths, not the items
+        assert len(done) < 10 * len(histogram)
+
+
+def test_bound_of_the_program():
+    import numpy as np
+
+    sizes, demand = np.array([26, 34, 51, 60]), np.array([120, 90, 40, 70])
+    solved = packing.fractional(sizes, demand, 100)
+    # the optimum: 60 with 34 (70), 51 with 34 (20) or 26, and 26 by threes
+    assert solved.bound <= 140 <= solved.containers * 1.02 and solved.containers <= solved.bound * 1.25

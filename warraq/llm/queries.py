@@ -134,8 +134,8 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id): documents that alone exceed a container."""
-    return packing.pack(load(spark, d, "documents")).filter("n_parts > 1").select("doc_id").distinct()
+    """(doc_id): documents that alone exceed a container. The operator's first step tells it, before any container is planned."""
+    return packing.split_parts(packing.measured(load(spark, d, "documents"))).filter("n_parts > 1").select("doc_id").distinct()
 
 
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
