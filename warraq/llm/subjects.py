@@ -3,10 +3,12 @@
 Labelling functions vote on each pair of an abstract and a subject it
 mentions: mentions of the subject's terms (a lexicon learned from the labelled
 texts), sentences with such terms, the keyword section, the title, the
-general_field and the source's ending. A latent model learns from all pairs,
-without their labels, how often each vote occurs with pairs that are true and
-pairs that are not (expectation-maximisation over the counts of vote
-patterns), and a pair's posterior decides.
+general_field, the source's ending and the address the article lies at: how
+much more often than elsewhere the subject is mentioned several times under
+this code. A latent model learns from all pairs, without their labels, how
+often each vote occurs with pairs that are true and pairs that are not
+(expectation-maximisation over the counts of vote patterns), and a pair's
+posterior decides; an abstract may have any number of subjects.
 
 The driver sees the labelled texts (at most ``LABEL_BOUND`` rows, a documented
 bound) and the vote patterns, whose number doesn't follow the corpus.
@@ -25,14 +27,16 @@ from collections.abc import Callable
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.functions.dimensions import general_field, source_ending
 from warraq.llm.batches import map_rows
+from warraq.session import cut
 
 LABEL_BOUND = 20_000
-VOTES = ("mentions", "sentences", "share", "keywords", "title", "field", "ending")
+VOTES = ("mentions", "sentences", "share", "keywords", "title", "field", "ending", "address")
+_IN_TEXT = VOTES[:-1]
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKS = re.compile("[ً-ْـ​-‏⁠﻿]")
 _SENTENCE = re.compile(r"(?<=[.!?؟])\s+|\n")
@@ -107,23 +111,39 @@ def _votes(finder: Finder, abstract: str, keywords: str | None, title: str | Non
 
 
 def votes(articles: DataFrame, lexicon: dict[str, str]) -> DataFrame:
-    """(article_id, subject, a column for each vote): the pairs of all rows with an abstract."""
-    schema = ", ".join(["article_id bigint", "subject string", *(f"{v} int" for v in VOTES)])
-    arrow = pa.schema([("article_id", pa.int64()), ("subject", pa.string()), *((v, pa.int32()) for v in VOTES)])
+    """(article_id, code, subject, a column for each vote): the pairs of all rows with an abstract. ``code`` is the letters that the file name in ``path`` starts with."""
+    schema = ", ".join(["article_id bigint", "code string", "subject string", *(f"{v} int" for v in _IN_TEXT)])
+    arrow = pa.schema([("article_id", pa.int64()), ("code", pa.string()), ("subject", pa.string()), *((v, pa.int32()) for v in _IN_TEXT)])
 
     def make() -> Callable[..., tuple]:
         finder = Finder(lexicon)
 
-        def each(ids: list, *columns: list) -> tuple:
-            rows = [(i, s, *v) for i, *row in zip(ids, *columns) for s, v in _votes(finder, *row)]
+        def each(ids: list, codes: list, *columns: list) -> tuple:
+            rows = [(i, c, s, *v) for i, c, *row in zip(ids, codes, *columns) for s, v in _votes(finder, *row)]
             return tuple(zip(*rows)) if rows else ([],) * len(arrow)
 
         return each
 
     rows = articles.filter(F.trim("abstract_ar") != "").select(
-        F.col("article_id").cast("bigint"), "abstract_ar", "keywords", "title", general_field(F.col("general_field")).alias("field"), source_ending(F.col("source")).alias("ending")
+        F.col("article_id").cast("bigint"), F.upper(F.nullif(F.regexp_extract("path", r"([A-Za-z]+)[^/\\]*$", 1), F.lit(""))).alias("code"), "abstract_ar", "keywords", "title", general_field(F.col("general_field")).alias("field"), source_ending(F.col("source")).alias("ending")
     )
-    return map_rows(rows, make, schema, arrow)
+    return with_address(cut(map_rows(rows, make, schema, arrow)))
+
+
+def with_address(pairs: DataFrame, prior: float = 20.0) -> DataFrame:
+    """``pairs`` with the address's vote: 0 to 2 by how the subject's share under the code compares with its share of all, 3 without a code.
+
+    Shares are of pairs with several mentions; ``prior`` pairs of the overall share are added, so a rare code says little.
+    """
+    counted = pairs.filter("mentions >= 2").groupBy("code", "subject").agg(F.count("*").alias("n"))
+    everywhere = counted.groupBy("subject").agg(F.sum("n").alias("ns"))
+    total = F.sum("ns").over(Window.partitionBy(F.lit(0)))  # a row for each subject of the labels
+    shares = everywhere.select("subject", (F.col("ns") / total).alias("share"))
+    here = counted.filter("code is not null").groupBy("code").agg(F.sum("n").alias("nc"))
+    lift = (F.coalesce("n", F.lit(0)) + prior * F.col("p")) / (F.coalesce("nc", F.lit(0)) + prior) / F.col("p")
+    vote = F.when(F.col("code").isNull() | F.col("p").isNull(), 3).when(lift < 0.8, 0).when(lift < 1.25, 1).otherwise(2)
+    known = pairs.join(shares.withColumnRenamed("share", "p"), "subject", "left").join(counted, ["code", "subject"], "left").join(here, "code", "left")
+    return known.select(*pairs.columns, vote.alias("address"))
 
 
 def learn_accuracies(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> dict[tuple[int, ...], float]:
@@ -156,16 +176,16 @@ def learn_accuracies(patterns: dict[tuple[int, ...], int], rounds: int = 60) ->
     return {tuple(int(x) for x in k): float(1 - p) for k, p in zip(keys, q[:, 2])}
 
 
-def assign_subjects(articles: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = 2) -> DataFrame:
-    """(article_id, subject, posterior), the likeliest subjects first up to ``most``; at least the likeliest one."""
-    labelled = [(r["text"], r["subject"]) for r in labels.select("text", "subject").filter("text is not null and subject is not null").limit(LABEL_BOUND).collect()]
+def assign_subjects(articles: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(article_id, subject, posterior): every subject whose posterior reaches the threshold, and at least the likeliest one."""
+    labelled = [(r["text"], r["subject"]) for r in labels.select("text", "subject").filter("text is not null and subject is not null").orderBy(F.xxhash64("text", "subject"), "text", "subject").limit(LABEL_BOUND).collect()]
     pairs = votes(articles, learn_lexicon(labelled))
     patterns = {tuple(r[v] for v in VOTES): r["count"] for r in pairs.groupBy(*VOTES).count().collect()}
     learned = learn_accuracies(patterns)
     spark = articles.sparkSession
     table = spark.createDataFrame([(*k, p) for k, p in learned.items()], ", ".join([*(f"{v} int" for v in VOTES), "posterior double"]))
     scored = pairs.join(F.broadcast(table), list(VOTES)).groupBy("article_id", "subject").agg(F.max("posterior").alias("posterior"))
-    ranked = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("posterior", "subject")))), 1, most)
+    ranked = F.reverse(F.array_sort(F.collect_list(F.struct("posterior", "subject"))))
     best = scored.groupBy("article_id").agg(ranked.alias("best"))
     kept = F.filter("best", lambda x, i: (x["posterior"] >= threshold) | (i == 0))
     return best.select("article_id", F.explode(kept).alias("x")).select("article_id", "x.subject", F.round("x.posterior", 4).alias("posterior"))
