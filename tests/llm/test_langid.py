@@ -53,9 +53,9 @@ def test_whole_sentences_of_pages(spark, model):
     assert got == {(1, "en"), (1, "ar"), (4, "tr")}
 
 
-def test_name_lists(spark):
+def test_name_lists(spark, model):
     df = spark.createDataFrame([(1, "['Ann Lee', 'أمل علي']"), (2, "nan"), (3, None), (4, '["\\u0623\\u0645\\u0644"]'), (5, "A. Lee; B. Roe")], "row_no long, authors string")
-    assert {(r.row_no, r.lang) for r in langid.name_list_languages(df, "row_no", "authors").collect()} == {(1, "ar"), (1, "en"), (4, "ar"), (5, "en")}
+    assert {(r.row_no, r.lang) for r in langid.name_list_languages(df, "row_no", "authors", model).collect()} == {(1, "ar"), (1, "en"), (4, "ar"), (5, "en")}
 
 
 def test_nothing_to_learn_from(spark):
@@ -77,3 +77,24 @@ def test_pages_and_name_lists_have_segments_and_confidence(spark, tmp_path):
     assert {("page1", 1, "ar", ar[:-1]), ("page1", 1, "en", en[:-1]), ("authors", 1, "en", "Mona Kamel")} <= spans and all(0 < r.confidence <= 1 for r in got)
     found = queries.queries()["p7_field_languages"](spark, str(tmp_path)).collect()
     assert {(r.field, r.rec_key, r.lang) for r in found} == {(f, 1, c) for f in ("page1", "authors") for c in ("ar", "en")} and all(0 < r.confidence <= 1 for r in found)
+
+
+def test_wrong_and_missing_labels(spark):
+    from warraq.llm import labels
+
+    docs = [(k, t, code) for k, (code, t) in enumerate(list(TEXTS.items()) * 30)]
+    docs += [(900, TEXTS["ar"] + " 12", None), (901, TEXTS["fr"] + " 34", "English"), (902, TEXTS["tr"] + " 5", "Türkçe"), (903, TEXTS["en"] + " 6", "und"), (904, None, "ar"), (905, "", "xx"), (906, "12 %", None), (907, "404 Not Found", "ar"), (900, TEXTS["ar"] + " 12", None)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, lang string, found int, code string")
+    got = sorted(tuple(r) for r in labels.wrong_labels(df, *labels.fit(df)).collect())
+    assert got == [(900, "ar"), (900, "ar"), (901, "fr"), (903, "en")]
+    empty = df.limit(0)
+    assert labels.wrong_labels(empty, *labels.fit(empty)).collect() == []
+
+
+def test_a_text_counts_once_under_its_usual_label(spark):
+    from warraq.llm import labels
+
+    rows = [(TEXTS["ar"], "ar")] * 9 + [(TEXTS["ar"], "fr")] * 2 + [(TEXTS["fr"], "fr")]
+    model, prose = labels.fit(spark.createDataFrame(rows, "text string, lang string"))
+    single, _ = labels.fit(spark.createDataFrame([(TEXTS["ar"], "ar"), (TEXTS["fr"], "fr")], "text string, lang string"))
+    assert np.array_equal(model, single) and prose.sum() > 0

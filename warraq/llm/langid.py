@@ -69,6 +69,36 @@ def plain(word: str) -> str:
     return word.lower().replace("i̇", "i")
 
 
+def word_fold() -> Callable[[np.ndarray, list, list], None]:
+    """A function that adds the features of labelled texts to counters (a row for each language)."""
+    known: dict[str, list[int]] = {}
+
+    def fold(sums: np.ndarray, texts: list, codes: list) -> None:
+        words = {code: Counter() for code in LANGS}
+        for t, code in zip(texts, codes):
+            if t and code in words:
+                words[code].update(WORD.findall(t))
+        for k, code in enumerate(LANGS):
+            at: list[int] = []
+            n: list[int] = []
+            for w, count in words[code].items():
+                f = known.get(w)
+                if f is None:
+                    if len(known) > 200_000:
+                        known.clear()
+                    f = known[w] = features(plain(w))
+                at += f
+                n += [count] * len(f)
+            np.add.at(sums[k], np.array(at, np.int64), np.array(n, np.int64))
+
+    return fold
+
+
+def log_probabilities(counts: np.ndarray, smooth: float = 0.1) -> np.ndarray:
+    """The model: log-probabilities of each bucket under each language."""
+    return np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BUCKETS)).astype(np.float32)
+
+
 def train(documents: DataFrame, text: str = "text", lang: str = "lang") -> np.ndarray:
     """Log-probabilities of each bucket under each language, from all labelled texts.
 
@@ -76,25 +106,9 @@ def train(documents: DataFrame, text: str = "text", lang: str = "lang") -> np.nd
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(LANGS), BUCKETS), np.int64)
-        known: dict[str, list[int]] = {}
+        sums, fold = np.zeros((len(LANGS), BUCKETS), np.int64), word_fold()
         for batch in batches:
-            words = {code: Counter() for code in LANGS}
-            for t, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t and code in words:
-                    words[code].update(WORD.findall(t))
-            for k, code in enumerate(LANGS):
-                at: list[int] = []
-                n: list[int] = []
-                for w, count in words[code].items():
-                    f = known.get(w)
-                    if f is None:
-                        if len(known) > 200_000:
-                            known.clear()
-                        f = known[w] = features(plain(w))
-                    at += f
-                    n += [count] * len(f)
-                np.add.at(sums[k], np.array(at, np.int64), np.array(n, np.int64))
+            fold(sums, batch.column(0).to_pylist(), batch.column(1).to_pylist())
         k, b = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k * BUCKETS + b, pa.int32()), pa.array(sums[k, b], pa.int64())], names=["at", "n"])
 
@@ -102,16 +116,16 @@ def train(documents: DataFrame, text: str = "text", lang: str = "lang") -> np.nd
     got = rows.mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(LANGS) * BUCKETS)
     counts[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    counts = counts.reshape(len(LANGS), BUCKETS)
-    smooth = 0.1
-    return np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * BUCKETS)).astype(np.float32)
+    return log_probabilities(counts.reshape(len(LANGS), BUCKETS))
 
 
 class Labeller:
     """Viterbi labels of the words of texts."""
 
-    def __init__(self, model: np.ndarray, switch: float = SWITCH) -> None:
+    def __init__(self, model: np.ndarray, switch: float = SWITCH, only: tuple[str, ...] = LANGS) -> None:
+        """``only``: the languages that a text may be in."""
         self.model, self.switch = model, switch
+        self.open = np.array([k in only for k in LANGS])
         self.known: dict[str, int] = {}
         self.scores = np.zeros((1 << 12, len(LANGS)), np.float32)
 
@@ -123,10 +137,10 @@ class Labeller:
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             w = plain(word)
             arabic, latin = bool(_IS_ARABIC.search(word)), bool(_IS_LATIN.search(word))
-            if not arabic and not latin or len(w) == 0:
+            if not arabic and not latin or len(w) == 0:  # no language speaks for it
                 self.scores[at] = 0
             else:
-                allowed = (_ARABIC & arabic) | (_LATIN & latin)
+                allowed = ((_ARABIC & arabic) | (_LATIN & latin)) & self.open
                 f = self.model[:, features(w)]
                 s = 1.5 * (f[:, 1:].mean(axis=1) if f.shape[1] > 1 else f[:, 0]) + 0.5 * f[:, 0]
                 s = s - s[allowed].max()
@@ -308,17 +322,39 @@ def page_languages(df: DataFrame, key: str, text: str, model: np.ndarray, share:
     return map_rows(rows, make, f"`{key}` bigint, lang string, sentences int, confidence double", pa.schema(columns))
 
 
-def name_list_languages(df: DataFrame, key: str, authors: str) -> DataFrame:
-    """(key, lang, confidence): ``ar`` and ``en`` by the scripts of the names in a packed list."""
+def name_list_languages(df: DataFrame, key: str, authors: str, model: np.ndarray) -> DataFrame:
+    """(key, lang, confidence): the languages, ``ar`` or ``en``, in which a packed list has a name; confidence is the share of its names.
+
+    Each name is a text of its own to the labeller, which may take these two
+    languages alone: names of one script are written alike in all of its languages.
+    """
+    columns = [(key, pa.int64()), ("lang", pa.string()), ("confidence", pa.float64())]
+
+    def make() -> Callable[..., tuple]:
+        labeller = Labeller(model, only=("ar", "en"))
+        known: dict[str, frozenset[int]] = {}
+
+        def each(keys: list, lists: list) -> tuple:
+            if len(known) > 200_000:
+                known.clear()
+            new = list({n for names in lists for n in names if n not in known})
+            words = [[w for w in WORD.findall(n) if _NAME_SCRIPT.search(w)] for n in new]
+            # a single Latin letter may be a footnote's sign, unless a stop makes it an initial
+            words = [[] if ws and all(len(w) == 1 and w.isascii() for w in ws) and not _INITIAL.search(n) else ws for n, ws in zip(new, words)]
+            known.update((n, frozenset(p.tolist())) for n, (p, _) in zip(new, labeller.paths(words)))
+            rows = []
+            for k, names in zip(keys, lists):
+                n = Counter(lang for name in names for lang in known[name])
+                rows += [(k, LANGS[lang], round(c / len(names), 4)) for lang, c in sorted(n.items())]
+            return tuple(zip(*rows)) if rows else ([],) * len(columns)
+
+        return each
+
     items = df.select(F.col(key).cast("bigint").alias(key), split_values(F.col(authors), AUTHORS).alias("items")).filter(F.size("items") > 0)
-    n = F.size("items")
-    ar = F.size(F.filter("items", lambda x: x.rlike("[ء-يٱ-ۓﭐ-﷿ﹰ-ﻼ]")))
-    en = F.size(F.filter("items", lambda x: x.rlike("[A-Za-zＡ-Ｚａ-ｚ]{2}|[A-Z]\\.")))
-    both = F.array(F.struct(F.lit("ar").alias("lang"), ar.alias("k")), F.struct(F.lit("en").alias("lang"), en.alias("k")))
-    rows = items.select(key, n.alias("n"), F.explode(both).alias("x")).filter("x.k > 0")
-    return rows.select(key, F.col("x.lang").alias("lang"), F.round(F.col("x.k") / F.col("n"), 4).alias("confidence"))
+    return map_rows(items, make, f"`{key}` bigint, lang string, confidence double", pa.schema(columns))
 
 
+_INITIAL = re.compile(r"[A-Z]\.")
 _NAME_SCRIPT = re.compile("(?P<ar>[ء-يٱ-ۓﭐ-﷿ﹰ-ﻼ])|(?P<en>[A-Za-zＡ-Ｚａ-ｚ])")
 
 

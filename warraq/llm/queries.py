@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from warraq.llm import budget, encode, langid, names, noise, packing, residue, subjects, unify
+from warraq.llm import budget, encode, labels, langid, names, noise, packing, residue, subjects, unify
 from warraq.sources import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,15 +88,10 @@ def p5_composition(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """(field, rec_key, lang): missing or wrong labels of documents, languages of pages and name lists."""
     docs, sample = load(spark, d, "documents"), load(spark, d, "sample_articles")
-    model = langid.train(docs)
-    code = langid.label_code(F.col("lang"))
-    judged = langid.identify(docs, "doc_id", "text", model).withColumnRenamed("lang", "found")
-    labels = docs.select("doc_id", code.alias("code"))
-    clean = residue.find_residue(docs).filter("kind is null").select("doc_id")
-    wrong = judged.filter("found is not null").join(labels, "doc_id").filter("code is null or code <> found").join(clean, "doc_id", "left_semi")
-    text = wrong.select(F.lit("text").alias("field"), F.col("doc_id").alias("rec_key"), F.col("found").alias("lang"))
+    model, prose = labels.fit(docs)
+    text = labels.wrong_labels(docs, model, prose).select(F.lit("text").alias("field"), F.col("doc_id").alias("rec_key"), "lang")
     pages = langid.page_languages(sample, "row_no", "page1", model).select(F.lit("page1").alias("field"), F.col("row_no").alias("rec_key"), "lang")
-    lists = langid.name_list_languages(sample, "row_no", "authors").select(F.lit("authors").alias("field"), F.col("row_no").alias("rec_key"), "lang")
+    lists = langid.name_list_languages(sample, "row_no", "authors", model).select(F.lit("authors").alias("field"), F.col("row_no").alias("rec_key"), "lang")
     return text.unionByName(pages).unionByName(lists).distinct()
 
 
@@ -122,9 +117,9 @@ def p7_field_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_field_languages(spark: SparkSession, d: str) -> DataFrame:
     """(field, rec_key, lang, confidence): the languages of every page and name list."""
-    sample = load(spark, d, "sample_articles")
-    pages = langid.page_languages(sample, "row_no", "page1", _model(spark, d)).select(F.lit("page1").alias("field"), F.col("row_no").alias("rec_key"), "lang", "confidence")
-    lists = langid.name_list_languages(sample, "row_no", "authors").select(F.lit("authors").alias("field"), F.col("row_no").alias("rec_key"), "lang", "confidence")
+    sample, model = load(spark, d, "sample_articles"), _model(spark, d)
+    pages = langid.page_languages(sample, "row_no", "page1", model).select(F.lit("page1").alias("field"), F.col("row_no").alias("rec_key"), "lang", "confidence")
+    lists = langid.name_list_languages(sample, "row_no", "authors", model).select(F.lit("authors").alias("field"), F.col("row_no").alias("rec_key"), "lang", "confidence")
     return pages.unionByName(lists)
 
 

@@ -138,19 +138,35 @@ def prose_counts(df: DataFrame, text: str = "text") -> np.ndarray:
     """Four-gram counts of the distinct texts, digits apart, less what the seed lines know; at most ``BUCKETS`` rows come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, known = np.zeros(BUCKETS, np.int64), _of_seeds()
+        sums, fold = np.zeros(BUCKETS, np.int64), prose_fold()
         for batch in batches:
-            texts = [t.lower() for t in batch.column(0).to_pylist() if t]
-            for some in [[t] for t in texts if len(t) > 20_000] + [[t for t in texts if len(t) <= 20_000]]:
-                if some:
-                    sums += np.bincount(_kept(grams(("\n" * GAP).join(some)), [len(t) + GAP for t in some], known), minlength=BUCKETS)
-        at = np.nonzero(sums)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["bucket", "n"])
+            fold(sums, batch.column(0).to_pylist())
+        yield counted(sums)
 
-    return _summed(df.select(_digitless(F.col(text)).alias("text")).distinct(), run)
+    return _summed(df.select(digitless(F.col(text)).alias("text")).distinct(), run)
 
 
-def _digitless(text: Column) -> Column:
+def prose_fold() -> Callable[[np.ndarray, list], None]:
+    """A function that adds the four-grams of texts to counters, but those that the seed lines know."""
+    known = _of_seeds()
+
+    def fold(sums: np.ndarray, texts: list) -> None:
+        low = [t.lower() for t in texts if t]
+        for some in [[t] for t in low if len(t) > 20_000] + [[t for t in low if len(t) <= 20_000]]:
+            if some:
+                sums += np.bincount(_kept(grams(("\n" * GAP).join(some)), [len(t) + GAP for t in some], known), minlength=BUCKETS)
+
+    return fold
+
+
+def counted(sums: np.ndarray) -> pa.RecordBatch:
+    """Counters that are not 0, as rows (bucket, n)."""
+    at = np.nonzero(sums)[0]
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["bucket", "n"])
+
+
+def digitless(text: Column) -> Column:
+    """A text in lower case with every digit as 0."""
     return F.regexp_replace(F.lower(text), r"\p{Nd}", "0")
 
 
@@ -169,16 +185,20 @@ def found_counts(df: DataFrame, ratio: np.ndarray, text: str = "text", coverage:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([t for t in batch.column(0).to_pylist() if decide(t)[0] == "residue"], pa.string())], names=["text"])
 
+    return residue_counts(df.select(F.col(text).alias("text")).filter("text is not null").mapInArrow(keep, "text string"))
+
+
+def residue_counts(found: DataFrame, text: str = "text") -> np.ndarray:
+    """Four-gram counts of the distinct texts, digits apart, of ``found``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 sums += np.bincount(grams(t), minlength=BUCKETS)
-        at = np.nonzero(sums)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["bucket", "n"])
+        yield counted(sums)
 
-    found = df.select(F.col(text).alias("text")).filter("text is not null").mapInArrow(keep, "text string")
-    return _summed(found.select(_digitless(F.col("text")).alias("text")).distinct(), run)
+    return _summed(found.select(digitless(F.col(text)).alias("text")).distinct(), run)
 
 
 def ratios(prose: np.ndarray, found: np.ndarray | None = None) -> np.ndarray:
