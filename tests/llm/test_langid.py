@@ -82,7 +82,8 @@ def test_pages_and_name_lists_have_segments_and_confidence(spark, tmp_path):
 def test_wrong_and_missing_labels(spark):
     from warraq.llm import labels
 
-    docs = [(k, t, code) for k, (code, t) in enumerate(list(TEXTS.items()) * 30)]
+    turned = lambda t, n: " ".join(t.split()[n % 12 :] + t.split()[: n % 12])
+    docs = [(k, turned(t, k // 5), code) for k, (code, t) in enumerate(list(TEXTS.items()) * 30)]
     docs += [(900, TEXTS["ar"] + " 12", None), (901, TEXTS["fr"] + " 34", "English"), (902, TEXTS["tr"] + " 5", "Türkçe"), (903, TEXTS["en"] + " 6", "und"), (904, None, "ar"), (905, "", "xx"), (906, "12 %", None), (907, "404 Not Found", "ar"), (900, TEXTS["ar"] + " 12", None)]
     df = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, lang string, found int, code string")
     got = sorted(tuple(r) for r in labels.wrong_labels(df, *labels.fit(df)).collect())
