@@ -24,7 +24,7 @@ def test_variants(rewrite, text, want):
     assert rewrite(want) == want
 
 
-@pytest.mark.parametrize("text", ["", "Вестник 2006", "(α = 0.05)", "چکیده: این پژوهش به بررسی کیفیت آموزش", "دراسةٌ متأنيةٌ", "إلى على مدرسة", "été", "٢٠١٨", "x" * 50_000])
+@pytest.mark.parametrize("text", ["", "Вестник 2006", "(α = 0.05)", "چکیده: این پژوهش به بررسی کیفیت آموزش", "دراسةٌ متأنيةٌ", "إلى على مدرسة", "été", "٢٠١٨", "x" * 50_000, "m² x³ ½ H₂O № 5 𝛼", "ᏣᎳᎩ", "Հայաստան", "2024 ٢٠٢٤"])
 def test_what_is_no_case_stays(rewrite, text):
     assert rewrite(text) == text
 
@@ -50,3 +50,9 @@ def test_operator(spark):
     assert unify.unify(df.limit(0)).collect() == []
     with pytest.raises(ValueError):
         unify.unify(df.withColumnRenamed("field", "changed"))
+
+
+def test_ties_go_to_the_text_around():
+    r = unify.rewriter(unify.variants({"": {}, "fa": {}}))
+    assert r("في البيت") == r("فی البیت") == "في البيت"
+    assert r("این کتاب در ایران است") == r("اين كتاب در ايران است و چاپ شد")[: len("این کتاب در ایران است")] == "این کتاب در ایران است"

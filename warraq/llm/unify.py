@@ -35,9 +35,14 @@ LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "ο": "o", "ν": "v", "ι": "i", "α": "a", "ρ": "p", "υ": "u", "κ": "k", "τ": "t",
+    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "յ": "j", "Օ": "O", "Տ": "S", "Ս": "U", "Լ": "L",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮢ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ɑ": "a", "ɡ": "g", "ᴄ": "c", "ᴏ": "o", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ⲟ": "o", "ꓮ": "A", "ꓳ": "O",
 }
 #: Letters of neighbouring Arabic-script alphabets that look alike.
 ARABIC_LOOKALIKES = [("ي", "ی"), ("ك", "ک"), ("ه", "ہ"), ("ه", "ھ")]
+#: What is ordinary in a context where neither has been seen.
+_ORDINARY = {"": "يكه", "fa": "یکه"}
 
 _SCRIPT_WORDS = {
     "fa": frozenset("در است این به از را که شد میان بود با برای های می و".split()),
@@ -48,7 +53,11 @@ _FA, _AR = re.compile("[پچژگ]"), re.compile("[ةأإؤئيكىءآ]|^ال|^
 SUSPECT = (
     r"[\p{Cf}   -   　̀-ͯٓ-ٕکیہھﬀ-﷿ﹰ-￯]"
     r"|\p{IsLatin}[Ͱ-ӿԁ-ԝ]|[Ͱ-ӿԁ-ԝ]\p{IsLatin}"
+    r"|[\u0251\u0261\u0531-\u0586\u13a0-\u13ff\u1d00-\u1d25\u2c80-\u2cff\ua4d0-\ua4ff\u2160-\u217f\u2460-\u249b\u24b6-\u24ea\x{1d400}-\x{1d7ff}]"
+    r"|[0-9\u0660-\u0669](?=[\u0966-\u096f\u06f0-\u06f9])|[0-9\u06f0-\u06f9](?=[\u0966-\u096f\u0660-\u0669])|[\u0660-\u0669\u06f0-\u06f9\u0966-\u096f](?=[0-9])"
 )
+#: Compatibility forms that stand for a letter or digit itself; powers, fractions and signs mean something else.
+_FORMS = ("<font>", "<circle>", "<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<compat>")
 
 
 class Classes:
@@ -76,10 +85,13 @@ class Classes:
 
 def equivalences() -> Iterator[tuple[str, str]]:
     """Pairs of strings that look the same, from the Unicode database and the two tables above."""
-    for cp in [*range(0xFB00, 0xFE00), *range(0xFE70, 0xFEFD), *range(0xFF01, 0xFFEF)]:
+    blocks = [*range(0xFB00, 0xFE00), *range(0xFE70, 0xFEFD), *range(0xFF01, 0xFFEF)]
+    alike = [cp for cp in (*range(0x2160, 0x2180), *range(0x2460, 0x249C), *range(0x24B6, 0x24EB), *range(0x1D400, 0x1D800)) if unicodedata.decomposition(chr(cp)).startswith(_FORMS)]
+    for cp in blocks + alike:
         c = chr(cp)
         plain = unicodedata.normalize("NFKC", c)
-        if plain != c and not plain.isspace() and not unicodedata.combining(plain[-1]):
+        # Greek letters of formulas stay what they are
+        if plain != c and not plain.isspace() and not unicodedata.combining(plain[-1]) and (cp < 0x1D400 or cp > 0x1D7FF or plain.isascii()):
             yield c, plain.strip()
     for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0x622, 0x627), *range(0x6C0, 0x6D4)]:
         c = chr(cp)
@@ -142,9 +154,9 @@ def variants(counts: dict[str, dict[str, int]]) -> dict[str, tuple[str, str, str
         if a != b:
             classes.join(a, b)
 
-    def frequent(x: str, context: str) -> tuple[int, int, str]:
+    def frequent(x: str, context: str) -> tuple[int, bool, int, str]:
         n = counts.get(context, {})
-        return (min((n.get(c, 0) for c in x), default=0), -len(x), x)
+        return (min((n.get(c, 0) for c in x), default=0), x in _ORDINARY[context], -len(x), x)
 
     out: dict[str, tuple[str, str, str]] = {}
     for group in classes.members().values():
@@ -154,9 +166,9 @@ def variants(counts: dict[str, dict[str, int]]) -> dict[str, tuple[str, str, str
             continue
         ordinary = [x for x in group if unicodedata.normalize("NFKC", x) == x and unicodedata.normalize("NFC", x) == x] or group
         latin = [x for x in ordinary if all(unicodedata.name(c, "").startswith("LATIN") for c in x)]
-        pool = latin or ordinary
+        pool = [x for x in latin if x not in LOOKALIKES] or latin or ordinary
         plain = max(pool, key=lambda x: frequent(x, ""))
-        persian = max(pool, key=lambda x: frequent(x, "fa")) if any(counts.get("fa", {}).get(x) for x in pool) else plain
+        persian = max(pool, key=lambda x: frequent(x, "fa"))
         for x in group:
             if x in LOOKALIKES:
                 out[x] = ("latin", plain, plain)
@@ -168,6 +180,17 @@ def variants(counts: dict[str, dict[str, int]]) -> dict[str, tuple[str, str, str
     return out
 
 
+_DIGITS = ("0123456789", "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "०१२३४५६७८९")
+_MIXED = re.compile(r"(?<!\w)(?=\d*(?:[0-9][^\W0-9_]|[٠-٩][^\W٠-٩_]|[۰-۹][^\W۰-۹_]|[०-९][^\W०-९_]))\d{2,}(?!\w)")
+
+
+def _one_script(m: re.Match) -> str:
+    """A number whose digits are of several scripts, in the one of most of them (ties: the first's)."""
+    digits = m.group()
+    best = max(_DIGITS, key=lambda some: (sum(c in some for c in digits), digits[0] in some))
+    return "".join(best[int(c)] for c in digits)
+
+
 def rewriter(table: dict[str, tuple[str, str, str]], span: int = 12) -> Callable[[str], str]:
     """A function that brings a text to its one form."""
     machine = ahocorasick.Automaton()
@@ -185,6 +208,7 @@ def rewriter(table: dict[str, tuple[str, str, str]], span: int = 12) -> Callable
         return is_persian(near)
 
     def rewrite(text: str) -> str:
+        text = _MIXED.sub(_one_script, text) if _MIXED.search(text) else text
         out: list[str] = []
         at = 0
         spans = None
