@@ -214,6 +214,16 @@ def stem_text(c: Column) -> Column:
     return F.when(c.isNotNull(), F.array_join(F.transform(words(c), light_stem), " "))
 
 
+def combined_text(abstract: Column, keywords: Column) -> Column:
+    """An abstract, a blank and its keywords, an array; NULL without an abstract."""
+    return F.concat(abstract, F.lit(" "), F.array_join(F.coalesce(keywords, F.array().cast("array<string>")), " "))
+
+
+def retrieval_text(combined: Column) -> Column:
+    """What retrieval compares: every word stemmed, then without stop words; NULL gives an empty text."""
+    return F.coalesce(F.array_join(drop_stopwords(F.split(stem_text(combined), " ")), " "), F.lit(""))
+
+
 def drop_stopwords(tokens: Column) -> Column:
     """Tokens but stop words."""
     stop = F.array(*map(F.lit, STOPWORDS))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.functions.text import terms
+from warraq.session import cut
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -26,11 +27,45 @@ def weighted(counts: DataFrame, vocabulary: DataFrame, n_docs: int, key: str) ->
     return raw.select(key, "term", (F.col("raw") / norm).alias("w"))
 
 
-def neighbours(queries: DataFrame, corpus: DataFrame, k: int, qkey: str, ckey: str) -> DataFrame:
-    """(qkey, ckey, score, rank): the ``k`` best documents of each query by cosine; documents without a common term have no row."""
-    dots = queries.withColumnRenamed("w", "_qw").join(corpus, "term").groupBy(qkey, ckey).agg(F.sum(F.col("_qw") * F.col("w")).alias("score"))
-    w = Window.partitionBy(qkey).orderBy(F.round("score", 9).desc(), ckey)
-    return dots.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+#: A term in more documents than this is split by a salt, so no task gets all of its documents.
+HOT = 50_000
+
+
+def dot_products(asked: DataFrame, corpus: DataFrame, qkey: str, ckey: str, vocabulary: DataFrame) -> DataFrame:
+    """(qkey, ckey, score): cosine of every query and document with a term in common; both sides are (key, term, w)."""
+    salts = F.ceil(F.col("df") / HOT).cast("int")
+    sizes = vocabulary.filter(F.col("df") > HOT).select("term", salts.alias("_n"))
+    split = corpus.join(sizes, "term", "left").withColumn("_s", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.hash(ckey), "_n"))).drop("_n")
+    ask = asked.withColumnRenamed("w", "_qw").join(sizes, "term", "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    return ask.join(split, ["term", "_s"]).groupBy(qkey, ckey).agg(F.sum(F.col("_qw") * F.col("w")).alias("score"))
+
+
+def neighbours(docs: DataFrame, key: str, text: str, asks: Column, k: int = 20, qkey: str = "query_no", min_df: int = 2) -> DataFrame:
+    """(qkey, key, score, rank): the ``k`` best documents of every query by TF-IDF cosine.
+
+    Rows where ``asks`` holds are the queries. The vocabulary, its document
+    frequencies and the documents searched are the other rows alone, as a
+    model fitted on the train part has them. Every query has its rows: where
+    fewer than ``k`` documents have a term in common, the first others by key
+    follow with score 0.
+    """
+    rows = docs.select(key, text, F.coalesce(asks, F.lit(False)).alias("_asks"))
+    train, test = rows.filter("not _asks"), rows.filter("_asks")
+    counts = term_counts(train, key, text)
+    vocabulary = cut(document_frequency(counts, min_df))
+    n = train.count()
+    corpus = weighted(counts, vocabulary, n, key)
+    asked = weighted(term_counts(test, key, text), vocabulary, n, key).withColumnRenamed(key, qkey)
+    order = lambda: Window.partitionBy(qkey).orderBy(F.round("score", 9).desc(), key)
+    best = dot_products(asked, corpus, qkey, key, vocabulary).withColumn("rank", F.row_number().over(order())).filter(F.col("rank") <= k)
+    best = cut(best.select(qkey, key, "score", "rank"))
+    # 2k rows at most; the k of a query that are no match of its own are among them
+    first = [r[key] for r in train.select(key).orderBy(key).limit(2 * k).collect()]
+    short = test.select(F.col(key).alias(qkey)).join(best.groupBy(qkey).agg(F.count("*").alias("_n")), qkey, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(F.col("_n") < k)
+    pads = short.select(qkey, "_n", F.explode(F.array(*(F.lit(x) for x in first)) if first else F.array().cast("array<bigint>")).alias(key)).join(best.select(qkey, key), [qkey, key], "left_anti")
+    w = Window.partitionBy(qkey).orderBy(key)
+    pads = pads.withColumn("rank", F.row_number().over(w) + F.col("_n")).filter(F.col("rank") <= k)
+    return best.unionByName(pads.select(qkey, key, F.lit(0.0).alias("score"), F.col("rank").cast("int").alias("rank")))
 
 
 def choose_reviewer(ranked: DataFrame, qkey: str, authors: str = "authors", seed: str = "42") -> DataFrame:
@@ -52,7 +87,7 @@ def choose_reviewer(ranked: DataFrame, qkey: str, authors: str = "authors", seed
             F.when(undecided & (F.size(common) == 1), x["rank"].cast("int")).otherwise(state["at"]).alias("at"),
         )
 
-    end = F.aggregate(F.slice("n", 2, 1_000), start, narrow)
+    end = F.aggregate(F.slice("n", F.lit(2), F.size("n")), start, narrow)
     tied = F.array_sort(F.transform(F.col("e.left"), lambda a: F.struct(F.md5(F.concat_ws("|", F.lit(seed), F.col(qkey).cast("string"), a)).alias("h"), a.alias("a"))))[0]["a"]
     method = (
         F.when(F.coalesce(anchor["score"], F.lit(0.0)) == 0, "No Matches")
@@ -69,16 +104,19 @@ def choose_reviewer(ranked: DataFrame, qkey: str, authors: str = "authors", seed
 def dense_neighbours(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
     """(query_id, id, score, rank): exact cosine top-k of a stated query set against all rows, in blocks of queries.
 
-    Queries are gathered into blocks of ``block`` vectors; each corpus row
-    meets each block once and keeps its scores in arrays, so no pair is
-    shuffled before the first cut: a partition hands on its best k of a query.
+    Queries are gathered into blocks of about ``block`` vectors; each corpus
+    row is sent to each block by the block's number, so neither side is
+    broadcast, and no pair is shuffled before the first cut: a partition hands
+    on its best k of a query.
     """
     unit = lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))
     q = queries.select(F.col(key).alias("query_id"), unit(F.col(vector).cast("array<double>")).alias("q"))
     c = corpus.select(F.col(key).alias("id"), unit(F.col(vector).cast("array<double>")).alias("c"))
-    blocks = q.groupBy(F.floor(F.abs(F.xxhash64("query_id")) % F.lit(max(1, -(-queries.count() // block)))).alias("_b")).agg(F.collect_list(F.struct("query_id", "q")).alias("some"))
+    n = max(1, -(-queries.count() // block))
+    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("_b")).agg(F.collect_list(F.struct("query_id", "q")).alias("some"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    met = c.crossJoin(blocks).select("id", F.explode(F.transform("some", lambda s: F.struct(s["query_id"].alias("query_id"), dot(s["q"], F.col("c")).alias("score")))).alias("x"))
+    sent = c.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    met = sent.join(blocks, "_b").select("id", F.explode(F.transform("some", lambda s: F.struct(s["query_id"].alias("query_id"), dot(s["q"], F.col("c")).alias("score")))).alias("x"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
     return met.select("x.query_id", "id", "x.score").filter("query_id <> id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

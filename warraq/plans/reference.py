@@ -146,20 +146,30 @@ _STEM_PREFIX = """case when regexp_matches(w, '^(?:وال|بال|كال|فال|
  when regexp_matches(w, '^و.{3,}') then substr(w, 2) else w end"""
 
 
-def _stem_sql() -> str:
+def _stem_only() -> str:
+    """The light stem of a word ``w``."""
     stem = _STEM_PREFIX
     for s in text.SUFFIXES:
         stem = f"regexp_replace({stem}, '(..){s}$', '\\1')"
-    stop = ", ".join(f"'{w}'" for w in text.STOPWORDS)
+    return stem
+
+
+def _stops() -> str:
+    return ", ".join(f"'{w}'" for w in text.STOPWORDS)
+
+
+def _stem_sql() -> str:
+    stem, stop = _stem_only(), _stops()
     return f"""with a as (select doc_id, unnest(string_split(trim(regexp_replace(regexp_replace(text, '[\\x{{064B}}-\\x{{0652}}]', '', 'g'), '[\\t\\n\\x0B\\f\\r \\x{{85}}\\p{{Z}}\\x1c-\\x1f]+', ' ', 'g')), ' ')) as w from documents where text is not null)
-    select stem, count(*) as n from (select {stem} as stem from a where w <> '') where stem not in ({stop}) and stem <> '' group by stem having count(*) >= 2"""
+    select stem, count(*) as n from (select {stem} as stem from a where w <> '') where stem not in ({stop}) and stem <> '' group by stem"""
 
 
 @query(_stem_sql())
 def stem_counts(spark: SparkSession, d: str) -> DataFrame:
-    stems = F.transform(text.words(text.strip_tashkeel(F.col("text"))), text.light_stem)
-    rows = load(spark, d, "documents").filter("text is not null").select(F.explode(text.drop_stopwords(stems)).alias("stem"))
-    return rows.filter("stem <> ''").groupBy("stem").agg(F.count("*").alias("n")).filter("n >= 2")
+    # words are counted before they are stemmed, so each is stemmed once
+    words = load(spark, d, "documents").select(F.explode(text.words(text.strip_tashkeel(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("k"))
+    stems = words.select(text.light_stem(F.col("w")).alias("stem"), "k").filter(~F.col("stem").isin(*text.STOPWORDS) & (F.col("stem") != ""))
+    return stems.groupBy("stem").agg(F.sum("k").alias("n"))
 
 
 @query()
@@ -377,31 +387,33 @@ def vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).filter("df >= 2")
 
 
-_COSINE = """
-with c as (select row_no, term, count(*) as tf from (select row_no, unnest(regexp_extract_all(lower(abstract_ar), '[\\p{L}\\p{N}_]{2,}')) as term from sample_articles) group by 1, 2),
-v as (select term, count(*) as df from c group by term having count(*) >= 2), n as (select count(*) as n from sample_articles),
+_KEPT = "list_transform(string_split(regexp_replace(trim(keywords), '^\\[|\\]$', '', 'g'), ','), lambda x: regexp_replace(trim(x), '^[\"'']+|[\"'']+$', '', 'g'))"
+_COMBINED = f"abstract_ar || ' ' || coalesce(case when trim(regexp_replace(trim(keywords), '^\\[|\\]$', '', 'g')) = '' then '' else array_to_string({_KEPT}, ' ') end, '')"
+_TERMS = f"""
+x as (select row_no, unnest(string_split(trim(regexp_replace({_COMBINED}, '[\\t\\n\\x0B\\f\\r \\x{{85}}\\p{{Z}}\\x1c-\\x1f]+', ' ', 'g')), ' ')) as w from sample_articles),
+y as (select row_no, {_stem_only()} as stem from x where w <> ''),
+c as (select row_no, term, count(*) as tf from (select row_no, unnest(regexp_extract_all(lower(stem), '[\\p{{L}}\\p{{N}}_]{{2,}}')) as term from y where stem not in ({_stops()})) group by 1, 2)"""
+_NEIGHBOURS = f"""
+with {_TERMS},
+train as (select row_no from sample_articles where row_no % 20 <> 0), test as (select row_no as query_no from sample_articles where row_no % 20 = 0),
+v as (select term, count(*) as df from c where row_no % 20 <> 0 group by term having count(*) >= 2), n as (select count(*) as n from train),
 r as (select row_no, c.term, (1 + ln(tf)) * (ln((1.0 + n) / (1.0 + df)) + 1) as raw from c join v on c.term = v.term, n),
 w as (select row_no, term, raw / sqrt(sum(raw * raw) over (partition by row_no)) as w from r),
-s as (select q.row_no as query_no, d.row_no, sum(q.w * d.w) as score from w q join w d on q.term = d.term where q.row_no % 20 = 0 and q.row_no <> d.row_no group by 1, 2),
-k as (select *, row_number() over (partition by query_no order by round(score, 9) desc, row_no) as rank from s)
-select query_no, rank, round(score, 6) as score from k where rank <= 20"""
+s as (select q.row_no as query_no, d.row_no, sum(q.w * d.w) as score from w q join w d on q.term = d.term where q.row_no % 20 = 0 and d.row_no % 20 <> 0 group by 1, 2),
+p as (select query_no, row_no, 0.0 as score from test, (select row_no from train order by row_no limit 40)),
+u as (select * from s union all select * from p anti join s using (query_no, row_no)),
+k as (select *, row_number() over (partition by query_no order by round(score, 9) desc, row_no) as rank from u)"""
 
 
-@query(_COSINE)
+@query(_NEIGHBOURS + "\nselect query_no, rank, round(score, 6) as score from k where rank <= 20")
 def similar_abstracts(spark: SparkSession, d: str) -> DataFrame:
     return _similar(spark, d).select("query_no", "rank", F.round("score", 6).alias("score"))
 
 
 def _similar(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    sample = load(spark, d, "sample_articles").select("row_no", "abstract_ar")
-    counts = retrieval.term_counts(sample, "row_no", "abstract_ar")
-    w = retrieval.weighted(counts, retrieval.document_frequency(counts), sample.count(), "row_no")
-    asked = w.filter("row_no % 20 = 0").withColumnRenamed("row_no", "query_no")
-    dots = asked.withColumnRenamed("w", "_qw").join(w, "term").filter("query_no <> row_no").groupBy("query_no", "row_no").agg(F.sum(F.col("_qw") * F.col("w")).alias("score"))
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("query_no").orderBy(F.round("score", 9).desc(), "row_no")
-    return dots.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    combined = text.combined_text(F.col("abstract_ar"), lists.bracket_list(F.col("keywords"), keep_empty=True))
+    docs = load(spark, d, "sample_articles").select("row_no", text.retrieval_text(combined).alias("prepared"))
+    return retrieval.neighbours(docs, "row_no", "prepared", F.col("row_no") % 20 == 0, k)
 
 
 @query()
@@ -417,14 +429,36 @@ def compatible_titles(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_no", compatible(F.col("title")).alias("title"))
 
 
-@query()
+_RECOMMENDED = f"""{_NEIGHBOURS.replace("with ", "with recursive ", 1)},
+l as (select article_id, list_sort(list(distinct author_id)) as authors from author_links where author_id is not null group by article_id),
+m as (select k.query_no, k.rank, k.score, coalesce(l.authors, []) as authors from k join sample_articles a on a.row_no = k.row_no left join l on l.article_id = a.article_id where k.rank <= 20),
+z as (select query_no, 1::bigint as rank, score, authors as pool, 0::bigint as tie from m where rank = 1
+ union all select z.query_no, m.rank, z.score,
+ case when len(z.pool) > 1 and len(list_intersect(z.pool, m.authors)) > 0 then list_sort(list_intersect(z.pool, m.authors)) else z.pool end,
+ case when len(z.pool) > 1 and len(list_intersect(z.pool, m.authors)) = 1 then m.rank else z.tie end from z join m on m.query_no = z.query_no and m.rank = z.rank + 1),
+e as (select query_no, max(rank) as last from z group by 1),
+f as (select z.query_no, z.score, z.pool, z.tie, b.authors as anchor from z join e on z.query_no = e.query_no and z.rank = e.last join m b on b.query_no = z.query_no and b.rank = 1),
+chosen as (select query_no, case when score = 0 or len(anchor) = 0 then null when len(pool) = 1 then pool[1] else list_sort(list_transform(pool, lambda a: md5(concat_ws('|', '42', cast(query_no as varchar), a)) || a))[1][33:] end as winner,
+ case when score = 0 then 'No Matches' when len(anchor) = 0 then 'No Candidates' when len(anchor) = 1 then 'Direct Match' when tie > 0 then 'Tie broken by rank ' || cast(tie as varchar) else 'Random Fallback (Tie)' end as method from f)"""
+
+
+@query(
+    _RECOMMENDED
+    + """,
+nm as (select id, name from authors06), act as (select distinct a.row_no as query_no, al.author_id from sample_articles a join author_links al on al.article_id = a.article_id where al.author_id is not null),
+own as (select query_no, list_sort(list(distinct coalesce(name, 'Unknown (' || author_id || ')'))) as actual, list(author_id) as ids from act left join nm on nm.id = author_id group by 1)
+select c.query_no, coalesce(nm.name, case when winner is null then 'N/A' else 'Unknown (' || winner || ')' end) as recommended, coalesce(array_to_string(own.actual, ' | '), '') as actual, coalesce(list_contains(own.ids, winner), false) as hit
+from chosen c left join nm on nm.id = c.winner left join own on own.query_no = c.query_no"""
+)
 def reviewer_summaries(spark: SparkSession, d: str) -> DataFrame:
     ids = load(spark, d, "sample_articles").select(F.col("row_no").alias("query_no"), "article_id")
-    actual = ids.join(load(spark, d, "author_links").select("article_id", "author_id").distinct(), "article_id").select("query_no", "author_id")
-    return retrieval.reviewer_summary(recommended_reviewers(spark, d), actual, load(spark, d, "authors06").select("id", "name"), "query_no")
+    links = load(spark, d, "author_links").filter("author_id is not null").select("article_id", "author_id").distinct()
+    actual = ids.join(links, "article_id").select("query_no", "author_id")
+    rows = retrieval.reviewer_summary(recommended_reviewers(spark, d), actual, load(spark, d, "authors06").select("id", "name"), "query_no")
+    return rows.withColumn("actual", F.array_join("actual", " | "))
 
 
-@query()
+@query(_RECOMMENDED + "\nselect query_no, winner, method from chosen")
 def recommended_reviewers(spark: SparkSession, d: str) -> DataFrame:
     ranked = _similar(spark, d)
     ids = load(spark, d, "sample_articles").select("row_no", "article_id")
