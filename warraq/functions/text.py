@@ -42,7 +42,7 @@ def fold_arabic(c: Column) -> Column:
 
 def fold_search(c: Column) -> Column:
     """The search fold, letter for letter in lower case, so that offsets hold."""
-    return F.translate(F.lower(c), "أإآةىئ", "اااهيي")
+    return F.translate(F.lower(F.translate(c, "İ", "i")), "أإآةىئ", "اااهيي")
 
 
 def fold_author_zone(c: Column) -> Column:

@@ -101,26 +101,35 @@ def extract_abstracts(df: DataFrame, text: str, out: str = "abstract", patterns:
     return rows.withColumn(out, result).drop("_f", "_pieces", "_heads", "_ends", "_windows", "_found", "_best", "_before", "_window", "_second")
 
 
-def extract_keywords(text: Column, patterns: Patterns = STRICT) -> Column:
-    """Keywords of the last keyword line, as an array; NULL if there are none."""
-    folded = fold_search(text)
-    found = F.regexp_extract_all(folded, F.lit(rf"(?d)(?s:(.?)){patterns.keyword_start}(?s:.{{0,4}}?\n)?[^\n]*"), F.lit(0))
-    pieces = F.split(folded, rf"(?d)(?s:(.?)){patterns.keyword_start}(?s:.{{0,4}}?\n)?[^\n]*", -1)
-
-    def candidate(match: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + 1
-        head = F.length(F.regexp_extract(match, rf"(?d)\A(?s:.?){patterns.keyword_start}(?s:.{{0,4}}?\n)?", 0))
-        line = F.substring(match, head + 1, F.length(match))
-        stop = f"(?d){patterns.stop}|{patterns.header}"
-        upto = F.when(F.substring(match, 1, 1) == "(", F.length(F.get(F.split(line, stop + r"|\)", 2), F.lit(0)))).otherwise(F.length(F.get(F.split(line, stop, 2), F.lit(0))))
-        raw = F.substring(text, start + head, upto)
-        return F.regexp_replace(F.regexp_replace(raw, r"(?U)\A\s+|\s+\z", ""), r"(?U)\A[:\-.]+\s*", "")
-
-    raw = F.filter(F.transform(found, candidate), lambda c: F.length(c) > 3)
-    best = F.try_element_at(raw, F.lit(-1))
-    parts = F.transform(F.split(best, r"[،,;؛|•]"), lambda t: F.regexp_replace(F.trim(t), r"^[.\-:()\[\]]+|[.\-:()\[\]]+$", ""))
-    kept = F.filter(parts, lambda t: (F.length(t) > 2) & (F.length(t) < 100) & ~t.rlike(r"(?U)^\d+$"))
-    return F.when(F.size(kept) > 0, kept)
+def keyword_line(patterns: Patterns = STRICT) -> str:
+    """The head of a keyword list with the sign before it, up to a line end close behind, and the line."""
+    return rf"(?s:.?){patterns.keyword_start}(?s:.{{0,4}}?\n)?[^\n]*"
+
+
+def extract_keywords(df: DataFrame, text: str, out: str = "keywords", patterns: Patterns = STRICT) -> DataFrame:
+    """``df`` with the keywords of the last keyword line that has any, as an array; NULL if there are none.
+
+    The folded text, its keyword lines and what stands between them are
+    columns of their own, so each pattern runs once a text.
+    """
+    line = f"(?d){keyword_line(patterns)}"
+    head = rf"(?d)\A(?s:.?){patterns.keyword_start}(?s:.{{0,4}}?\n)?"
+    stop = f"(?d){patterns.stop}|{patterns.header}"
+    rows = df.withColumn("_f", fold_search(F.col(text)))
+    rows = rows.withColumn("_found", F.when(F.col("_f").rlike(f"(?d){patterns.keyword_start}"), F.regexp_extract_all("_f", F.lit(line), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("_pieces", F.when(F.size("_found") > 0, F.split("_f", line, -1)).otherwise(F.array().cast("array<string>")))
+    size = lambda parts: F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p))
+    rows = rows.withColumn("_at", F.transform("_found", lambda m, i: F.struct(m.alias("m"), F.length(F.regexp_extract(m, head, 0)).alias("head"), (size(F.slice("_pieces", F.lit(1), i + 1)) + size(F.slice("_found", F.lit(1), i)) + 1).alias("start"))))
+
+    def raw(x: Column) -> Column:
+        rest = F.substring(x["m"], x["head"] + 1, F.length(x["m"]))
+        upto = F.when(F.substring(x["m"], 1, 1) == "(", F.length(F.get(F.split(rest, stop + r"|\)", 2), F.lit(0)))).otherwise(F.length(F.get(F.split(rest, stop, 2), F.lit(0))))
+        return F.regexp_replace(F.regexp_replace(F.substring(F.col(text), x["start"] + x["head"], upto), r"(?U)\A\s+|\s+\z", ""), r"(?U)\A[:\-.]+\s*", "")
+
+    rows = rows.withColumn("_raw", F.filter(F.transform("_at", raw), lambda c: F.length(c) > 3)).withColumn("_best", F.try_element_at("_raw", F.lit(-1)))
+    parts = F.transform(F.split("_best", r"[،,;؛|•]"), lambda t: F.regexp_replace(F.trim(t), r"^[.\-:()\[\]]+|[.\-:()\[\]]+$", ""))
+    rows = rows.withColumn("_kept", F.filter(parts, lambda t: (F.length(t) > 2) & (F.length(t) < 100) & ~t.rlike(r"(?U)^\d+$")))
+    return rows.withColumn(out, F.when(F.size("_kept") > 0, F.col("_kept"))).drop("_f", "_found", "_pieces", "_at", "_raw", "_best", "_kept")
 
 
 #: Titles before a name, and what no name holds.

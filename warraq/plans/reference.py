@@ -172,9 +172,17 @@ def stem_counts(spark: SparkSession, d: str) -> DataFrame:
     return stems.groupBy("stem").agg(F.sum("k").alias("n"))
 
 
-@query()
+_BLANK = "[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}\\x1c-\\x1f]+"
+_BARE = "regexp_replace(regexp_replace(regexp_replace({}, '[\\p{{Latin}}\\p{{Nd}}]+', '', 'g'), '[\\p{{P}}\\p{{S}}]+', '', 'g'), '[\\x{{FE0F}}\\x{{200B}}-\\x{{200F}}\\x{{2060}}]', '', 'g')"
+
+
+@query(
+    f"""with a as (select doc_id, translate(replace(regexp_replace(trim(regexp_replace({_BARE.format("coalesce(text, '')")}, '{_BLANK}', ' ', 'g')), '[\\x{{064B}}-\\x{{0652}}]', '', 'g'), 'ـ', ''), 'أإآىئة', 'اااييه') as t from documents),
+    b as (select doc_id, list_filter(list_transform(list_filter(string_split(trim(regexp_replace(t, '{_BLANK}', ' ', 'g')), ' '), lambda x: x <> ''), lambda w: {_stem_only()}), lambda x: x <> '') as stems from a)
+    select doc_id, array_to_string(list_filter(stems, lambda x: not list_contains([{_stops()}], x)), ' ') as tokens from b"""
+)
 def index_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("doc_id", text.index_tokens(F.col("text")).alias("tokens"))
+    return load(spark, d, "documents").select("doc_id", F.array_join(text.index_tokens(F.col("text")), " ").alias("tokens"))
 
 
 @query(
@@ -479,18 +487,73 @@ def similar_vectors(spark: SparkSession, d: str) -> DataFrame:
 # extraction: patterns that SQL dialects don't share; tests hold them against plain versions
 
 
+_EDGE = "^[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]+|[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]+$"
+_P = extraction.STRICT
+_FULL_SQL = f"""
+p as (select row_no, regexp_replace(coalesce(page1, ''), '{_EDGE}', '', 'g') as p1, regexp_replace(coalesce(page2, ''), '{_EDGE}', '', 'g') as p2 from sample_articles),
+h as (select *, left(trim(regexp_extract(left(p1, 40), '^([^\\n]*)', 1)), 20) as head from p),
+t as (select row_no, p1 || ' ' || chr(10) || ' ' || case when length(p1) > 20 and length(p2) > 20 and head <> '' and starts_with(lower(p2), lower(head)) and contains(p2, chr(10))
+ then regexp_replace(substr(p2, strpos(p2, chr(10)) + 1), '{_EDGE.split("|")[0]}', '') else p2 end as body from h),
+f as (select row_no, body, translate(lower(translate(body, 'İ', 'i')), 'أإآةىئ', 'اااهيي') as folded from t)"""
+
+
+def _q(pattern: str) -> str:
+    """A pattern inside an SQL text."""
+    return pattern.replace("'", "''")
+
+
+def _before(column: str, pattern: str) -> str:
+    """What stands before the first match of a pattern."""
+    return f"regexp_extract({column}, '(?s)\\A(.*?)(?:{_q(pattern)}|\\z)', 1)"
+
+
+_TIDY = "regexp_replace(regexp_replace({}, '{}', '', 'g'), '\\A[:\\-.]+[\\t\\n\\x0B\\f\\r \\x{{85}}\\p{{Z}}]*', '')"
+_SUM = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)::bigint"
+_KEYWORDS_SQL = f"""with {_FULL_SQL},
+m as (select row_no, body, regexp_extract_all(folded, '{_q(extraction.keyword_line())}') as found, string_split_regex(folded, '{_q(extraction.keyword_line())}') as pieces from f),
+c as (select row_no, body, unnest(found) as m, generate_subscripts(found, 1) as i, found, pieces from m),
+d as (select row_no, body, m, i, {_SUM.format("pieces[1:i]")} + {_SUM.format("found[1:i-1]")} + 1 as start, length(regexp_extract(m, '\\A(?s:.?){_q(_P.keyword_start)}(?s:.{{0,4}}?\\n)?')) as head from c),
+e as (select row_no, i, {_TIDY.format(f"substr(body, start + head, length(case when left(m, 1) = '(' then {_before('substr(m, head + 1)', _P.stop + '|' + _P.header + '|[)]')} else {_before('substr(m, head + 1)', _P.stop + '|' + _P.header)} end))", _EDGE)} as raw from d),
+b as (select row_no, arg_max(raw, i) as raw from e where length(raw) > 3 group by row_no),
+k as (select row_no, list_filter(list_transform(string_split_regex(raw, '[،,;؛|•]'), lambda x: regexp_replace(trim(x, ' '), '^[.\\-:()\\[\\]]+|[.\\-:()\\[\\]]+$', '', 'g')), lambda x: length(x) > 2 and length(x) < 100 and not regexp_matches(x, '^\\p{{Nd}}+$')) as kept from b)
+select s.row_no, case when len(kept) > 0 then array_to_string(kept, ' | ') end as keywords from sample_articles s left join k using (row_no)"""
+
+_CUT = "case when length({0}) < length({1}) then length({0}) else least(length({1}), 1000) end"
+_WINDOW_STOP = _P.keyword_start + "|" + _P.stop
+_IN, _OUT = WORD[1:-1], f"[^{WORD[1:-1]}]"
+_NOISE = extraction.skeleton("و")
+_ROOTS = [extraction.skeleton(v) for v in extraction.PURPOSE_VERBS]
+#: A word border before a verb, without looking around: the verb starts with a letter behind none, or with noise behind a letter.
+_STARTING = "|".join(f"(?:[اوي_]{_NOISE})?{v.removeprefix(_NOISE)}" if v.startswith(_NOISE) else v for v in _ROOTS)
+_ENDING = "|".join(rf"[\t\n\x0B\f\r \-.+*]{v}" for v in _ROOTS if v.startswith(_NOISE))
+_FIRST_VERB = f"(?s)\\A((?:.*?{_OUT})??)(?:{_STARTING})"
+_LATER_VERB = f"(?s)\\A(.*?[{_IN}])(?:{_ENDING})"
+_ABSTRACTS_SQL = f"""with {_FULL_SQL},
+m as (select row_no, body, folded, regexp_extract_all(folded, '{_q(_P.header)}') as heads, string_split_regex(folded, '{_q(_P.header)}') as pieces from f),
+c as (select row_no, body, folded, i, {_SUM.format("pieces[1:i]")} + {_SUM.format("heads[1:i]")} + 1 as start from (select *, unnest(generate_series(1, len(heads))) as i from m where len(heads) > 0)),
+w as (select *, substr(folded, start, 3000) as win from c),
+x as (select *, {_before("win", _WINDOW_STOP)} as upto from w),
+y as (select row_no, i, {_TIDY.format("substr(body, start, " + _CUT.format("upto", "win") + ")", _EDGE)} as found from x),
+b as (select row_no, found as best from y where length(found) > 50 and regexp_matches(found, '[\\x{{0600}}-\\x{{06FF}}]') qualify row_number() over (partition by row_no order by length(found) desc, i) = 1),
+v as (select f.row_no, body, folded, best, least(case when best is null and regexp_matches(folded, '{_q(_FIRST_VERB)}') then length(regexp_extract(folded, '{_q(_FIRST_VERB)}', 1)) end,
+ case when best is null and regexp_matches(folded, '{_q(_LATER_VERB)}') then length(regexp_extract(folded, '{_q(_LATER_VERB)}', 1)) end) as away from f left join b using (row_no)),
+o as (select row_no, best, body, away, case when away < 3000 then substr(folded, away + 1, 3000) end as win from v),
+z as (select row_no, best, regexp_replace(substr(body, away + 1, {_CUT.format(_before("win", _WINDOW_STOP), "win")}), '{_EDGE}', '', 'g') as second from o)
+select row_no, case when best is not null then trim(regexp_replace(best, '{_BLANK}', ' ', 'g'), ' ') when length(second) > 50 then trim(regexp_replace(second, '{_BLANK}', ' ', 'g'), ' ') end as abstract from z"""
+
+
 def _full(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "sample_articles").select("row_no", "source", "authors", "page1", "page2", extraction.full_text(F.col("page1"), F.col("page2")).alias("full"))
 
 
-@query()
+@query(_ABSTRACTS_SQL)
 def extracted_abstracts(spark: SparkSession, d: str) -> DataFrame:
     return extraction.extract_abstracts(_full(spark, d), "full").select("row_no", "abstract")
 
 
-@query()
+@query(_KEYWORDS_SQL)
 def extracted_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return _full(spark, d).select("row_no", extraction.extract_keywords(F.col("full")).alias("keywords"))
+    return extraction.extract_keywords(_full(spark, d).select("row_no", "full"), "full").select("row_no", F.array_join("keywords", " | ").alias("keywords"))
 
 
 @query()
@@ -509,6 +572,16 @@ def name_shapes(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "authors06").select("id", F.col("name").rlike(text.ARABIC).alias("arabic"), (F.col("name").isNotNull() & (F.length(n) >= 3) & ~n.rlike(r"\p{Nd}")).alias("long_enough"))
 
 
-@query()
+_NAME_EDGES = "^[.\\-/_:,\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}*]+|[.\\-/_:,\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}*]+$"
+_GAP = "[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]"
+_VALID = f"""length(n) >= 3 and not regexp_matches(n, '\\p{{Nd}}') and not regexp_matches(lower(n), '@|www\\.|\\.com|\\.edu|\\.org|\\.net') and not regexp_matches(n, '(?i)(?:{extraction.NOT_NAMES})')
+    and not regexp_matches(n, '^[a-z]') and not (regexp_matches(n, '[a-zA-Z]') and regexp_matches(n, '[\\x{{0600}}-\\x{{06FF}}]'))
+    and len(list_filter(string_split_regex(n, '{_GAP}+'), lambda x: x <> '')) <= 5 and len(list_filter(string_split_regex(n, '{_GAP}+'), lambda x: length(x) = 1)) <= 2"""
+
+
+@query(
+    f"""with a as (select id, regexp_replace(regexp_replace(coalesce(name, ''), '{_NAME_EDGES}', '', 'g'), '(?i)^{_GAP}*(?:{extraction.TITLES})\\.?{_GAP}*', '') as n from authors06)
+    select id, {_VALID} as valid, case when {_VALID} then n else '' end as name from a"""
+)
 def valid_names(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "authors06").select("id", extraction.validate_name(F.col("name")).alias("v")).select("id", "v.valid", "v.name")
