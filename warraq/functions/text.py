@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from warraq.functions.unicode import compatible
+
 MARKS = r"[\u064B-\u0652]"
 ARABIC = r"[\u0600-\u06FF]"
 ARABIC_BLOCKS = r"[\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF\uFB50-\uFDFF\uFE70-\uFEFF]"
@@ -99,9 +101,8 @@ def remove_decorative(c: Column) -> Column:
 
 
 def basic_cleanup(c: Column) -> Column:
-    """Light cleanup before extraction: one line end, no format signs, no decorative marks, collapsed blanks; NULL gives an empty text."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
-    t = F.regexp_replace(t, r"\p{Cf}", "")
+    """Light cleanup before extraction: compatibility form, one line end, no format signs, no decorative marks, collapsed blanks; NULL gives an empty text."""
+    t = F.regexp_replace(compatible(F.coalesce(c, F.lit(""))), r"\r\n?", "\n")
     t = F.regexp_replace(t, r"[•●▪♦■★☆※…—–―\u2010-\u2043\u204E-\u205E]", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"\.{3,}", "."), r"={2,}|[_~^`]+", " ")
     return _strip(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
@@ -249,8 +250,8 @@ def publish_date(c: Column) -> Column:
 
 def model_cleanup(c: Column) -> Column:
     """Cleanup before a text goes to a model: like ``basic_cleanup``, but decorative signs vanish and quotation marks become plain; NULL gives an empty text."""
-    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"\r\n?", "\n")
-    t = F.regexp_replace(F.regexp_replace(t, r"\p{Cf}", ""), r"[•●▪♦■★☆※…‐-⁃]", "")
+    t = F.regexp_replace(compatible(F.coalesce(c, F.lit(""))), r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"[•●▪♦■★☆※…‐-⁃]", "")
     t = F.regexp_replace(F.regexp_replace(t, r"\.{3,}", "."), r"={2,}|[_~^`]+", "")
     return _strip(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,26 @@ def query(sql: str | None = None) -> Callable:
 WORD = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}]"
 SPACE = r"[\t\n\x0B\f\r \x{85}\p{Z}]"
 
+
+
+def _compatible_sql(column: str) -> str:
+    """Compatibility form in SQL: characters that have a one-letter form by translation, the others of common blocks one by one."""
+    one, many = {}, {}
+    for cp in [*range(0xA0, 0xD800), *range(0xF900, 0xFFEF), *range(0x1D400, 0x1D800)]:
+        c = chr(cp)
+        form = unicodedata.normalize("NFKC", c)
+        if form != unicodedata.normalize("NFC", c):
+            if len(form) == 1:
+                one[c] = form
+            elif cp < 0x100 or 0x2000 <= cp < 0x2180 or 0xFB00 <= cp < 0xFB07 or 0xFE70 <= cp < 0xFF00:
+                many[c] = form
+    text_of = lambda x: "'" + "".join(x).replace("'", "''") + "'"
+    sql = f"translate({column}, {text_of(one)}, {text_of(one.values())})"
+    for c, form in many.items():
+        sql = f"replace({sql}, {text_of(c)}, {text_of(form)})"
+    return f"nfc_normalize({sql})"
+
+
 # projections, filters, functions of single rows
 
 
@@ -186,9 +207,9 @@ def index_pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select row_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(page2, ''), '\\r\\n?', chr(10), 'g'),
+    """select row_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(__NFKC__, '\\r\\n?', chr(10), 'g'),
     '\\p{Cf}', '', 'g'), '[•●▪♦■★☆※…\\x{2010}-\\x{2043}]', '', 'g'), '\\.{3,}', '.', 'g'), '={2,}|[_~^`]+', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'),
-    '^[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]+|[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]+$', '', 'g') as cleaned from sample_articles"""
+    '^[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]+|[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]+$', '', 'g') as cleaned from sample_articles""".replace("__NFKC__", _compatible_sql("coalesce(page2, '')"))
 )
 def model_ready_pages(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "sample_articles").select("row_no", text.model_cleanup(F.col("page2")).alias("cleaned"))
@@ -431,10 +452,9 @@ def root_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("root").agg(F.count("*").alias("n"))
 
 
-@query("select row_no, nfkc as title from (select row_no, case when title is null then null else regexp_replace(nfc_normalize(title), '[\\x{AD}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]', '', 'g') end as nfkc from sample_articles where not coalesce(regexp_matches(title, '[^\\x{00}-\\x{7F}\\x{0600}-\\x{06FF}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}]'), false))")
+@query(f"select row_no, regexp_replace({_compatible_sql('title')}, '\\p{{Cf}}', '', 'g') as title from sample_articles")
 def compatible_titles(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "sample_articles").filter(~F.coalesce(F.col("title").rlike(r"[^\x00-\x7F\u0600-\u06FF\u200B-\u200F\u2060\uFEFF]"), F.lit(False)))
-    return rows.select("row_no", compatible(F.col("title")).alias("title"))
+    return load(spark, d, "sample_articles").select("row_no", compatible(F.col("title")).alias("title"))
 
 
 _RECOMMENDED = f"""{_NEIGHBOURS.replace("with ", "with recursive ", 1)},
@@ -556,32 +576,45 @@ def extracted_keywords(spark: SparkSession, d: str) -> DataFrame:
     return extraction.extract_keywords(_full(spark, d).select("row_no", "full"), "full").select("row_no", F.array_join("keywords", " | ").alias("keywords"))
 
 
-@query()
-def extracted_authors(spark: SparkSession, d: str) -> DataFrame:
-    return _full(spark, d).select("row_no", extraction.extract_authors(F.col("authors"), F.col("page1")).alias("authors"))
+_NAME_EDGES = "^[.\\-/_:,\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}*]+|[.\\-/_:,\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}*]+$"
+_GAP = "[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]"
 
 
-@query()
-def pinpointed_regions(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.pinpoint(load(spark, d, "sample_articles"), default=extraction.PROFILES["AM"]).select("row_no", "regions")
+def _bare_name(x: str) -> str:
+    """A name without marks at its ends and titles."""
+    return f"regexp_replace(regexp_replace(coalesce({x}, ''), '{_NAME_EDGES}', '', 'g'), '(?i)^{_GAP}*(?:{extraction.TITLES})\\.?{_GAP}*', '')"
 
 
-@query("select id, regexp_matches(name, '[\\x{0600}-\\x{06FF}]') as arabic, name is not null and length(n) >= 3 and not regexp_matches(n, '\\p{Nd}') as long_enough from (select id, name, regexp_replace(coalesce(name, ''), '^[.\\-/_:,\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}*]+|[.\\-/_:,\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}*]+$', '', 'g') as n from authors06)")
-def name_shapes(spark: SparkSession, d: str) -> DataFrame:
-    n = F.regexp_replace(F.coalesce("name", F.lit("")), r"(?U)^[.\-/_:,\s*]+|[.\-/_:,\s*]+$", "")
-    return load(spark, d, "authors06").select("id", F.col("name").rlike(text.ARABIC).alias("arabic"), (F.col("name").isNotNull() & (F.length(n) >= 3) & ~n.rlike(r"\p{Nd}")).alias("long_enough"))
+def _is_name(n: str) -> str:
+    """Whether a bare name is a person's."""
+    return f"""length({n}) >= 3 and not regexp_matches({n}, '\\p{{Nd}}') and not regexp_matches(lower({n}), '@|www\\.|\\.com|\\.edu|\\.org|\\.net') and not regexp_matches({n}, '(?i)(?:{extraction.NOT_NAMES})')
+    and not regexp_matches({n}, '^[a-z]') and not (regexp_matches({n}, '[a-zA-Z]') and regexp_matches({n}, '[\\x{{0600}}-\\x{{06FF}}]'))
+    and len(list_filter(string_split_regex({n}, '{_GAP}+'), lambda w: w <> '')) <= 5 and len(list_filter(string_split_regex({n}, '{_GAP}+'), lambda w: length(w) = 1)) <= 2"""
 
 
-_NAME_EDGES = "^[.\\-/_:,\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}*]+|[.\\-/_:,\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}*]+$"
-_GAP = "[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]"
-_VALID = f"""length(n) >= 3 and not regexp_matches(n, '\\p{{Nd}}') and not regexp_matches(lower(n), '@|www\\.|\\.com|\\.edu|\\.org|\\.net') and not regexp_matches(n, '(?i)(?:{extraction.NOT_NAMES})')
-    and not regexp_matches(n, '^[a-z]') and not (regexp_matches(n, '[a-zA-Z]') and regexp_matches(n, '[\\x{{0600}}-\\x{{06FF}}]'))
-    and len(list_filter(string_split_regex(n, '{_GAP}+'), lambda x: x <> '')) <= 5 and len(list_filter(string_split_regex(n, '{_GAP}+'), lambda x: length(x) = 1)) <= 2"""
+_AUTHORS_SQL = f"""with a as (select row_no, authors, left(coalesce(page1, ''), 2500) as body from sample_articles),
+b as (select *, translate(replace(body, 'ـ', ''), 'أإآ', 'ااا') as folded from a),
+c as (select *, regexp_matches(folded, '(?i)(?:{extraction.ZONE_ENDS})') as ends, length(regexp_extract(folded, '(?is)\\A(.*?)(?:{extraction.ZONE_ENDS}|\\z)', 1)) as stop from b),
+d as (select row_no, authors, case when ends then substr(body, greatest(stop - 500, 0) + 1, stop - greatest(stop - 500, 0)) else left(body, 600) end as zone from c),
+e as (select *, trim(regexp_extract(zone, '(?m)\\*[\\t\\n\\x0B\\f\\r ]*([^*\\n]+)$', 1), ' ') as starred,
+ list_filter(list_transform(list_reverse(list_filter(list_transform(string_split(zone, chr(10)), lambda x: regexp_replace(x, '{_EDGE}', '', 'g')), lambda x: x <> '')), lambda x: {{'raw': x, 'n': {_bare_name("x")}}}), lambda r: {_is_name("r.n")}) as scanned from d),
+f as (select *, case when starred <> '' then starred else coalesce(scanned[1].raw, '') end as raw from e),
+g as (select row_no, authors, list_transform(string_split_regex(raw, '[\\t\\n\\x0B\\f\\r ]+و[\\t\\n\\x0B\\f\\r ]+|[\\t\\n\\x0B\\f\\r ]+and[\\t\\n\\x0B\\f\\r ]+|;|،|,|&'),
+ lambda t: array_to_string(list_filter(string_split_regex(trim(regexp_replace(trim(t, ' '), '^\\*+|\\*+$', '', 'g'), ' '), '{_GAP}+'), lambda w: w <> '')[1:4], ' ')) as names from f),
+h as (select row_no, authors, list_filter(list_transform(names, lambda x: {_bare_name("x")}), lambda n: {_is_name("n")}) as good from g)
+select row_no, case when length(trim(coalesce(authors, ''), ' ')) > 1 and lower(authors) <> 'nan' then authors else array_to_string(good, ' | ') end as authors from h"""
 
 
-@query(
-    f"""with a as (select id, regexp_replace(regexp_replace(coalesce(name, ''), '{_NAME_EDGES}', '', 'g'), '(?i)^{_GAP}*(?:{extraction.TITLES})\\.?{_GAP}*', '') as n from authors06)
-    select id, {_VALID} as valid, case when {_VALID} then n else '' end as name from a"""
-)
+@query(_AUTHORS_SQL)
+def extracted_authors(spark: SparkSession, d: str) -> DataFrame:
+    return _full(spark, d).select("row_no", F.array_join(extraction.extract_authors(F.col("authors"), F.col("page1")), " | ").alias("authors"))
+
+
+@query()
+def pinpointed_regions(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.pinpoint(load(spark, d, "sample_articles"), default=extraction.PROFILES["AM"]).select("row_no", "regions")
+
+
+@query(f"with a as (select id, {_bare_name('name')} as n from authors06) select id, {_is_name('n')} as valid, case when {_is_name('n')} then n else '' end as name from a")
 def valid_names(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "authors06").select("id", extraction.validate_name(F.col("name")).alias("v")).select("id", "v.valid", "v.name")
