@@ -183,71 +183,101 @@ def extract_authors(existing: Column, page1: Column) -> Column:
     return F.when(there, F.array(existing)).otherwise(checked)
 
 
+KEYWORD_HEADS = ("الكلمات المفتاحية", "كلمات مفتاحية", "الكلمات الدالة", "كلمات دالة", "keywords", "key words", "index terms")
+
+
 @dataclass(frozen=True)
 class Profile:
-    """How the pages of one source are laid out."""
+    """How the pages of one source are laid out.
+
+    ``blocks`` and ``lines`` are patterns of what is taken out. ``marks`` are
+    words of an author line wherever it stands, ``cues`` such words among the
+    lines up to ``limit``; ``window`` is (lines before the first of them,
+    lines in all), without it each cue's neighbours count. ``title_cut`` names
+    the anchors that end the title besides e-mails and the abstract.
+    """
 
     blocks: tuple[str, ...] = ()
     lines: tuple[str, ...] = ()
     abstract: tuple[str, ...] = ("الملخص", "ملخص", "الخلاصة", "مستخلص", "abstract")
     abstract_line: str = r"(?!)"
-    intro: tuple[str, ...] = ()
+    keyword_line: str = r"(?!)"
+    intro: tuple[str, ...] = ("المقدمة", "مقدمة", "introduction")
     abstract_cap: int | None = None
     keyword_lines: int = 2
     radius: int = 2
-    cues: tuple[str, ...] = ("جامعة", "كلية", "قسم", "أستاذ", "د.", "دكتور", "باحث", "university", "college", "department", "author", "prof", "dr.")
-    cue_limit: int = 40
-    cue_before: int = 1
-    cue_after: int = 1
-    cue_cuts_title: bool = False
+    marks: tuple[str, ...] = ()
+    cues: tuple[str, ...] = ("جامعة", "كلية", "قسم", "أستاذ", "د.", "دكتور", "المؤلف", "المؤلفون", "باحث", "university", "college", "department", "author", "authors", "prof", "dr.")
+    limit: int = 40
+    window: tuple[int, int] | None = None
+    without_links: bool = False
+    title_cut: tuple[str, ...] = ()
     title_default: int = 25
     title_max: int = 30
     second_page: bool = True
 
 
-KEYWORD_HEADS = ("الكلمات المفتاحية", "كلمات مفتاحية", "الكلمات الدالة", "كلمات دالة", "keywords", "key words", "index terms")
 _NUMBER_LINE = r"^\s*[0-9\u0660-\u0669\u06F0-\u06F9]+\s*\.?\s*$"
 _LICENCE = (r"This article is an open\s*access article distributed.*?(?:\n\s*\n|$)", r"under the terms and\s*conditions of the Creative Commons.*?(?:\n\s*\n|$)")
-_LABELS = (r"^\s*Received\s*:\s*$", r"^\s*Revised\s*:\s*$", r"^\s*Accepted\s*:\s*$", r"^\s*Published\s*:\s*$", r"^\s*\*?\s*Corresponding author\s*:?\s*$")
-_INTRO = ("المقدمة", "مقدمة", "introduction")
+_RECEIVED = r"(?i)^\s*Received\s*:\s*\d{2}/\d{2}/\d{4}\s*"
 
-#: Profiles by source code, in upper case. Patterns are fixed values.
+#: Profiles by source code, in upper case. Their patterns and words are fixed values.
 PROFILES = {
     "AJP": Profile(
         blocks=(r"Follow this and additional works at:.*?Recommended Citation", r"Recommended Citation.*?Available at:\s*https?://\S+", r"This Article is brought to you.*?(?:\n\s*\n|$)", r"It has been accepted for.*?(?:\n\s*\n|$)"),
-        lines=(r"^Volume\s+\d+\s*\|\s*Issue\s+\d+\s*Article\s+\d+\s*$", r"^.*المجلد.*العدد.*$", _NUMBER_LINE, r"^\s*Available at:\s*https?://\S+\s*$", r"^[^\n]{20,200}(?:\.\.\.|؛).*$"),
-        abstract=("الملخص", "ملخص", "الخلاصة", "مستخلص", "abstract", "summary"),
-        abstract_line=r"(?i)\babstract\b",
+        lines=(
+            r"^Association of Arab Universities Journal for Education and\s*Psychology\s*$", r"^Volume\s+\d+\s*\|\s*Issue\s+\d+\s*Article\s+\d+\s*$", r"^مجلة اتحاد الجامعات العربية للتربية وعلم النفس.*$",
+            r"^.*المجلد.*العدد.*$", r"^\s*[0-9\u0660-\u0669\u06F0-\u06F9]+\s*$", r"^\s*Available at:\s*https?://\S+\s*$", r"^[^\n]{20,200}(?:\.\.\.|؛).*$",
+        ),
+        abstract=("الملخص", "ملخص", "الخلاصة", "مستخلص", "abstract", "summary"), abstract_line=r"(?i)\babstract\b", keyword_line=r"(?i)\bkeywords?\b", intro=(),
     ),
     "AJSP": Profile(
-        lines=(r"^www\.\S+\s*$", r"^https?://doi\.org/\S+\s*$", r"^الإصدار.*$", r"^العدد.*$", r"^تاريخ الإصدار.*$", _NUMBER_LINE),
-        intro=_INTRO, abstract_cap=60, cue_limit=50, title_max=35, cues=("إعداد", "الباحث", "الكاتب", "researcher", "author"), cue_before=0, cue_after=10, cue_cuts_title=True,
+        blocks=(r"Arab Journal for Scientific Publishing\s*\(AJSP\)\s*ISSN:\s*2663-5798.*?(?:\n\s*\n|$)",),
+        lines=(
+            r"^المجلة\s+الع(?:ب|ر)بية\s+للنشر.*$", r"^ISSN:\s*2663-5798\s*\|\|\s*Arab Journal for Scientific Publishing.*$", r"^Arab Journal for Scientific Publishing\s*\(AJSP\)\s*ISSN:\s*2663-5798.*$", r"^www\.\S+\s*$",
+            r"^https?://doi\.org/\S+\s*$", r"^الإصدار.*$", r"^العدد.*$", r"^تاريخ الإصدار.*$", _NUMBER_LINE,
+        ),
+        abstract_cap=60, marks=("إعداد الباحثة", "إعداد الباحث", "إعداد", "الباحثة", "الباحث", "الكاتبة", "الكاتب", "researchers", "researcher", "author", "authors"),
+        cues=("جامعة", "كلية", "قسم", "أستاذ", "دكتور", "المؤلف", "المؤلفون", "باحث", "university", "college", "department", "faculty", "prof"), limit=50, window=(0, 10), title_cut=("marks", "doi"), title_max=35,
     ),
     "AJSRP": Profile(
-        blocks=_LICENCE, lines=(r"^ISSN:.*$", r"^.*Vol\s*\d+,\s*Issue\s*\d+\s*\(\d{4}\).*P:\s*\d+.*$", *_LABELS, r"^\s*Citation:\s*.*$", _NUMBER_LINE),
-        abstract=("المستخلص", "الملخص", "ملخص", "الخلاصة", "abstract"), abstract_line=r"(?i)^\s*abstract\s*[:：]?\s*$", intro=_INTRO, abstract_cap=80, keyword_lines=3, radius=3,
-        cue_limit=60, cue_before=2, cue_after=17, cue_cuts_title=True, title_default=30, title_max=40, second_page=False,
+        blocks=(*_LICENCE, r"\d{4}\s*©\s*AISRP.*?all\s*rights\s*reserved\.(?:\n\s*\n|$)"),
+        lines=(
+            r"^Arab Journal of Sciences\s*&\s*Research Publishing\s*\(AJSRP\).*$", r"^https?://journals\.\S*\s*$", r"^ISSN:\s*2518-5780.*$", r"^.*Vol\s*\d+,\s*Issue\s*\d+\s*\(\d{4}\)\s*.*P:\s*\d+.*$",
+            r"^\s*Received:\s*$", r"^\s*Revised:\s*$", r"^\s*Accepted:\s*$", r"^\s*Published:\s*$", r"^\s*\*?\s*Corresponding author:\s*$", r"^\s*Citation:\s*.*$", _NUMBER_LINE, r"^\s*°\s*Open Access\s*$", r"^\s*\*\s*NCO\s*ND\s*$",
+        ),
+        abstract=("المستخلص", "الملخص", "ملخص", "الخلاصة", "abstract"), keyword_line=r"(?i)^\s*keywords?\s*[:：]?\s*$", abstract_cap=80, keyword_lines=3, radius=3,
+        cues=("أ.", "د.", "دكتور", "المؤلف", "المؤلفون", "ms.", "mr.", "dr.", "prof.", "author", "authors", "eng.", "جامعة", "كلية", "قسم", "وزارة", "المملكة", "السودان", "اليمن", "university", "faculty", "department", "ministry", "ksa", "yemen", "sudan"),
+        limit=60, window=(2, 18), title_cut=("cues",), title_default=30, title_max=40, second_page=False,
     ),
     "AM": Profile(
-        blocks=_LICENCE, lines=(r"^\s*DO[IL]\s*:?\s*https?://\S+\s*$", *_LABELS, _NUMBER_LINE, r"^\s*(https?://\S+|www\.\S+)\s*$"),
-        abstract=("ملخص", "المستخلص", "الملخص", "الخلاصة", "abstract"), abstract_line=r"(?i)^\s*Received\s*:\s*\d{2}/\d{2}/\d{4}\s*Abstract\b", intro=_INTRO, abstract_cap=80, keyword_lines=3, radius=3,
-        cue_limit=70, cue_before=3, cue_after=19, cue_cuts_title=True, title_default=30, title_max=45,
+        blocks=_LICENCE,
+        lines=(
+            r"^Manarah,\s*.*?Series,\s*Vol\.\s*\d+,\s*No\.\s*\d+,\s*\d{4}\s*\(\s*[0-9\u0660-\u0669\u06F0-\u06F9]+\s*\)\s*$", r"^\s*DO[IL]\s*:?\s*https?://\S+\s*$", r"^\s*Received\s*:\s*$", r"^\s*Revised\s*:\s*$",
+            r"^\s*Accepted\s*:\s*$", r"^\s*Published\s*:\s*$", r"^\s*\*+\s*Corresponding\s*Author\s*:?\s*$", _NUMBER_LINE, r"^\s*(https?://\S+|www\.\S+)\s*$",
+        ),
+        abstract=("ملخص", "المستخلص", "الملخص", "الخلاصة", "abstract"), abstract_line=_RECEIVED + r"Abstract\b", abstract_cap=80, keyword_lines=3, radius=3,
+        cues=("جامعة", "كلية", "قسم", "أستاذ", "د.", "دكتور", "باحث", "باحثة", "university", "college", "school", "department", "researcher", "prof", "dr.", "eng."),
+        limit=70, window=(3, 20), without_links=True, title_cut=("cues",), title_default=30, title_max=45,
     ),
     "ARPD": Profile(
-        blocks=(r"دار\s+المنظومة.*?(?:\n\s*\n|$)",), lines=(r"^\s*رقم\s+الإيداع\s*:.*$", r"^\s*(?:E\.\s*)?ISSN\s*:.*$", r"^\s*Edu\s*Search\s*$", _NUMBER_LINE, r"^\s*(https?://\S+|www\.\S+)\s*$", r"^جامعة.*$"),
+        blocks=(r"المجلة\s+معرفة\s+على\s+دوريات\s+بنك\s+المعرفة\s+المصرى.*?(?:\n\s*\n|$)", r"دار\s+المنظومة.*?(?:\n\s*\n|$)"),
+        lines=(
+            r"^المجلة\s+المصرية\s+للتربية\s+العلمية.*$", r"^\s*رقم\s+الإيداع\s*:.*$", r"^\s*E\.\s*ISSN\s*:.*$", r"^\s*ISSN\s*:.*$", r"^\s*Edu\s*Search\s*$", r"^\s*دار\s+المنظومة\s*$",
+            r"^\s*المجلة\s+معرفة\s+على\s+دوريات\s+بنك\s+المعرفة\s+المصرىء.*$", _NUMBER_LINE, r"^\s*(https?://\S+|www\.\S+)\s*$", r"^جامعة.*$",
+        ),
         abstract=("ملخص البحث", "المستخلص", "الملخص", "ملخص", "الخلاصة", "مستخلص", "abstract"), intro=("مقدمة", "المقدمة", "تمهيد", "introduction"), abstract_cap=90, keyword_lines=3, radius=3,
-        cues=("إعداد", "اعداد", "بقلم", "الباحث", "د/", "د.", "أ.د", "أ.م.د", "أستاذ", "جامعة", "كلية", "قسم", "by", "author", "researcher", "prof", "dr.", "university", "college", "department"),
-        cue_limit=80, cue_before=4, cue_after=24, cue_cuts_title=True, title_default=35, title_max=50,
+        cues=("إعداد", "اعداد", "بقلم", "الباحث", "الباحثة", "د/", "د.", "أ.د", "أ.م.د", "أستاذ", "أستاذة", "جامعة", "كلية", "قسم", "by", "author", "researcher", "prof", "dr.", "university", "college", "department"),
+        limit=80, window=(4, 25), without_links=True, title_cut=("cues",), title_default=35, title_max=50,
     ),
 }
 
 EMAIL = r"(?U)\b[\w.\-]+@[\w.\-]+\.\w+\b"
 URL = r"(?i)https?://\S+|www\.\S+"
-DOI = r"(?i)\bdoi\s*:?\s*(https?://\S+)"
 
 
 def strip_boilerplate(text: Column, p: Profile) -> Column:
-    """A source's licence blocks and header lines taken out."""
+    """A source's blocks and lines taken out."""
     for b in p.blocks:
         text = F.regexp_replace(text, f"(?Uisd){b}", "")
     for x in p.lines:
@@ -255,63 +285,76 @@ def strip_boilerplate(text: Column, p: Profile) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"(?U)\A\s+|\s+\z", "")
 
 
-def pinpoint_one(df: DataFrame, p: Profile, page1: str = "page1", page2: str = "page2", out: str = "regions", max_chars: int = 9000) -> DataFrame:
+def _places(test: Callable[[Column], Column]) -> Column:
+    """Places of the lines that pass a test."""
+    return F.filter(F.transform("_lines", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
+
+
+def pinpoint(df: DataFrame, source: str = "source", profiles: dict[str, Profile] = PROFILES, default: Profile | None = None, page1: str = "page1", page2: str = "page2", out: str = "regions", max_chars: int = 9000) -> DataFrame:
     """``df`` with the labelled title, author, abstract and keyword regions of its pages.
 
-    Lines and anchors are columns of their own before they are used, so each
-    is computed once a row.
+    The profile is that of a row's source, its case ignored; a source without
+    one takes the default, else NULL. One pass over the rows: what depends on
+    the profile is a choice inside each column, and lines and anchors are
+    columns of their own, so each is computed once a row.
     """
-    second = F.col(page2) if p.second_page else F.lit(None).cast("string")
+    code = F.upper(F.trim(F.col(source)))
+
+    def by(f: Callable[[Profile], Column]) -> Column:
+        chosen = F.when(F.lit(False), f(next(iter(profiles.values()))))
+        for name, p in profiles.items():
+            chosen = chosen.when(code == name, f(p))
+        return chosen.otherwise(f(default)) if default else chosen
+
     tidy = lambda x: F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
     first = lambda test: F.array_min(_places(test))
-    starts = lambda x, heads: F.lower(x).rlike("^(?:" + "|".join(re.escape(h) for h in heads) + ")")
-    cue = "|".join(re.escape(c) for c in p.cues)
+    starts = lambda x, heads: F.lower(x).rlike("^(?:" + "|".join(re.escape(h) for h in heads) + ")") if heads else F.lit(False)
+    holds = lambda x, words: F.lower(x).rlike("|".join(re.escape(c) for c in words)) if words else F.lit(False)
 
     def region(a: Column, b: Column) -> Column:
-        a, b = F.greatest(a, F.lit(0)), F.least(b, F.col("_n"))
-        return F.array_join(F.slice("_lines", a + 1, F.greatest(b - a, F.lit(0))), "\n")
+        # greatest and least skip NULLs: no anchor, no region
+        return F.when(a.isNotNull(), F.array_join(F.slice("_lines", a + 1, F.greatest(F.least(b, F.col("_n")) - a, F.lit(0))), "\n"))
 
-    def around(idx: Column, before: int, after: int) -> Column:
-        wanted = F.array_sort(F.array_distinct(F.flatten(F.transform(idx, lambda i: F.sequence(i - before, i + after)))))
+    def around(idx: Column, by_lines: int) -> Column:
+        wanted = F.array_sort(F.array_distinct(F.flatten(F.transform(idx, lambda i: F.sequence(i - by_lines, i + by_lines)))))
         return F.array_join(F.transform(F.filter(wanted, lambda i: (i >= 0) & (i < F.col("_n"))), lambda i: F.get("_lines", i)), "\n")
 
-    rows = df.withColumn("_text", strip_boilerplate(join_pages(F.col(page1), second), p))
+    def hinted(p: Profile) -> Column:
+        """The author region without an e-mail."""
+        if p.window is None:
+            return around(F.col("_cues"), 1)
+        anchor = F.array_min("_marks" if p.marks else "_cues")
+        start = F.greatest(anchor - p.window[0], F.lit(0))  # 0 without an anchor, and then not used
+        some = F.slice("_lines", start + 1, F.lit(p.window[1]))
+        some = F.array_join(F.filter(some, lambda x: ~x.rlike(URL)) if p.without_links else some, "\n")
+        return F.when(anchor.isNotNull(), some).otherwise(around(F.col("_cues"), 1) if p.marks else F.lit(""))
+
+    def title_end(p: Profile) -> Column:
+        cuts = [F.array_min("_mails"), F.col("_abs"), *({"cues": F.array_min("_cues"), "marks": F.array_min("_marks"), "doi": F.col("_doi")}[c] for c in p.title_cut)]
+        return F.coalesce(F.least(*cuts), F.least(F.col("_n"), F.lit(p.title_default)))
+
+    rows = df.withColumn("_text", by(lambda p: strip_boilerplate(join_pages(F.col(page1), F.col(page2) if p.second_page else F.lit(None).cast("string")), p)))
     rows = rows.withColumn("_lines", F.filter(F.transform(F.split("_text", "\n"), lambda x: tidy(x)), lambda x: x != "")).withColumn("_n", F.size("_lines"))
     rows = rows.withColumns(
         {
-            "_abs": first(lambda x: starts(x, p.abstract) | x.rlike(p.abstract_line)),
-            "_key": first(lambda x: starts(x, KEYWORD_HEADS) | x.rlike(r"(?i)\bkeywords?\b")),
-            "_intro": first(lambda x: starts(x, p.intro)) if p.intro else F.lit(None).cast("int"),
+            "_abs": by(lambda p: first(lambda x: starts(x, p.abstract) | x.rlike(p.abstract_line))),
+            "_key": by(lambda p: first(lambda x: starts(x, KEYWORD_HEADS) | x.rlike(p.keyword_line))),
+            "_intro": by(lambda p: first(lambda x: starts(x, p.intro))),
             "_mails": _places(lambda x: x.rlike(EMAIL)),
-            "_cues": F.filter(_places(lambda x: F.lower(x).rlike(cue)), lambda i: i <= p.cue_limit),
+            "_marks": by(lambda p: _places(lambda x: holds(x, p.marks))),
+            "_cues": by(lambda p: F.filter(_places(lambda x: holds(x, p.cues)), lambda i: i <= p.limit)),
+            "_doi": first(lambda x: F.lower(x).contains("doi.org")),
         }
     )
-    # least skips NULLs: the first stop behind the abstract's header
-    stop = F.least(F.when(F.col("_key") > F.col("_abs"), F.col("_key")), F.when(F.col("_intro") > F.col("_abs"), F.col("_intro")))
-    end = F.coalesce(stop, F.least(F.col("_n"), F.col("_abs") + p.abstract_cap) if p.abstract_cap else F.col("_n"))
-    near_cues = around(F.slice("_cues", 1, 1) if p.cue_cuts_title else F.col("_cues"), p.cue_before, p.cue_after)
-    authors = F.when(F.size("_mails") > 0, around(F.col("_mails"), p.radius, p.radius)).otherwise(near_cues)
-    cuts = [F.array_min("_mails"), F.col("_abs")] + ([F.array_min("_cues")] if p.cue_cuts_title else [])
-    title_end = F.coalesce(F.least(*cuts), F.least(F.col("_n"), F.lit(p.title_default)))
-    title = F.array_join(F.slice(F.filter(F.slice("_lines", F.lit(1), title_end), lambda x: ~x.rlike(URL)), 1, p.title_max), "\n")
-    labelled = F.concat(
-        F.lit("TITLE_REGION:\n"), title, F.lit("\n\nAUTHORS_REGION:\n"), authors,
-        F.lit("\n\nABSTRACT_REGION:\n"), F.coalesce(region(F.col("_abs"), end), F.lit("")),
-        F.lit("\n\nKEYWORDS_REGION:\n"), F.coalesce(region(F.col("_key"), F.col("_key") + p.keyword_lines), F.lit("")),
-    )
-    return rows.withColumn(out, F.substring(tidy(labelled), 1, max_chars)).drop("_text", "_lines", "_n", "_abs", "_key", "_intro", "_mails", "_cues")
-
-
-def _places(test: Callable[[Column], Column]) -> Column:
-    """Places of the lines that pass a test."""
-    return F.filter(F.transform("_lines", lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull())
-
-
-def pinpoint(df: DataFrame, source: str = "source", profiles: dict[str, Profile] = PROFILES, default: Profile | None = None) -> DataFrame:
-    """``df`` with regions by the profile of each row's source, its case ignored; a source without one takes the default, else NULL."""
-    code = F.upper(F.trim(F.col(source)))
-    rest = df.filter(code.isNull() | ~code.isin(*profiles))
-    out = pinpoint_one(rest, default) if default else rest.withColumn("regions", F.lit(None).cast("string"))
-    for name, p in profiles.items():
-        out = out.unionByName(pinpoint_one(df.filter(code == name), p))
-    return out
+    # the keywords end an abstract wherever the introduction stands
+    capped = by(lambda p: F.least(F.col("_n"), F.col("_abs") + p.abstract_cap) if p.abstract_cap else F.col("_n"))
+    end = F.when(F.col("_key") > F.col("_abs"), F.col("_key")).when(F.col("_intro") > F.col("_abs"), F.col("_intro")).otherwise(capped)
+    abstract = F.coalesce(region(F.col("_abs"), end), F.lit(""))
+    dated = by(lambda p: F.get("_lines", F.col("_abs")).rlike(p.abstract_line) if p.abstract_line.startswith(_RECEIVED) else F.lit(False))
+    abstract = F.when(dated, F.regexp_replace(abstract, _RECEIVED, "")).otherwise(abstract)
+    authors = by(lambda p: F.when(F.size("_mails") > 0, around(F.col("_mails"), p.radius)).otherwise(hinted(p)))
+    titles = by(lambda p: F.array_join(F.slice(F.filter(F.slice("_lines", F.lit(1), title_end(p)), lambda x: ~x.rlike(URL)), 1, p.title_max), "\n"))
+    keywords = by(lambda p: region(F.col("_key"), F.col("_key") + p.keyword_lines))
+    labelled = F.concat(F.lit("TITLE_REGION:\n"), titles, F.lit("\n\nAUTHORS_REGION:\n"), authors, F.lit("\n\nABSTRACT_REGION:\n"), abstract, F.lit("\n\nKEYWORDS_REGION:\n"), F.coalesce(keywords, F.lit("")))
+    result = F.when(F.col("_lines").isNotNull(), F.substring(tidy(labelled), 1, max_chars))
+    return rows.withColumn(out, result).drop("_text", "_lines", "_n", "_abs", "_key", "_intro", "_mails", "_marks", "_cues", "_doi")
