@@ -120,3 +120,17 @@ def test_bound_of_the_program():
     solved = packing.fractional(sizes, demand, 100)
     # the optimum: 60 with 34 (70), 51 with 34 (20) or 26, and 26 by threes
     assert solved.bound <= 140 <= solved.containers * 1.02 and solved.containers <= solved.bound * 1.25
+
+
+def test_one_pass_over_documents(spark):
+    from warraq.llm import langid
+
+    text = "The results showed significant differences in teaching methods. "
+    model = langid.train(spark.createDataFrame([(text, "en"), ("أظهرت النتائج وجود فروق ذات دلالة إحصائية", "ar")] * 5, "text string, lang string"))
+    rows = [(1, text, "ab_Art", "bus"), (2, text * 40, "AB", None), (3, None, None, "x"), (4, "", "ab", "Art"), (5, "أظهرت النتائج وجود فروق ذات دلالة إحصائية", "zz", "Art")]
+    df = spark.createDataFrame(rows, "doc_key long, text string, source string, general_field string")
+    sources = spark.createDataFrame([("AB", "A B", "ab.org")], "acronym string, full_name string, host string")
+    got = {chars: {tuple(r) for r in budget.count_documents(df, model, sources, chunk_chars=chars).select("doc_key", "n_tokens", "lang", "source", "general_field").collect()} for chars in (300, 10**6)}
+    assert got[300] == got[10**6]
+    assert {(k, lang, s, f) for k, _, lang, s, f in got[300]} == {(1, "en", "AB", "Business"), (2, "en", "AB", None), (3, None, None, None), (4, None, "AB", "Art"), (5, "ar", "ZZ", "Art")}
+    assert budget.count_documents(df.limit(0), model, sources).collect() == []
