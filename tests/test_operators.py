@@ -58,8 +58,46 @@ def test_imputation_draws_distinct_known_authors(spark):
 
 def test_author_stats_skew(spark):
     links = spark.createDataFrame([("hot", i % 40) for i in range(3000)] + [("b", 1), (None, 2)], "author_id string, article_id long")
-    got = {r.author_id: (r.articles_count, list(r.articles_ids)) for r in registry.author_stats(links).collect()}
-    assert got == {"hot": (40, list(range(40))), "b": (1, [1])}
+    assert {tuple(r) for r in registry.author_stats(links).collect()} == {("hot", 40), ("b", 1)}
+    # no row holds more than a range of numbers, and together they hold all
+    pieces = {(r.author_id, r.piece): list(r.articles_ids) for r in registry.author_articles(links, span=16).collect()}
+    assert pieces == {("hot", 0): list(range(16)), ("hot", 1): list(range(16, 32)), ("hot", 2): list(range(32, 40)), ("b", 0): [1]}
+
+
+def test_author_ids_stand_in_the_list_s_order(spark):
+    articles = spark.createDataFrame([(1, ["د. منى", "Ann Lee", "منى", "x"]), (2, []), (3, None), (4, ["Nobody Known"])], "article_id long, names array<string>")
+    known = spark.createDataFrame([("AUTH_00001", "Ann Lee"), ("AUTH_00002", "منى")], "id string, name string")
+    got = {r.article_id: r.author_ids for r in registry.author_ids(articles, "names", known).collect()}
+    assert got == {1: ["AUTH_00002", "AUTH_00001"], 2: [], 3: [], 4: []}
+
+
+def test_every_query_row_has_neighbours(spark):
+    docs = [(k, f"alpha beta word{k % 3} again") for k in range(1, 9)] + [(20, "alpha word1"), (40, "nothing known here"), (60, None)]
+    df = spark.createDataFrame(docs, "row_no long, t string")
+    got = {}
+    for r in retrieval.neighbours(df, "row_no", "t", F.col("row_no") % 20 == 0, k=5).collect():
+        got.setdefault(r.query_no, []).append((r.rank, r.row_no, round(r.score, 3)))
+    assert set(got) == {20, 40, 60} and all(sorted(x[0] for x in v) == [1, 2, 3, 4, 5] for v in got.values())
+    assert all(x[2] == 0 for q in (40, 60) for x in got[q]) and [x[1] for x in sorted(got[40])] == [1, 2, 3, 4, 5]
+    assert sorted(got[20])[0][2] > 0 and {x[1] for x in sorted(got[20])[:3]} == {1, 4, 7}
+    assert retrieval.neighbours(df.filter("row_no % 20 = 0"), "row_no", "t", F.col("row_no") % 20 == 0).collect() == []
+
+
+def test_hot_terms_are_split_without_loss(spark, monkeypatch):
+    df = spark.createDataFrame([(k, f"common term{k % 5} term{k % 7}") for k in range(1, 200)], "row_no long, t string")
+    asks = F.col("row_no") % 20 == 0
+    whole = {(r.query_no, r.row_no, round(r.score, 9), r.rank) for r in retrieval.neighbours(df, "row_no", "t", asks).collect()}
+    monkeypatch.setattr(retrieval, "HOT", 10)
+    assert {(r.query_no, r.row_no, round(r.score, 9), r.rank) for r in retrieval.neighbours(df, "row_no", "t", asks).collect()} == whole
+
+
+def test_vectors_in_blocks(spark):
+    random = __import__("random").Random(1)
+    rows = [(k, [random.random() - 0.5 for _ in range(6)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = sorted(map(tuple, retrieval.dense_neighbours(df.filter("vec_id % 20 = 0"), df, 4).select("query_id", "id", "rank").collect()))
+    many = sorted(map(tuple, retrieval.dense_neighbours(df.filter("vec_id % 20 = 0"), df, 4, block=2).select("query_id", "id", "rank").collect()))
+    assert one == many and len(one) == 6 * 4
 
 
 def test_reviewers(spark):

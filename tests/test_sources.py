@@ -7,7 +7,7 @@ from warraq.streaming import ingest
 
 
 def test_csv_round_trip(spark, tmp_path):
-    rows = [("1", 'a "quoted"\nline', "ب"), ("2", None, "x,y")]
+    rows = [("1", '  a "quoted"\nline ', "ب"), ("2", None, "x,y")]
     df = spark.createDataFrame(rows, "id string, text string, n string")
     files.write_csv(df, str(tmp_path / "c"))
     back = files.read_csv(spark, str(tmp_path / "c"), ["id", "text", "n"])
@@ -55,6 +55,14 @@ def test_chunks_and_tokens(spark, tmp_path):
     assert files.read_whole_text(spark, str(tmp_path / "tok")).count() >= 1
 
 
+def test_snapshots_are_added(spark, tmp_path):
+    df = spark.range(250).withColumnRenamed("id", "k")
+    files.write_snapshots(df.filter("k < 150"), str(tmp_path / "s"), [df.k])
+    files.write_snapshots(df.filter("k >= 150"), str(tmp_path / "s"), [df.k])
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 250 and {r.batch_id for r in back.select("batch_id").distinct().collect()} == {0, 1}
+
+
 def test_gathering_aligns_and_takes_each_path_once(spark):
     a = spark.createDataFrame([("p1", "t")], "path string, title string")
     b = spark.createDataFrame([("p1", 1), ("p2", 2)], "path string, other int")

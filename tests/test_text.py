@@ -83,6 +83,25 @@ def test_roots_and_compatible_forms(values):
 
 
 def test_paths_and_models(values):
-    assert one(values, text.normal_path, "a/./b/../c.pdf", "x\\y//z", "../a") == ["a/c.pdf", "x/y/z", "../a"]
+    assert one(values, text.normal_path, "a/./b/../c.pdf", "x\\y//z", "../a", "/a/b/c/d/../../../../../e", "p/q/r/s/../../../t", None) == ["a/c.pdf", "x/y/z", "../a", "/../e", "p/t", None]
     assert one(values, text.source_of_url, "http://s/Art/issue/1", "x", rest=("AM",)) == ["AM_Art", None]
-    assert one(values, text.model_cleanup, "a\r\n\n\n\nb…… = == c____d•", None) == ["a\n\nb = cd", ""]
+    assert one(values, text.model_cleanup, "a\r\n\n\n\nb…… = == c____d•", None) == ["a\n\nb. = cd", ""]
+
+
+def test_addresses_and_titles(values):
+    assert one(values, text.tail_name, "https://x.org/download/9161/8053/", "http://x.org/a?b=c/d", "x", None) == ["9161-8053.pdf", "-a.pdf", "file.pdf", None]
+    assert one(values, text.query_value, "http://x/v?article=7", "http://x", rest=("article", F.lit("unk1"))) == ["7", "unk1"]
+    pairs = one(values, text.title_pair, "عنوان Title 2", "عنوان", "Title", " ", None, rest=(F.lit("ترجمة"), F.lit("translation")))
+    assert [tuple(p) for p in pairs] == [("عنوان", "Title 2"), ("عنوان", "translation"), ("ترجمة", "Title"), ("", ""), ("", "")]
+    assert [tuple(p) for p in one(values, text.title_pair, "Title", rest=(F.lit(None).cast("string"), F.lit(None).cast("string")))] == [("Title", "Title")]
+    assert one(values, text.arabic_whitelist, "نص abc 12, «x» (é)", None) == ["نص  12,  ()", None]
+
+
+def test_replies_over_two_pages(values):
+    good = '{"title": " t ", "authors": ["a", " "], "keywords": null, "publish_date": "2019"}'
+    rows = one(values, lists.pages_reply, "so: " + good, "no json", None)
+    assert (rows[0].title, rows[0].authors, rows[0].keywords, str(rows[0].publish_date), rows[0].abstract_ar) == ("t", ["a"], [], "2019-01-01", "") and rows[1:] == [None, None]
+
+
+def test_lists_without_items(values):
+    assert [lists and r for r in one(values, lambda c: text.is_missing_list(lists.split_any(c)), "a؛b", "; ,", None)] == [False, True, True]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from warraq.functions.text import publish_date
+
 _ARRAY = "array<string>"
 
 
@@ -64,3 +66,15 @@ def normalized_reply(c: Column, fields: tuple[str, ...], default_field: str = "E
     good = F.struct(text("title_ar"), text("title_en"), text("abstract_ar"), text("abstract_en"), field.alias("general_field"), F.coalesce(r["authors"], F.array().cast(_ARRAY)).alias("authors"))
     empty = F.struct(*(F.lit("").alias(n) for n in ("title_ar", "title_en", "abstract_ar", "abstract_en")), F.lit(default_field).alias("general_field"), F.array().cast(_ARRAY).alias("authors"))
     return F.when(r.isNotNull() & field.isin(*fields), good).otherwise(empty)
+
+
+PAGES_REPLY = "title string, abstract_ar string, general_field string, authors array<string>, keywords array<string>, publish_date string"
+
+
+def pages_reply(c: Column) -> Column:
+    """The reply to a request over two pages: texts trimmed, lists without blank items, a date from its year at least; NULL and text that is no object give NULL."""
+    r = first_json(c, PAGES_REPLY)
+    some = lambda n: F.filter(F.transform(F.coalesce(r[n], F.array().cast(_ARRAY)), lambda x: F.trim(x)), lambda x: x != "").alias(n)
+    text = lambda n: F.coalesce(F.trim(r[n]), F.lit("")).alias(n)
+    there = F.coalesce(*(r[n].cast("string") for n in ("title", "abstract_ar", "general_field", "authors", "keywords", "publish_date")))
+    return F.when(there.isNotNull(), F.struct(text("title"), text("abstract_ar"), text("general_field"), some("authors"), some("keywords"), publish_date(r["publish_date"]).alias("publish_date")))

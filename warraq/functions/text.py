@@ -67,6 +67,11 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | (F.regexp_replace(c, r"(?U)\s+", "") == "")
 
 
+def is_missing_list(c: Column) -> Column:
+    """NULL or without an item."""
+    return F.coalesce(F.size(c) <= 0, F.lit(True))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
@@ -155,9 +160,17 @@ def pdf_name(url: Column) -> Column:
     return F.when(tail != "", F.concat(F.array_join(F.filter(F.split(tail, "/"), lambda s: s != ""), "-"), F.lit(".pdf")))
 
 
-def query_value(url: Column, name: str) -> Column:
-    """A query parameter of an address; NULL without it."""
-    return F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), F.lit(""))
+def tail_name(url: Column) -> Column:
+    """The last two path segments of an address, joined by a dash, with ``.pdf``; ``file.pdf`` if there are fewer."""
+    path = F.regexp_replace(F.regexp_extract(url, r"^(?:[A-Za-z][\w+.-]*://[^/?#]*)?([^?#]*)", 1), r"/+$", "")
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) >= 2, F.concat(F.array_join(F.slice(parts, -2, 2), "-"), F.lit(".pdf"))).when(url.isNotNull(), F.lit("file.pdf"))
+
+
+def query_value(url: Column, name: str, default: Column | None = None) -> Column:
+    """A query parameter of an address; the default, or NULL, without it."""
+    found = F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), F.lit(""))
+    return found if default is None else F.coalesce(found, default)
 
 
 def split_title(c: Column) -> Column:
@@ -173,6 +186,26 @@ def split_script(c: Column) -> Column:
     return F.struct(ar.alias("ar"), F.when(is_latin(c), en).alias("en"))
 
 
+def title_pair(c: Column, arabic: Column, english: Column) -> Column:
+    """(ar, en) of a title: its two scripts apart where it has both, else itself beside its translation.
+
+    ``arabic`` and ``english`` are the translations into these languages, as a
+    service gives them; without a service the title itself stands for them.
+    NULL and blank titles give two empty texts.
+    """
+    t = _strip(F.coalesce(c, F.lit("")))
+    apart = split_script(t)
+    ar = F.when(is_arabic(t) & is_latin(t), apart["ar"]).when(is_arabic(t), t).otherwise(F.coalesce(arabic, t))
+    en = F.when(is_arabic(t) & is_latin(t), apart["en"]).when(is_arabic(t), F.coalesce(english, t)).otherwise(t)
+    none = F.lit("")
+    return F.struct(F.when(t == "", none).otherwise(F.coalesce(collapse(ar), none)).alias("ar"), F.when(t == "", none).otherwise(F.coalesce(collapse(en), none)).alias("en"))
+
+
+def arabic_whitelist(c: Column) -> Column:
+    """Letters and digits of the Arabic blocks, basic digits, white space and plain punctuation; everything else out."""
+    return F.regexp_replace(c, r"(?U)[^\u0600-\u06FF\u0750-\u077F\u08A0-\u08FF0-9.,;:!?()\[\]{}\-–—'\"“”\s]", "")
+
+
 def segment_after(path: Column, folder: str) -> Column:
     """The path segment behind a folder; NULL without it."""
     return F.nullif(F.regexp_extract(path, rf"(?:^|/){folder}/([^/]*)", 1), F.lit(""))
@@ -257,11 +290,11 @@ def model_cleanup(c: Column) -> Column:
 
 
 def normal_path(c: Column) -> Column:
-    """A relative path with forward slashes, without ``./`` and ``x/../``."""
-    t = F.regexp_replace(F.translate(c, "\\", "/"), r"(?:^|(?<=/))\./", "")
-    for _ in range(3):
-        t = F.regexp_replace(t, r"(?:^|(?<=/))(?!\.\./)[^/]+/\.\./", "")
-    return F.regexp_replace(t, r"/{2,}", "/")
+    """A path with forward slashes, without ``.``, empty segments and ``x/..``, however deep."""
+    parts = F.filter(F.split(F.translate(c, "\\", "/"), "/"), lambda x: (x != "") & (x != "."))
+    back = lambda done, x: (x == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("..")) != "..")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(back(done, x), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
+    return F.concat(F.when(F.translate(c, "\\", "/").startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(kept, "/"))
 
 
 def source_of_url(url: Column, prefix: str) -> Column:

@@ -13,6 +13,12 @@ def null_counts(df: DataFrame) -> DataFrame:
     return one.select(pairs.alias("x"), F.col("_n").alias("n_rows")).select("x.column_name", "x.nulls", "n_rows")
 
 
+def table_info(df: DataFrame) -> DataFrame:
+    """(column_name, dtype, non_null, n_rows, n_columns), one row for each column."""
+    kinds = F.create_map(*(F.lit(x) for kv in df.dtypes for x in kv))
+    return null_counts(df).select("column_name", kinds[F.col("column_name")].alias("dtype"), (F.col("n_rows") - F.col("nulls")).alias("non_null"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+
+
 def missing_share(df: DataFrame) -> DataFrame:
     """(column_name, pct) of the columns with NULLs."""
     return null_counts(df).filter("nulls > 0").select("column_name", (F.col("nulls") * 100.0 / F.col("n_rows")).alias("pct"))

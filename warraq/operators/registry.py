@@ -43,14 +43,36 @@ def impute(articles: DataFrame, pool: DataFrame, seed: str = "42", candidates: i
     return drawn.join(ranked, "n").select("article_id", "author_id", (F.col("at") + 1).alias("author_pos"))
 
 
+def author_ids(articles: DataFrame, names: str, registry: DataFrame, key: str = "article_id", name: str = "name") -> DataFrame:
+    """(key, author_ids): the ids of each article's names, each once, in the order of the list.
+
+    ``names`` is an array of names as they came; the registry has them
+    cleaned, in ``name``. Articles without a known name have an empty array.
+    """
+    rows = articles.select(key, F.posexplode(names).alias("_at", "_raw")).select(key, "_at", clean_name(F.col("_raw")).alias("_name")).filter("_name is not null")
+    first = rows.join(registry.select(F.col(name).alias("_name"), "id"), "_name").groupBy(key, "id").agg(F.min("_at").alias("_at"))
+    lists = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", "id"))).alias("_ids"))
+    return articles.select(key).distinct().join(lists, key, "left").select(key, F.coalesce(F.transform("_ids", lambda x: x["id"]), F.array().cast("array<string>")).alias("author_ids"))
+
+
+#: Article numbers of so wide a range make one piece of an author's list.
+SPAN = 100_000
+
+
 def author_stats(links: DataFrame) -> DataFrame:
-    """(author_id, articles_count, articles_ids): distinct articles of each author, in order.
+    """(author_id, articles_count): distinct articles of each author."""
+    one = links.select("author_id", "article_id").filter("author_id is not null and article_id is not null").distinct()
+    return one.groupBy("author_id").agg(F.count("*").alias("articles_count"))
+
+
+def author_articles(links: DataFrame, span: int = SPAN) -> DataFrame:
+    """(author_id, piece, articles_ids): distinct articles of each author, in order.
 
-    Links are made distinct before they are gathered, so exact copies of a
-    link cost nothing downstream.
+    A piece has the articles of one range of ``span`` numbers, so no row holds
+    more than that, however many links an author has.
     """
     one = links.select("author_id", "article_id").filter("author_id is not null and article_id is not null").distinct()
-    return one.groupBy("author_id").agg(F.count("*").alias("articles_count"), F.array_sort(F.collect_list("article_id")).alias("articles_ids"))
+    return one.groupBy("author_id", F.floor(F.col("article_id") / span).cast("bigint").alias("piece")).agg(F.array_sort(F.collect_list("article_id")).alias("articles_ids"))
 
 
 def latest(df: DataFrame, key: str, at: str, tie: str) -> DataFrame:

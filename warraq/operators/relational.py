@@ -57,12 +57,14 @@ def split_source(df: DataFrame, code: str, source: str = "source", field: str =
     return df.withColumns({field: F.when(is_tailed, tail).when(F.col(source) == code, from_path).otherwise(F.col(field)), source: F.when(is_tailed, F.lit(code)).otherwise(F.col(source))})
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "n", parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str = "n", parts: int | None = None) -> DataFrame:
     """Consecutive numbers from 1 in the order given, without one task that sees all rows.
 
     Rows are ranged into parts by the order; a part's rows are numbered in it,
-    and the sizes of the parts before it are added.
+    and the sizes of the parts before it are added. There are as many parts as
+    the session shuffles to, unless ``parts`` says otherwise.
     """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     from warraq.session import cut
 

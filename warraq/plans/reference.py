@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from warraq.functions import lists, text
 from warraq.functions.dimensions import FIELD_NAMES, SUBJECTS, canonical_source, general_field
 from warraq.functions.unicode import compatible, roots
 from warraq.operators import extraction, profile, registry, relational, retrieval
-from warraq.sources import load
+from warraq.session import ensure_checkpoint_dir
+from warraq.sources import files, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,6 +128,59 @@ def route_authors(spark: SparkSession, d: str) -> DataFrame:
     return relational.route_by_script(load(spark, d, "sample_articles").select("row_no", "authors")).select("row_no", "authors", "authors_en")
 
 
+@query(
+    r"""select row_no, regexp_replace(title, '[^0-9A-Za-z\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}\t\n\x0B\f\r _\-''.,()/\\]', '', 'g') as listed,
+    regexp_replace(title, '[^\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}0-9.,;:!?()\[\]{}\-–—''"“”\t\n\x0B\f\r \x{85}\p{Z}]', '', 'g') as arabic_listed,
+    regexp_replace(regexp_replace(regexp_replace(title, '[\t\x0B\f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', '', 'g'), ' +', ' ', 'g'), '^[\t\n\x0B\f\r \x{85}\p{Z}]+|[\t\n\x0B\f\r \x{85}\p{Z}]+$', '', 'g') as spaced,
+    translate(regexp_replace(regexp_replace(regexp_replace(title, '[•●▪♦■★☆※…—–―‐\x{2022}\x{2023}\x{25A0}-\x{25FF}]', '', 'g'), '\.{3,}', '.', 'g'), '[_~^`]+|=', '', 'g'), '“”‘’', '""''''') as undecorated,
+    trim(regexp_replace(authors, '[\t\n\x0B\f\r \\]*الباحث[\t\n\x0B\f\r \\]*', '', 'g'), ' ') as without_researcher from sample_articles"""
+)
+def listed_titles(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("title")
+    return load(spark, d, "sample_articles").select(
+        "row_no", text.whitelist(t).alias("listed"), text.arabic_whitelist(t).alias("arabic_listed"), text.clean_spaces(t).alias("spaced"), text.remove_decorative(t).alias("undecorated"), text.strip_researcher(F.col("authors")).alias("without_researcher")
+    )
+
+
+@query(
+    """select row_no, array_to_string(list_filter(list_transform(list_filter(list_transform(string_split_regex(keywords, '[،,;؛|•]'), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: regexp_replace(trim(x, ' '), '^["'']+|["'']+$', '', 'g')), lambda x: x <> ''), ', ') as joined,
+    keywords is null or len(list_filter(list_transform(string_split_regex(keywords, '[،,;؛|•]'), lambda x: trim(x, ' ')), lambda x: x <> '')) = 0 as empty from sample_articles"""
+)
+def joined_keywords(spark: SparkSession, d: str) -> DataFrame:
+    parts = lists.split_any(F.col("keywords"))
+    return load(spark, d, "sample_articles").select("row_no", lists.joined(parts).alias("joined"), text.is_missing_list(parts).alias("empty"))
+
+
+@query(
+    """with u as (select row_no, article_id, 'https://x.test/a/download/' || row_no || '/' || article_id || case when row_no % 3 = 0 then '?article=' || article_id || '&v=1' else '' end as url from sample_articles)
+    select row_no, row_no || '-' || article_id || '.pdf' as file, split_part(split_part(url, '?', 1), '/', -2) || '-' || split_part(split_part(url, '?', 1), '/', -1) || '.pdf' as tail,
+    case when row_no % 3 = 0 then split_part(split_part(url, 'article=', 2), '&', 1) else 'unk' || row_no end as article from u"""
+)
+def address_names(spark: SparkSession, d: str) -> DataFrame:
+    asked = F.when(F.col("row_no") % 3 == 0, F.concat(F.lit("?article="), F.col("article_id").cast("string"), F.lit("&v=1"))).otherwise(F.lit(""))
+    url = F.concat(F.lit("https://x.test/a/download/"), F.col("row_no").cast("string"), F.lit("/"), F.col("article_id").cast("string"), asked)
+    rows = load(spark, d, "sample_articles").select("row_no", url.alias("url"))
+    return rows.select("row_no", text.pdf_name(F.col("url")).alias("file"), text.tail_name(F.col("url")).alias("tail"), text.query_value(F.col("url"), "article", F.concat(F.lit("unk"), F.col("row_no").cast("string"))).alias("article"))
+
+
+@query(
+    """select row_no, coalesce(trim(title, ' '), '') as title, coalesce(trim(abstract_ar, ' '), '') as abstract_ar, coalesce(trim(general_field, ' '), '') as general_field
+    from sample_articles where coalesce(title, abstract_ar, general_field) is not null"""
+)
+def model_replies(spark: SparkSession, d: str) -> DataFrame:
+    reply = F.concat(F.lit("Here it is:\n"), F.to_json(F.struct("title", "abstract_ar", "general_field")), F.lit("\nDone."))
+    rows = load(spark, d, "sample_articles").select("row_no", lists.pages_reply(reply).alias("r")).filter("r is not null")
+    return rows.select("row_no", "r.title", "r.abstract_ar", "r.general_field")
+
+
+@query("select row_no, coalesce(title, '') as title, coalesce(keywords, '') as keywords from sample_articles")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{ensure_checkpoint_dir(spark)}/{uuid4().hex}"
+    files.write_csv(load(spark, d, "sample_articles").select("row_no", "title", "keywords"), path, quote_all=True)
+    back = files.read_csv(spark, path, ["row_no", "title", "keywords"])
+    return back.select(F.col("row_no").cast("bigint").alias("row_no"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("keywords", F.lit("")).alias("keywords"))
+
+
 _DATE = """
 with a as (select row_no, translate(trim(publish_date), '٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹', '01234567890123456789') as t from sample_articles)
 select row_no, coalesce(cast(try_strptime(nullif(regexp_extract(t, '^(\\d{4}-\\d{1,2}-\\d{1,2})', 1), ''), '%Y-%m-%d') as date),
@@ -224,11 +279,12 @@ def token_filter(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "sample_articles").select(t.alias("t")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("t") >= 400).alias("kept"), F.count_if(F.col("t") < 400).alias("removed"), F.round(F.avg("t"), 6).alias("mean_tokens"))
 
 
-@query("select name, count(*) as article_count, array_to_string(list_sort(list(article_id)), ',') as article_ids from (select article_id, trim(unnest(from_json(authors_en, '[\"VARCHAR\"]'))) as name from sample_articles where authors_en like '[%') where name <> '' group by name")
+@query("select name, piece, count(*) as article_count, array_to_string(list_sort(list(article_id)), ',') as article_ids from (select article_id, cast(floor(article_id / 100000) as bigint) as piece, trim(unnest(from_json(authors_en, '[\"VARCHAR\"]'))) as name from sample_articles where authors_en like '[%') where name <> '' group by name, piece")
 def inverted_index(spark: SparkSession, d: str) -> DataFrame:
     names = load(spark, d, "sample_articles").filter("authors_en like '[%'").select("article_id", F.explode(lists.literal_list(F.col("authors_en"))).alias("raw")).select("article_id", F.trim("raw").alias("name"))
-    rows = names.filter("name <> ''").groupBy("name").agg(F.count("*").alias("article_count"), F.array_sort(F.collect_list("article_id")).alias("ids"))
-    return rows.select("name", "article_count", F.array_join(F.col("ids").cast("array<string>"), ",").alias("article_ids"))
+    piece = F.floor(F.col("article_id") / registry.SPAN).cast("bigint").alias("piece")
+    rows = names.filter("name <> ''").groupBy("name", piece).agg(F.count("*").alias("article_count"), F.array_sort(F.collect_list("article_id")).alias("ids"))
+    return rows.select("name", "piece", "article_count", F.array_join(F.col("ids").cast("array<string>"), ",").alias("article_ids"))
 
 
 @query("select source, row_number() over (order by source) as place from (select distinct source from sample_articles where source is not null)")
@@ -311,6 +367,11 @@ def latest_deliveries(spark: SparkSession, d: str) -> DataFrame:
 # profiles
 
 
+@query("select column_name, dtype, non_null, n_rows, 3 as n_columns from (" + " union all ".join(f"select '{c}' as column_name, '{t}' as dtype, count({c}) as non_null, count(*) as n_rows from documents" for c, t in (("doc_id", "bigint"), ("text", "string"), ("n_chars", "bigint"))) + ")")
+def table_info(spark: SparkSession, d: str) -> DataFrame:
+    return profile.table_info(load(spark, d, "documents").select("doc_id", "text", "n_chars"))
+
+
 @query("select 'row_no' as column_name, count(*) - count(row_no) as nulls, count(*) as n_rows from sample_articles union all " + " union all ".join(f"select '{c}', count(*) - count({c}), count(*) from sample_articles" for c in ("title", "abstract_ar", "authors", "keywords", "page1", "page2", "source")))
 def count_nulls(spark: SparkSession, d: str) -> DataFrame:
     return profile.null_counts(load(spark, d, "sample_articles").select("row_no", "title", "abstract_ar", "authors", "keywords", "page1", "page2", "source"))
@@ -365,13 +426,38 @@ def dimension_counts(spark: SparkSession, d: str) -> DataFrame:
 # authors
 
 
-@query("select author_id, count(*) as articles_count, array_to_string(list_sort(list(article_id)), ',') as articles_ids from (select distinct author_id, article_id from author_links where author_id is not null and article_id is not null) group by author_id")
+_AR = registry.AR_TITLES.replace("'", "''")
+_NAME = f"regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(trim(author), '{_AR}', ''), '[_*()\\[\\]\\p{{Nd}}]', '', 'g')), '{registry.EN_TITLES}', ''), '[\\t\\n\\x0B\\f\\r \\x{{85}}\\p{{Z}}]+', ' ', 'g')"
+
+
+@query(
+    """with l as (select distinct author_id, article_id from author_links where author_id is not null and article_id is not null), c as (select author_id, count(*) as articles_count from l group by 1)
+    select author_id, piece, articles_count, articles_ids from (select author_id, cast(floor(article_id / 100000) as bigint) as piece, array_to_string(list_sort(list(article_id)), ',') as articles_ids from l group by 1, 2) join c using (author_id)"""
+)
 def author_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return registry.author_stats(load(spark, d, "author_links")).withColumn("articles_ids", F.array_join(F.col("articles_ids").cast("array<string>"), ","))
+    links = load(spark, d, "author_links")
+    pieces = registry.author_articles(links).join(registry.author_stats(links), "author_id")
+    return pieces.select("author_id", "piece", "articles_count", F.array_join(F.col("articles_ids").cast("array<string>"), ",").alias("articles_ids"))
+
+
+_FULL_NAMES = "list_concat(list_filter(list_transform(string_split_regex(coalesce(authors, ''), '[،,;؛|•]'), lambda x: trim(x, ' ')), lambda x: x <> ''), coalesce(try_cast(try_cast(authors_en as json) as varchar[]), []))"
+
+
+@query(
+    f"""with a as (select row_no, {_FULL_NAMES} as names from sample_articles), e as (select row_no, unnest(names) as author, generate_subscripts(names, 1) as at_no from a),
+    n as (select row_no, at_no, case when length(trim({_NAME})) >= 3 then trim({_NAME}) end as name from e), k as (select row_no, at_no, name from n where name is not null),
+    r as (select name, format('AUTH_{{:05d}}', row_number() over (order by s, p, name)) as id from (select name, min(row_no) as s, arg_min(at_no, row_no * 1000000 + at_no) as p from k group by name)),
+    o as (select row_no, id, min(at_no) as at_no from k join r using (name) group by 1, 2)
+    select s.row_no, coalesce(x.ids, '') as author_ids from sample_articles s left join (select row_no, string_agg(id, ',' order by at_no) as ids from o group by 1) x using (row_no)"""
+)
+def article_author_ids(spark: SparkSession, d: str) -> DataFrame:
+    names = F.concat(lists.split_any(F.coalesce("authors", F.lit(""))), lists.literal_list(F.col("authors_en")))
+    articles = load(spark, d, "sample_articles").select("row_no", names.alias("names"))
+    seen = articles.select("row_no", F.posexplode("names").alias("at", "raw")).select("row_no", "at", registry.clean_name(F.col("raw")).alias("name"))
+    known = registry.register(seen, ["row_no", "at"])
+    return registry.author_ids(articles, "names", known, "row_no").select("row_no", F.array_join("author_ids", ",").alias("author_ids"))
 
 
-_AR = registry.AR_TITLES.replace("'", "''")
-_NAME = f"regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(trim(author), '{_AR}', ''), '[_*()\\[\\]\\p{{Nd}}]', '', 'g')), '{registry.EN_TITLES}', ''), '[\\t\\n\\x0B\\f\\r \\x{{85}}\\p{{Z}}]+', ' ', 'g')"
 
 
 @query(f"select format('AUTH_{{:05d}}', row_number() over (order by seen, name)) as id, name from (select name, min(rec_id) as seen from (select rec_id, case when length(trim({_NAME})) >= 3 then trim({_NAME}) end as name from authors) where name is not null group by name)")

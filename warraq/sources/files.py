@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from warraq.operators.relational import align, chunked
+from warraq.operators.relational import align, chunked, existing
 
 
 def text_schema(columns: list[str]) -> StructType:
@@ -95,8 +95,8 @@ def first_pages(spark: SparkSession, root: str, readers: list[Callable[[], PageR
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode: str = "overwrite", quote_all: bool = False) -> None:
     """A headed CSV folder of the columns there are; ``append`` adds to it."""
-    rows = df.select(*(c for c in columns if c in df.columns)) if columns else df
-    rows.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", quote_all).csv(path)
+    rows = existing(df, columns) if columns else df
+    rows.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", quote_all).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_chunks(df: DataFrame, path: str, order: list[Column], rows: int = 200) -> None:
@@ -104,6 +104,11 @@ def write_chunks(df: DataFrame, path: str, order: list[Column], rows: int = 200)
     chunked(df, order, rows).write.mode("overwrite").partitionBy("chunk").parquet(path)
 
 
+def write_snapshots(df: DataFrame, path: str, order: list[Column], rows: int = 100) -> None:
+    """The state after each batch of ``rows`` rows: a folder for each batch, added to what is there."""
+    chunked(df, order, rows, "batch_id").write.mode("append").partitionBy("batch_id").parquet(path)
+
+
 def write_tokens(df: DataFrame, tokens: str, path: str) -> None:
     """One token a line."""
     df.select(F.explode(tokens).alias("value")).write.mode("overwrite").text(path)

@@ -18,7 +18,7 @@ def prepare(articles: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     pages = articles.withColumns({"page1": clean_page(F.col("page1")), "page2": clean_page(F.col("page2"))})
     kept = pages.withColumn("tokens", token_estimate(F.col("page1")) + token_estimate(F.col("page2"))).filter(F.col("tokens") >= min_tokens)
     full = kept.withColumn("_full", full_text(F.col("page1"), F.col("page2")))
-    return extract_abstracts(full, "_full").withColumn("keywords", extract_keywords(F.col("_full"))).drop("_full")
+    return extract_keywords(extract_abstracts(full, "_full"), "_full").drop("_full")
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, key: str = "article_id", min_tokens: int = MIN_TOKENS) -> StreamingQuery:
