@@ -22,6 +22,7 @@ row gives one row, repeated rows too; columns but the two named are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -100,9 +101,13 @@ _SENTENCE_END = regex.compile(r"(?<=[.!?؟])\s+|\n")
 _QUOTED = regex.compile(r"«[^«»\n]{1,400}»|“[^“”\n]{1,400}”|\"[^\"\n]{1,400}\"")
 
 
+_OTHER_DIGIT = re.compile(r"[^\D0]")
+
+
 def grams(text: str) -> np.ndarray:
     """Hashed four-grams of a text in lower case, one for each place but the last three."""
-    points = np.frombuffer(regex.sub(r"\d", "0", text.lower()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    low = text.lower()
+    points = np.frombuffer((_OTHER_DIGIT.sub("0", low) if _OTHER_DIGIT.search(low) else low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     if len(points) < 4:
         return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
@@ -228,21 +233,19 @@ def fit(df: DataFrame, text: str = "text", coverage: float = COVERAGE) -> np.nda
 
 def judge(ratio: np.ndarray, coverage: float = COVERAGE, window: int = WINDOW) -> Callable[[str | None], tuple[str | None, float]]:
     """A function from a text to its kind of residue (NULL: none) and the share that residue covers."""
-    kernel = np.ones(window)
-
     def covered(text: str) -> float:
         g = grams(text)
         if len(g) < 4:
             return 0.0
         scores = ratio[g]
         width = min(window, len(scores))
-        sums = np.convolve(scores, kernel[:width], "valid")
-        marked = np.zeros(len(scores) + 1)
-        hit = np.nonzero(sums > 0.5 * width)[0]
-        np.add.at(marked, hit, 1)
-        np.add.at(marked, np.minimum(hit + width, len(scores)), -1)
-        spread = np.cumsum(marked)[:-1] > 0
-        return float(spread.mean())
+        total = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
+        hit = (total[width:] - total[:-width] > 0.5 * width).view(np.int8)
+        # every window's places once: up at its start, down behind its end
+        edge = np.zeros(len(scores) + 1, np.int32)
+        edge[: len(hit)] += hit
+        edge[width : width + len(hit)] -= hit
+        return float((np.cumsum(edge)[:-1] > 0).mean())
 
     def decide(text: str | None) -> tuple[str | None, float]:
         if text is None or not text.strip():
