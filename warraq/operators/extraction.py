@@ -219,7 +219,7 @@ class Profile:
 
 _NUMBER_LINE = r"^\s*[0-9\u0660-\u0669\u06F0-\u06F9]+\s*\.?\s*$"
 _LICENCE = (r"This article is an open\s*access article distributed.*?(?:\n\s*\n|$)", r"under the terms and\s*conditions of the Creative Commons.*?(?:\n\s*\n|$)")
-_RECEIVED = r"(?i)^\s*Received\s*:\s*\d{2}/\d{2}/\d{4}\s*"
+RECEIVED = r"(?i)^\s*Received\s*:\s*\d{2}/\d{2}/\d{4}\s*"
 
 #: Profiles by source code, in upper case. Their patterns and words are fixed values.
 PROFILES = {
@@ -256,7 +256,7 @@ PROFILES = {
             r"^Manarah,\s*.*?Series,\s*Vol\.\s*\d+,\s*No\.\s*\d+,\s*\d{4}\s*\(\s*[0-9\u0660-\u0669\u06F0-\u06F9]+\s*\)\s*$", r"^\s*DO[IL]\s*:?\s*https?://\S+\s*$", r"^\s*Received\s*:\s*$", r"^\s*Revised\s*:\s*$",
             r"^\s*Accepted\s*:\s*$", r"^\s*Published\s*:\s*$", r"^\s*\*+\s*Corresponding\s*Author\s*:?\s*$", _NUMBER_LINE, r"^\s*(https?://\S+|www\.\S+)\s*$",
         ),
-        abstract=("ملخص", "المستخلص", "الملخص", "الخلاصة", "abstract"), abstract_line=_RECEIVED + r"Abstract\b", abstract_cap=80, keyword_lines=3, radius=3,
+        abstract=("ملخص", "المستخلص", "الملخص", "الخلاصة", "abstract"), abstract_line=RECEIVED + r"Abstract\b", abstract_cap=80, keyword_lines=3, radius=3,
         cues=("جامعة", "كلية", "قسم", "أستاذ", "د.", "دكتور", "باحث", "باحثة", "university", "college", "school", "department", "researcher", "prof", "dr.", "eng."),
         limit=70, window=(3, 20), without_links=True, title_cut=("cues",), title_default=30, title_max=45,
     ),
@@ -350,8 +350,8 @@ def pinpoint(df: DataFrame, source: str = "source", profiles: dict[str, Profile]
     capped = by(lambda p: F.least(F.col("_n"), F.col("_abs") + p.abstract_cap) if p.abstract_cap else F.col("_n"))
     end = F.when(F.col("_key") > F.col("_abs"), F.col("_key")).when(F.col("_intro") > F.col("_abs"), F.col("_intro")).otherwise(capped)
     abstract = F.coalesce(region(F.col("_abs"), end), F.lit(""))
-    dated = by(lambda p: F.get("_lines", F.col("_abs")).rlike(p.abstract_line) if p.abstract_line.startswith(_RECEIVED) else F.lit(False))
-    abstract = F.when(dated, F.regexp_replace(abstract, _RECEIVED, "")).otherwise(abstract)
+    dated = by(lambda p: F.get("_lines", F.col("_abs")).rlike(p.abstract_line) if p.abstract_line.startswith(RECEIVED) else F.lit(False))
+    abstract = F.when(dated, F.regexp_replace(abstract, RECEIVED, "")).otherwise(abstract)
     authors = by(lambda p: F.when(F.size("_mails") > 0, around(F.col("_mails"), p.radius)).otherwise(hinted(p)))
     titles = by(lambda p: F.array_join(F.slice(F.filter(F.slice("_lines", F.lit(1), title_end(p)), lambda x: ~x.rlike(URL)), 1, p.title_max), "\n"))
     keywords = by(lambda p: region(F.col("_key"), F.col("_key") + p.keyword_lines))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from uuid import uuid4
@@ -534,8 +535,9 @@ def _similar(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
 @query()
 def root_counts(spark: SparkSession, d: str) -> DataFrame:
     tokens = text.words(text.remove_punctuation(text.remove_latin_digits(F.col("abstract_ar"))))
-    rows = load(spark, d, "sample_articles").select(F.explode(roots(tokens)).alias("root"))
-    return rows.groupBy("root").agg(F.count("*").alias("n"))
+    # tokens are counted before Python sees them, so each is taken to its root once
+    counted = load(spark, d, "sample_articles").select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("k"))
+    return counted.select(roots(F.array("token"))[0].alias("root"), "k").groupBy("root").agg(F.sum("k").alias("n"))
 
 
 @query(f"select row_no, regexp_replace({_compatible_sql('title')}, '\\p{{Cf}}', '', 'g') as title from sample_articles")
@@ -700,7 +702,65 @@ def extracted_authors(spark: SparkSession, d: str) -> DataFrame:
 STAND_INS = {"KJR": "AJP", "WTR": "AJSP", "NBA": "AJSRP", "DHB": "AM", "TLJ": "ARPD"}
 
 
-@query()
+_SPACES = r"\t\n\x0B\f\r \x{85}\p{Z}"
+
+
+def _re2(pattern: str) -> str:
+    """A pattern with Unicode classes as RE2 writes them, inside an SQL text."""
+    for old, new in ((r"\s", f"[{_SPACES}]"), (r"\S", f"[^{_SPACES}]"), (r"\d", r"\p{Nd}")):
+        pattern = pattern.replace(old, new)
+    return _q(re.sub(r"\\u([0-9A-Fa-f]{4})", r"\\x{\1}", pattern))
+
+
+def _tested(test: str) -> str:
+    """Places, from 0, of the lines ``x`` that pass a test."""
+    return f"list_filter(list_transform(lines, lambda x, i: case when {test} then i - 1 end), lambda v: v is not null)"
+
+
+def _page_sql(column: str) -> str:
+    """The light cleanup of a page."""
+    t = f"regexp_replace(regexp_replace({_compatible_sql(f"coalesce({column}, '')")}, '\\p{{Cf}}', '', 'g'), '\\r\\n?', chr(10), 'g')"
+    t = f"regexp_replace(regexp_replace(regexp_replace({t}, '[•●▪♦■★☆※…—–―\\x{{2010}}-\\x{{2043}}\\x{{204E}}-\\x{{205E}}]', ' ', 'g'), '\\.{{3,}}', '.', 'g'), '={{2,}}|[_~^`]+', ' ', 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({t}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '{_EDGE}', '', 'g')"
+
+
+def _regions_sql(name: str, source: str, p: extraction.Profile) -> str:
+    """The regions of one source's rows, from the table ``pages`` of cleaned pages."""
+    starts = lambda heads: f"regexp_matches(lower(x), '^(?:{_q('|'.join(re.escape(h) for h in heads))})')" if heads else "false"
+    holds = lambda words: f"regexp_matches(lower(x), '{_q('|'.join(re.escape(w) for w in words))}')" if words else "false"
+    pattern = lambda r: "false" if r == "(?!)" else f"regexp_matches(x, '{_re2(r)}')"
+    stripped = f"case when p1 <> '' and p2 <> '' then p1 || '{text.PAGE_BREAK}' || p2 else p1 || p2 end" if p.second_page else "p1"
+    for r, flags in [*((b, "is") for b in p.blocks), *((x, "im") for x in p.lines)]:
+        stripped = f"regexp_replace({stripped}, '(?{flags}){_re2(r)}', '', 'g')"
+    around = lambda idx, r: f"array_to_string(list_transform(list_filter(list_sort(list_distinct(flatten(list_transform({idx}, lambda i: range(i - {r}, i + {r} + 1))))), lambda j: j >= 0 and j < n), lambda j: lines[j + 1]), chr(10))"
+    unlinked = lambda some: f"list_filter({some}, lambda x: not regexp_matches(x, '{_re2(extraction.URL)}'))"
+    anchor = "list_min(marks)" if p.marks else "list_min(cues)"
+    if p.window is None:
+        hinted = around("cues", 1)
+    else:
+        some = f"lines[greatest({anchor} - {p.window[0]}, 0) + 1:greatest({anchor} - {p.window[0]}, 0) + {p.window[1]}]"
+        hinted = f"case when {anchor} is not null then array_to_string({unlinked(some) if p.without_links else some}, chr(10)) else {around('cues', 1) if p.marks else "''"} end"
+    cuts = ", ".join(["list_min(mails)", "heads", *({"cues": "list_min(cues)", "marks": "list_min(marks)", "doi": "doi"}[c] for c in p.title_cut)])
+    cap = f"least(n, heads + {p.abstract_cap})" if p.abstract_cap else "n"
+    abstract = f"case when heads is null then '' else array_to_string(lines[heads + 1:case when keys > heads then keys when intro > heads then intro else {cap} end], chr(10)) end"
+    if p.abstract_line.startswith(extraction.RECEIVED):
+        abstract = f"case when regexp_matches(lines[heads + 1], '{_re2(p.abstract_line)}') then regexp_replace({abstract}, '{_re2(extraction.RECEIVED)}', '') else {abstract} end"
+    return f"""select row_no, left(regexp_replace('TITLE_REGION:' || chr(10) || array_to_string(({unlinked(f"lines[1:coalesce(least({cuts}), least(n, {p.title_default}))]")})[1:{p.title_max}], chr(10))
+    || chr(10) || chr(10) || 'AUTHORS_REGION:' || chr(10) || case when len(mails) > 0 then {around("mails", p.radius)} else {hinted} end
+    || chr(10) || chr(10) || 'ABSTRACT_REGION:' || chr(10) || {abstract}
+    || chr(10) || chr(10) || 'KEYWORDS_REGION:' || chr(10) || case when keys is null then '' else array_to_string(lines[keys + 1:keys + {p.keyword_lines}], chr(10)) end, '{_EDGE}', '', 'g'), 9000) as regions
+    from (select *, len(lines) as n, list_min({_tested(starts(p.abstract) + " or " + pattern(p.abstract_line))}) as heads, list_min({_tested(starts(extraction.KEYWORD_HEADS) + " or " + pattern(p.keyword_line))}) as keys, list_min({_tested(starts(p.intro))}) as intro,
+     {_tested(f"regexp_matches(x, '[{_IN}][{_IN}.-]*@[{_IN}.-]+[.][{_IN}]')")} as mails, {_tested(holds(p.marks))} as marks, list_filter({_tested(holds(p.cues))}, lambda v: v <= {p.limit}) as cues, list_min({_tested("contains(lower(x), 'doi.org')")}) as doi
+     from (select row_no, list_filter(list_transform(string_split(regexp_replace({stripped}, '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '{_EDGE}', '', 'g')), lambda x: x <> '') as lines from pages where code = '{source}'))"""
+
+
+_REGIONS = " union all ".join(_regions_sql(name, source, extraction.PROFILES[name]) for source, name in STAND_INS.items())
+
+
+@query(
+    f"""with pages as (select row_no, upper(trim(source, ' ')) as code, {_page_sql("page1")} as p1, {_page_sql("page2")} as p2 from sample_articles), r as ({_REGIONS})
+    select s.row_no, r.regions from sample_articles s left join r using (row_no)"""
+)
 def pinpointed_regions(spark: SparkSession, d: str) -> DataFrame:
     codes = F.create_map(*(F.lit(x) for kv in STAND_INS.items() for x in kv))
     rows = load(spark, d, "sample_articles").select("row_no", "page1", "page2", codes[F.upper(F.trim("source"))].alias("source"))
