@@ -84,21 +84,27 @@ def extract_abstracts(df: DataFrame, text: str, out: str = "abstract", patterns:
     tidy = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?U)\A\s+|\s+\z", ""), r"(?U)\A[:\-.]+\s*", "")
     verb = f"(?Uds)\\A(.*?){patterns.verbs}"
     rows = df.withColumn("_f", fold_search(F.col(text)))
-    rows = rows.withColumns({"_pieces": F.split("_f", f"(?d){patterns.header}", -1), "_heads": F.regexp_extract_all("_f", F.lit(f"(?d){patterns.header}"), F.lit(0))})
+    # one run of the pattern puts marks around the headers: what stands between marks is a piece and a header in turn
+    rows = rows.withColumn("_f", F.translate("_f", "\ue000", " ")).withColumn("_marked", F.split(F.regexp_replace("_f", f"(?d)({patterns.header})", "\ue000$1\ue000"), "\ue000", -1))
+    each = lambda start: F.filter("_marked", lambda x, i: i % 2 == start)
+    rows = rows.withColumns({"_pieces": each(0), "_heads": each(1)}).drop("_marked")
     rows = rows.withColumn("_ends", F.transform("_heads", lambda h, i: size(F.slice("_pieces", F.lit(1), i + 1)) + size(F.slice("_heads", F.lit(1), i + 1)) + 1))
     rows = rows.withColumn("_windows", F.transform("_ends", lambda e: F.substring(F.col("_f"), e, F.lit(3000))))
     upto = lambda w: F.length(F.get(F.split(w, f"(?ds){patterns.keyword_start}|{patterns.stop}", 2), F.lit(0)))
-    length = lambda w: F.when(upto(w) < F.length(w), upto(w)).otherwise(F.least(F.length(w), F.lit(1000)))
-    rows = rows.withColumn("_found", F.transform(F.arrays_zip("_ends", "_windows"), lambda x: tidy(F.substring(F.col(text), x["_ends"], length(x["_windows"])))))
+    length = lambda w, end: F.when(end < F.length(w), end).otherwise(F.least(F.length(w), F.lit(1000)))
+    rows = rows.withColumn("_stops", F.transform("_windows", upto))
+    rows = rows.withColumn("_found", F.transform(F.arrays_zip("_ends", "_windows", "_stops"), lambda x: tidy(F.substring(F.col(text), x["_ends"], length(x["_windows"], x["_stops"])))))
     good = F.filter("_found", lambda c: (F.length(c) > 50) & c.rlike(ARABIC))
     rows = rows.withColumn("_best", F.aggregate(good, F.lit(""), lambda a, c: F.when(F.length(c) > F.length(a), c).otherwise(a)))
     rows = rows.withColumn("_before", F.when(F.col("_best") == "", F.regexp_extract("_f", verb, 1)))
-    has_verb = F.col("_f").rlike(f"(?Ud){patterns.verbs}")
+    # an empty text before the verb: it stands first, or nowhere
+    has_verb = (F.col("_before") != "") | F.col("_f").rlike(f"(?Ud)\\A{patterns.verbs}")
     rows = rows.withColumn("_window", F.when((F.col("_best") == "") & has_verb & (F.length("_before") < 3000), F.substring(F.col("_f"), F.length("_before") + 1, F.lit(3000))))
-    opened = F.when(F.col("_window").isNotNull(), F.substring(F.col(text), F.length("_before") + 1, length(F.col("_window"))))
+    rows = rows.withColumn("_stop", upto(F.col("_window")))
+    opened = F.when(F.col("_window").isNotNull(), F.substring(F.col(text), F.length("_before") + 1, length(F.col("_window"), F.col("_stop"))))
     rows = rows.withColumn("_second", F.regexp_replace(opened, r"(?U)\A\s+|\s+\z", ""))
     result = F.when(F.col("_best") != "", collapse(F.col("_best"))).when(F.length("_second") > 50, collapse(F.col("_second")))
-    return rows.withColumn(out, result).drop("_f", "_pieces", "_heads", "_ends", "_windows", "_found", "_best", "_before", "_window", "_second")
+    return rows.withColumn(out, result).drop("_f", "_pieces", "_heads", "_ends", "_windows", "_stops", "_stop", "_found", "_best", "_before", "_window", "_second")
 
 
 def keyword_line(patterns: Patterns = STRICT) -> str:

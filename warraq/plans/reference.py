@@ -245,8 +245,9 @@ def _stem_sql() -> str:
 def stem_counts(spark: SparkSession, d: str) -> DataFrame:
     # words are counted before they are stemmed, so each is stemmed once
     words = load(spark, d, "documents").select(F.explode(text.words(text.strip_tashkeel(F.col("text")))).alias("w")).groupBy("w").agg(F.count("*").alias("k"))
-    stems = words.select(text.light_stem(F.col("w")).alias("stem"), "k").filter(~F.col("stem").isin(*text.STOPWORDS) & (F.col("stem") != ""))
-    return stems.groupBy("stem").agg(F.sum("k").alias("n"))
+    stems = words.select(text.light_stem(F.col("w")).alias("stem"), "k").groupBy("stem").agg(F.sum("k").alias("n"), F.max("stem").alias("_s"))
+    # the filter asks an aggregate, or it would be pushed below the count and stem every occurrence
+    return stems.filter(~F.col("_s").isin(*text.STOPWORDS) & (F.col("_s") != "")).drop("_s")
 
 
 _BLANK = "[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}\\x1c-\\x1f]+"
