@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from warraq.llm.batches import map_rows
 
 BUCKETS = 1 << 17
-COVERAGE = 0.5
+COVERAGE = 2 / 3
 WINDOW = 24
 #: Line ends between joined texts. The share of four-grams known from the seed lines that keeps a text, or a window, out of the prose model.
 GAP = 4
