@@ -1,4 +1,5 @@
 import collections
+import math
 
 from pyspark.sql import functions as F
 
@@ -91,6 +92,50 @@ def test_hot_terms_are_split_without_loss(spark, monkeypatch):
     assert {(r.query_no, r.row_no, round(r.score, 9), r.rank) for r in retrieval.neighbours(df, "row_no", "t", asks).collect()} == whole
 
 
+def test_neighbours_in_blocks_are_those_of_brute_force(spark, monkeypatch):
+    random = __import__("random").Random(3)
+    # frequent words, rare ones, equal texts
+    words = [f"word{int(40 * random.random() ** 3)}" if random.random() < 0.9 else f"rare{random.randrange(60)}" for _ in range(1500)]
+    texts = {k: " ".join(words[6 * (k % 150) : 6 * (k % 150) + 9]) for k in range(1, 301)}
+    df = spark.createDataFrame(list(texts.items()), "row_no long, t string")
+    told = {k: collections.Counter(t.split()) for k, t in texts.items()}
+    held = collections.Counter(w for k, c in told.items() if k % 20 for w in c)
+    raw = {k: {w: (1 + math.log(n)) * (math.log(286 / (1 + held[w])) + 1) for w, n in c.items() if held[w] >= 2} for k, c in told.items()}
+    unit = {k: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for k, v in raw.items()}
+    want = set()
+    for q in (k for k in texts if k % 20 == 0):
+        scores = {d: sum(x * unit[d].get(w, 0) for w, x in unit[q].items()) for d in texts if d % 20}
+        want |= {(q, d, r) for r, d in enumerate(sorted(scores, key=lambda d: (-round(scores[d], 9), d))[:7], 1)}
+    for block in (1_500_000, 50):
+        monkeypatch.setattr(retrieval, "BLOCK", block, raising=False)
+        got = retrieval.neighbours(df, "row_no", "t", F.col("row_no") % 20 == 0, k=7).collect()
+        assert {(r.query_no, r.row_no, r["rank"]) for r in got} == want and len(got) == 15 * 7
+
+
+def test_neighbours_shuffle_no_pairs(spark):
+    df = spark.createDataFrame([(k, f"common other term{k % 50}") for k in range(1, 1001)], "row_no long, t string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    # as with tables that are too large for one partition
+    large = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {c: spark.conf.get(c) for c in large}
+    try:
+        for c, v in large.items():
+            spark.conf.set(c, v)
+        assert retrieval.neighbours(df, "row_no", "t", F.col("row_no") % 2 == 0, k=3).count() == 1500
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+    # 500 queries and 500 documents have 250,000 pairs
+    assert 0 < shuffled() - before < 50_000
+
+
 def test_vectors_in_blocks(spark):
     random = __import__("random").Random(1)
     rows = [(k, [random.random() - 0.5 for _ in range(6)]) for k in range(120)]

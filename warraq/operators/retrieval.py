@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,30 +18,105 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(counts: DataFrame, min_df: int = 2) -> DataFrame:
-    """(term, df) of terms in at least ``min_df`` documents."""
-    return counts.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+#: The terms of most documents, up to so many, are broadcast; only rarer ones meet their documents in a shuffle.
+HOT = 50_000
+#: Terms of documents, and of queries, that one task compares.
+BLOCK = 1_500_000
 
 
-def weighted(counts: DataFrame, vocabulary: DataFrame, n_docs: int, key: str) -> DataFrame:
-    """(key, term, w): sublinear tf times smooth idf, of length 1 for each document; unknown terms fall out."""
-    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    raw = counts.join(vocabulary, "term").withColumn("raw", (1.0 + F.log("tf")) * idf)
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("raw") / norm).alias("w"))
+def _pack(n_docs: int) -> Callable[[pa.Table], pa.Table]:
+    """Occurrences (_asks, _b, key, id, df) of a block as one row: for each of its documents the ids and weights of its terms.
 
+    Weights: sublinear tf times smooth idf, of length 1 for each document.
+    """
 
-#: A term in more documents than this is split by a salt, so no task gets all of its documents.
-HOT = 50_000
+    def pack(block: pa.Table) -> pa.Table:
+        key, term, df = (block.column(c).to_numpy() for c in ("key", "id", "df"))
+        order = np.lexsort((term, key))
+        key, term, df = key[order], term[order], df[order]
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (term[1:] != term[:-1])])
+        tf = np.diff(np.r_[first, len(key)])
+        key, term = key[first], term[first]
+        raw = (1.0 + np.log(tf)) * (np.log((1.0 + n_docs) / (1.0 + df[first])) + 1.0)
+        keys, at = np.unique(key, return_inverse=True)
+        w = raw / np.sqrt(np.bincount(at, raw * raw))[at]
+        row = {"_asks": [block.column("_asks")[0].as_py()], "_b": [block.column("_b")[0].as_py()]}
+        row |= {"keys": [keys.tobytes()], "ats": [at.astype(np.int32).tobytes()], "ids": [term.tobytes()], "ws": [w.tobytes()]}
+        return pa.table(row, schema=pa.schema([("_asks", pa.bool_()), ("_b", pa.int32()), *((c, pa.binary()) for c in ("keys", "ats", "ids", "ws"))]))
+
+    return pack
 
 
-def dot_products(asked: DataFrame, corpus: DataFrame, qkey: str, ckey: str, vocabulary: DataFrame) -> DataFrame:
-    """(qkey, ckey, score): cosine of every query and document with a term in common; both sides are (key, term, w)."""
-    salts = F.ceil(F.col("df") / HOT).cast("int")
-    sizes = vocabulary.filter(F.col("df") > HOT).select("term", salts.alias("_n"))
-    split = corpus.join(sizes, "term", "left").withColumn("_s", F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.hash(ckey), "_n"))).drop("_n")
-    ask = asked.withColumnRenamed("w", "_qw").join(sizes, "term", "left").withColumn("_s", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
-    return ask.join(split, ["term", "_s"]).groupBy(qkey, ckey).agg(F.sum(F.col("_qw") * F.col("w")).alias("score"))
+def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(row[c], t) for c, t in (("keys", np.int64), ("ats", np.int32), ("ids", np.int64), ("ws", np.float64)))
+
+
+def _best(k: int) -> Callable[[pa.Table], pa.Table]:
+    """(query, key, score, _r): the ``k`` best documents of a block for each query of a block, all pairs with a term in common compared.
+
+    Terms in a sixteenth of the documents are multiplied as full matrices, the
+    others by their lists of documents.
+    """
+    schema = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("score", pa.float64()), ("_r", pa.int64())])
+
+    def best(pair: pa.Table) -> pa.Table:
+        sides = {r["_asks"]: _unpacked(r) for r in pair.to_pylist()}
+        if len(sides) < 2:
+            return schema.empty_table()
+        (qkeys, qat, qid, qw), (dkeys, dat, did, dw) = sides[True], sides[False]
+        ids, did = np.unique(did, return_inverse=True)
+        there = np.isin(qid, ids)
+        qat, qid, qw = qat[there], np.searchsorted(ids, qid[there]), qw[there]
+        n, groups = len(dkeys), 8 * k
+        wide = -(-n // groups) * groups
+        dense = np.flatnonzero(np.bincount(did) * 16 >= n)
+        place = np.full(len(ids), -1)
+        place[dense] = np.arange(len(dense))
+        frequent = place[did] >= 0
+        matrix = np.zeros((len(dense), wide))
+        matrix[place[did[frequent]], dat[frequent]] = dw[frequent]
+        dat, did, dw = dat[~frequent], did[~frequent], dw[~frequent]
+        order = np.argsort(did, kind="stable")
+        dat, dw, ends = dat[order], dw[order], np.r_[0, np.cumsum(np.bincount(did, minlength=len(ids)))]
+        found = []
+        step = max(1, 8_000_000 // wide)
+        for lo in range(0, len(qkeys), step):
+            some = np.flatnonzero((qat >= lo) & (qat < lo + step))
+            rows, terms_, weights = qat[some] - lo, qid[some], qw[some]
+            often = place[terms_] >= 0
+            asked = np.zeros((min(step, len(qkeys) - lo), len(dense)))
+            asked[rows[often], place[terms_[often]]] = weights[often]
+            scores = asked @ matrix
+            rows, terms_, weights = rows[~often], terms_[~often], weights[~often]
+            order = np.argsort(terms_, kind="stable")
+            rows, terms_, weights = rows[order], terms_[order], weights[order]
+            cuts = np.flatnonzero(np.diff(terms_)) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(terms_)]) if len(terms_) else ():
+                docs = slice(ends[terms_[a]], ends[terms_[a] + 1])
+                scores[np.ix_(rows[a:b], dat[docs])] += np.outer(weights[a:b], dw[docs])
+            # the k-th of the groups' best scores: k documents at least have as much
+            least = np.partition(scores.reshape(len(scores), groups, -1).max(axis=2), groups - k, axis=1)[:, groups - k]
+            q, d = np.nonzero(scores >= np.maximum(least - 2e-9, 1e-300)[:, None])
+            score = scores[q, d]
+            rounded = np.floor(score * 1e9 + 0.5).astype(np.int64)
+            order = np.lexsort((dkeys[d], -rounded, q))
+            q, d, score, rounded = q[order], d[order], score[order], rounded[order]
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+            found.append((qkeys[lo + q[kept]], dkeys[d[kept]], score[kept], rounded[kept]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], schema=schema)
+
+    return best
+
+
+def _weighed(texts: DataFrame, vocabulary: DataFrame, size: int) -> DataFrame:
+    """(key, _asks, id, df) of every occurrence of a known term."""
+    told = texts.select("key", "_asks", F.explode(terms(F.col("text"))).alias("term"))
+    if size <= HOT:
+        return told.join(F.broadcast(vocabulary), "term").drop("term")
+    hot = cut(vocabulary.orderBy(F.desc("df"), "term").limit(HOT))
+    met = told.join(F.broadcast(hot), "term", "left")
+    rare = met.filter("id is null").select("key", "_asks", "term").join(vocabulary, "term")
+    return met.filter("id is not null").drop("term").unionByName(rare.drop("term"))
 
 
 def neighbours(docs: DataFrame, key: str, text: str, asks: Column, k: int = 20, qkey: str = "query_no", min_df: int = 2) -> DataFrame:
@@ -48,20 +127,29 @@ def neighbours(docs: DataFrame, key: str, text: str, asks: Column, k: int = 20,
     model fitted on the train part has them. Every query has its rows: where
     fewer than ``k`` documents have a term in common, the first others by key
     follow with score 0.
+
+    Every block of queries meets every block of documents in one task, which
+    hands on the ``k`` best documents of a query, so no pair is shuffled.
     """
-    rows = docs.select(key, text, F.coalesce(asks, F.lit(False)).alias("_asks"))
-    train, test = rows.filter("not _asks"), rows.filter("_asks")
-    counts = term_counts(train, key, text)
-    vocabulary = cut(document_frequency(counts, min_df))
-    n = train.count()
-    corpus = weighted(counts, vocabulary, n, key)
-    asked = weighted(term_counts(test, key, text), vocabulary, n, key).withColumnRenamed(key, qkey)
-    order = lambda: Window.partitionBy(qkey).orderBy(F.round("score", 9).desc(), key)
-    best = dot_products(asked, corpus, qkey, key, vocabulary).withColumn("rank", F.row_number().over(order())).filter(F.col("rank") <= k)
-    best = cut(best.select(qkey, key, "score", "rank"))
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.coalesce(asks, F.lit(False)).alias("_asks"))
+    texts = cut(rows.groupBy("key", "_asks").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"), F.count("*").alias("_rows")))
+    n = texts.filter("not _asks").agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    seen = texts.select("_asks", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.when(~F.col("_asks"), 1)).alias("df"), F.count(F.when(F.col("_asks"), 1)).alias("asked"))
+    vocabulary = cut(seen.filter(F.col("df") >= min_df).withColumn("id", F.monotonically_increasing_id()))
+    size, held, asked = vocabulary.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("asked"), F.lit(0))).first()
+    d_blocks, q_blocks = max(1, -(-held // BLOCK)), max(1, -(-asked // BLOCK))
+    block = F.pmod(F.xxhash64("key"), F.when(F.col("_asks"), q_blocks).otherwise(d_blocks)).cast("int")
+    packed = cut(_weighed(texts, vocabulary.drop("asked"), size).select("key", "_asks", block.alias("_b"), "id", "df").groupBy("_asks", "_b").applyInArrow(_pack(n), "_asks boolean, _b int, keys binary, ats binary, ids binary, ws binary"))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    what = ("_asks", "keys", "ats", "ids", "ws")
+    pairs = packed.filter("_asks").select(F.col("_b").alias("_i"), every(d_blocks).alias("_j"), *what).unionByName(packed.filter("not _asks").select(every(q_blocks).alias("_i"), F.col("_b").alias("_j"), *what))
+    met = pairs.groupBy("_i", "_j").applyInArrow(_best(k), "query bigint, key bigint, score double, _r bigint")
+    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("_r"), "key"))).filter(F.col("rank") <= k)
+    best = cut(best.select(F.col("query").alias(qkey), F.col("key").alias(key), "score", "rank"))
     # 2k rows at most; the k of a query that are no match of its own are among them
-    first = [r[key] for r in train.select(key).orderBy(key).limit(2 * k).collect()]
-    short = test.select(F.col(key).alias(qkey)).join(best.groupBy(qkey).agg(F.count("*").alias("_n")), qkey, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(F.col("_n") < k)
+    first = [r["key"] for r in texts.filter("not _asks").select("key").orderBy("key").limit(2 * k).collect()]
+    test = texts.filter("_asks").select(F.col("key").alias(qkey))
+    short = test.join(best.groupBy(qkey).agg(F.count("*").alias("_n")), qkey, "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(F.col("_n") < k)
     pads = short.select(qkey, "_n", F.explode(F.array(*(F.lit(x) for x in first)) if first else F.array().cast("array<bigint>")).alias(key)).join(best.select(qkey, key), [qkey, key], "left_anti")
     w = Window.partitionBy(qkey).orderBy(key)
     pads = pads.withColumn("rank", F.row_number().over(w) + F.col("_n")).filter(F.col("rank") <= k)
