@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warraq.functions.text import terms
-from warraq.session import cut
+from warraq.session import cut, stored
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,34 +26,74 @@ HOT = 50_000
 BLOCK = 1_500_000
 
 
-def _pack(n_docs: int) -> Callable[[pa.Table], pa.Table]:
-    """Occurrences (_asks, _b, key, id, df) of a block as one row: for each of its documents the ids and weights of its terms.
+#: Occurrences that a task gathers before it hands them on.
+GATHERED = 400_000
+_PACKED = pa.schema([("_asks", pa.bool_()), ("_b", pa.int32()), ("data", pa.binary())])
+_PACKED_SQL = "_asks boolean, _b int, data binary"
+
+
+def _summed(key: np.ndarray, term: np.ndarray, df: np.ndarray, tf: np.ndarray) -> bytes:
+    """Occurrences (key, id, df, tf) as one compressed string, those of one key and id summed up: keys with their number of terms, ids with their df once, a place among the ids and a tf for each pair."""
+    order = np.lexsort((term, key))
+    key, term, df, tf = key[order], term[order], df[order], tf[order]
+    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (term[1:] != term[:-1])])
+    tf = np.add.reduceat(tf, first)
+    keys, n = np.unique(key[first], return_counts=True)
+    ids, at, place = np.unique(term[first], return_index=True, return_inverse=True)
+    least = lambda x: x.astype(np.min_scalar_type(int(x.max())))
+    out = io.BytesIO()
+    np.savez(out, keys=keys, n=least(n), ids=ids, df=least(df[first][at]), place=least(place), tf=least(tf))
+    return zlib.compress(out.getbuffer(), 1)
+
+
+def _occurrences(data: bytes) -> tuple[np.ndarray, ...]:
+    """(key, id, df, tf) of ``_summed``, by key and id."""
+    x = np.load(io.BytesIO(zlib.decompress(data)))
+    place = x["place"]
+    return np.repeat(x["keys"], x["n"]), x["ids"][place], x["df"][place].astype(np.int64), x["tf"].astype(np.int64)
 
-    Weights: sublinear tf times smooth idf, of length 1 for each document.
-    """
 
-    def pack(block: pa.Table) -> pa.Table:
-        key, term, df = (block.column(c).to_numpy() for c in ("key", "id", "df"))
-        order = np.lexsort((term, key))
-        key, term, df = key[order], term[order], df[order]
-        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (term[1:] != term[:-1])])
-        tf = np.diff(np.r_[first, len(key)])
-        key, term = key[first], term[first]
-        raw = (1.0 + np.log(tf)) * (np.log((1.0 + n_docs) / (1.0 + df[first])) + 1.0)
-        keys, at = np.unique(key, return_inverse=True)
-        w = raw / np.sqrt(np.bincount(at, raw * raw))[at]
-        row = {"_asks": [block.column("_asks")[0].as_py()], "_b": [block.column("_b")[0].as_py()]}
-        row |= {"keys": [keys.tobytes()], "ats": [at.astype(np.int32).tobytes()], "ids": [term.tobytes()], "ws": [w.tobytes()]}
-        return pa.table(row, schema=pa.schema([("_asks", pa.bool_()), ("_b", pa.int32()), *((c, pa.binary()) for c in ("keys", "ats", "ids", "ws"))]))
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences (_asks, _b, key, id, df) as a few rows (_asks, _b, data), so that no single one is shuffled."""
 
-    return pack
+    def handed_on(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        asks, b, key, term, df = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in some]) for c in range(5))
+        group = b.astype(np.int64) * 2 + asks
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        parts = np.split(order, cuts) if len(order) else []
+        data = [_summed(key[p], term[p], df[p], np.ones(len(p), np.int64)) for p in parts]
+        return pa.RecordBatch.from_arrays([pa.array([bool(asks[p[0]]) for p in parts], pa.bool_()), pa.array([int(b[p[0]]) for p in parts], pa.int32()), pa.array(data, pa.binary())], schema=_PACKED)
 
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some.append(batch)
+        if sum(x.num_rows for x in some) >= GATHERED:
+            yield handed_on(some)
+            some = []
+    if some:
+        yield handed_on(some)
 
-def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(row[c], t) for c, t in (("keys", np.int64), ("ats", np.int32), ("ids", np.int64), ("ws", np.float64)))
+
+def _pack(block: pa.Table) -> pa.Table:
+    """All rows (_asks, _b, data) of a block as one."""
+    parts = zip(*(_occurrences(x.as_py()) for x in block.column("data")))
+    data = _summed(*(np.concatenate(x) for x in parts))
+    return pa.table({"_asks": [block.column("_asks")[0].as_py()], "_b": [block.column("_b")[0].as_py()], "data": [data]}, schema=_PACKED)
+
+
+def _weights(data: bytes, n_docs: int) -> tuple[np.ndarray, ...]:
+    """(keys, place among them, id, weight) of a block.
+
+    Weights: sublinear tf times smooth idf, of length 1 for each document.
+    """
+    key, term, df, tf = _occurrences(data)
+    raw = (1.0 + np.log(tf)) * (np.log((1.0 + n_docs) / (1.0 + df)) + 1.0)
+    keys, at = np.unique(key, return_inverse=True)
+    return keys, at, term, raw / np.sqrt(np.bincount(at, raw * raw))[at]
 
 
-def _best(k: int) -> Callable[[pa.Table], pa.Table]:
+def _best(k: int, n_docs: int) -> Callable[[pa.Table], pa.Table]:
     """(query, key, score, _r): the ``k`` best documents of a block for each query of a block, all pairs with a term in common compared.
 
     Terms in a sixteenth of the documents are multiplied as full matrices, the
@@ -60,7 +102,7 @@ def _best(k: int) -> Callable[[pa.Table], pa.Table]:
     schema = pa.schema([("query", pa.int64()), ("key", pa.int64()), ("score", pa.float64()), ("_r", pa.int64())])
 
     def best(pair: pa.Table) -> pa.Table:
-        sides = {r["_asks"]: _unpacked(r) for r in pair.to_pylist()}
+        sides = {r["_asks"]: _weights(r["data"], n_docs) for r in pair.to_pylist()}
         if len(sides) < 2:
             return schema.empty_table()
         (qkeys, qat, qid, qw), (dkeys, dat, did, dw) = sides[True], sides[False]
@@ -132,18 +174,19 @@ def neighbours(docs: DataFrame, key: str, text: str, asks: Column, k: int = 20,
     hands on the ``k`` best documents of a query, so no pair is shuffled.
     """
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.coalesce(asks, F.lit(False)).alias("_asks"))
-    texts = cut(rows.groupBy("key", "_asks").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"), F.count("*").alias("_rows")))
+    texts = stored(rows.groupBy("key", "_asks").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"), F.count("*").alias("_rows")))
     n = texts.filter("not _asks").agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
     seen = texts.select("_asks", F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.when(~F.col("_asks"), 1)).alias("df"), F.count(F.when(F.col("_asks"), 1)).alias("asked"))
     vocabulary = cut(seen.filter(F.col("df") >= min_df).withColumn("id", F.monotonically_increasing_id()))
     size, held, asked = vocabulary.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0)), F.coalesce(F.sum("asked"), F.lit(0))).first()
     d_blocks, q_blocks = max(1, -(-held // BLOCK)), max(1, -(-asked // BLOCK))
     block = F.pmod(F.xxhash64("key"), F.when(F.col("_asks"), q_blocks).otherwise(d_blocks)).cast("int")
-    packed = cut(_weighed(texts, vocabulary.drop("asked"), size).select("key", "_asks", block.alias("_b"), "id", "df").groupBy("_asks", "_b").applyInArrow(_pack(n), "_asks boolean, _b int, keys binary, ats binary, ids binary, ws binary"))
+    known = _weighed(texts, vocabulary.drop("asked"), size).select("_asks", block.alias("_b"), "key", "id", "df")
+    packed = cut(known.mapInArrow(_gather, _PACKED_SQL).groupBy("_asks", "_b").applyInArrow(_pack, _PACKED_SQL))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    what = ("_asks", "keys", "ats", "ids", "ws")
+    what = ("_asks", "data")
     pairs = packed.filter("_asks").select(F.col("_b").alias("_i"), every(d_blocks).alias("_j"), *what).unionByName(packed.filter("not _asks").select(every(q_blocks).alias("_i"), F.col("_b").alias("_j"), *what))
-    met = pairs.groupBy("_i", "_j").applyInArrow(_best(k), "query bigint, key bigint, score double, _r bigint")
+    met = pairs.groupBy("_i", "_j").applyInArrow(_best(k, n), "query bigint, key bigint, score double, _r bigint")
     best = met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("_r"), "key"))).filter(F.col("rank") <= k)
     best = cut(best.select(F.col("query").alias(qkey), F.col("key").alias(key), "score", "rank"))
     # 2k rows at most; the k of a query that are no match of its own are among them
