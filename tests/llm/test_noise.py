@@ -134,3 +134,23 @@ def test_whole_words_come_back(spark):
     assert "oyG" in got[950].text and "misread" in got[950].kinds
     kinds = {(r.row_no, r.page_no): sorted(r.kinds) for r in noise.repair_pages(df, with_text=False).collect()}
     assert kinds == {(r.row_no, r.page_no): sorted(r.kinds) for r in noise.repair_pages(df).collect()}
+
+
+def test_rare_whole_words_come_back(spark):
+    # more than a thousand words are more frequent than the one that was read in other letters
+    letters = "بتجدرسعفقكلمنه"
+    others = [f"{a}{b}{c}{d}" for a in letters for b in letters[:6] for c in letters[:5] for d in letters[:4]]
+    assert len(set(others)) > 1500
+    fill = [(k, " ".join(others), None) for k in range(4)]
+    good = [(100 + k, "قال الشيخ زخرفة ظاهرة للعيان", None) for k in range(2)]
+    bad = [(k, "قال الشيخ oyG ظاهرة للعيان", None) for k in (900, 901, 901)]
+    df = spark.createDataFrame(fill + good + bad, "row_no long, page1 string, page2 string")
+    got = [r for r in noise.repair_pages(df).filter("page_no = 1").collect() if r.row_no >= 900]
+    assert len(got) == 3 and all(r.kinds == ["misread"] and r.text == "قال الشيخ زخرفة ظاهرة للعيان" for r in got)
+
+
+def test_words_told_stand_before_the_next(spark):
+    good = [(k, "قال الشيخ زخرفة ظاهرة للعيان", None) for k in range(9)] + [(20 + k, "زخرفة oyG غريب", None) for k in range(9)] + [(40 + k, "الشيخ زخرفة ilK كبير", None) for k in range(9)]
+    df = spark.createDataFrame([*good, (900, "قال الشيخ oyG ilK للعيان", None)], "row_no long, page1 string, page2 string")
+    got = {r.row_no: r.text for r in noise.repair_pages(df).filter("page_no = 1").collect()}
+    assert got[900] == "قال الشيخ زخرفة ظاهرة للعيان"

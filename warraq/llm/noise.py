@@ -8,11 +8,12 @@ confusion probabilities times the likelihood of corpus n-grams, decoded by
 Viterbi over the candidate words of the page's lines. A word with a single
 candidate cuts the chain, so each run of suspects is decoded between its two
 neighbours, the line before or after included; the best path is the same. A
-whole word read as Latin letters among Arabic ones may stand for any of the
-``WHOLE`` most frequent words: where the words on both sides have been seen
-with one of them far more than with all others, it is restored, else left.
-Unigram and bigram counts of all pages are held in count-min sketches whose
-size follows their measured noise up to a largest one.
+whole word read as Latin letters among Arabic ones may stand for any Arabic
+word of the pages: where the words on both sides have been seen with one of
+them far more than with all others, it is restored, else left. These words are
+looked up once all pages are read, by joins over exact counts. Else unigram
+and bigram counts of all pages are held in count-min sketches whose size
+follows their measured noise up to a largest one.
 
 Defined results: NULL and empty pages have no kinds and the text NULL or
 empty; repeated rows give repeated rows; an empty table gives an empty one.
@@ -33,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warraq.llm import sketch
-from warraq.llm.batches import map_rows
+from warraq.llm.batches import map_rows, partial_counts
+from warraq.session import cut, stored
 
 #: Letters that a recogniser takes for one another, by shape.
 SHAPES = ("بتثني", "جحخ", "درذز", "سش", "صض", "طظ", "عغ", "فق", "مه", "ecо", "tf", "hb", "il1", "un", "کگ", "چجخح", "پبت", "ژزر")
@@ -43,8 +45,8 @@ MARKS = "|~^\\°!¦§¤"
 MISREAD, AS_MARK = 2e-3, 2e-4
 #: Digits that a recogniser reads for letters.
 DIGITS = {"0": "o", "1": "li", "5": "s"}
-#: Words that may stand for one read as a whole in other letters; the share of the evidence that the best of them must have.
-WHOLE, SURE = 1000, 0.6
+#: The share of the evidence that the best word for one read as a whole in other letters must have.
+SURE = 0.6
 #: A line with numbers that recurs at the edges of so many pages, whatever its numbers, is a running line.
 RECURS = 5
 #: Two shapes for one: read -> written.
@@ -211,23 +213,58 @@ def statistics(pages: DataFrame, columns: tuple[str, ...] = ("page1", "page2"),
     return sketch.build(pages.select(*columns), {"words": word_bits, "bigrams": bigram_bits}, _fold)
 
 
-def frequent_words(pages: DataFrame, columns: tuple[str, ...] = ("page1", "page2"), most: int = WHOLE) -> list[str]:
-    """The ``most`` most frequent words in Arabic letters over all pages."""
-    text = F.explode(F.array(*columns)).alias("page")
-    found = F.explode(F.regexp_extract_all("page", F.lit("(?<![^\\s،؛:.()«»])[\u0621-\u064Aپچژگکی]{2,}(?![^\\s،؛:.()«»])"), F.lit(0))).alias("word")
-    counted = pages.select(text).filter("page is not null").select(found).groupBy("word").count()
-    return [w for r in counted.orderBy(F.desc("count"), "word").limit(most).collect() if (w := word_of(r["word"]))]
+_ARABIC_WORD = "^[ء-غف-يپچژگکی]{2,}$"
+
+
+def _count_pairs(sums: dict[str, int], columns: tuple[list, ...]) -> None:
+    """Words in Arabic letters, and pairs of words one of which is such a word, with a tab between them."""
+    is_one = re.compile(_ARABIC_WORD).match
+    chunks: Counter[str] = Counter()
+    pairs: Counter[tuple[str, str]] = Counter()
+    for page in (p for column in columns for p in column if p):
+        parts = page.split()
+        chunks.update(parts)
+        pairs.update(pairwise(parts))
+    known = {c: word_of(c) for c in chunks}
+    ones = {w for w in known.values() if is_one(w)}
+    for c, n in chunks.items():
+        if (w := known[c]) in ones:
+            sums[w] = sums.get(w, 0) + n
+    for (c, d), n in pairs.items():
+        a, b = known[c], known[d]
+        if a and b and (a in ones or b in ones):
+            key = f"{a}\t{b}"
+            sums[key] = sums.get(key, 0) + n
+
+
+def whole_words(places: DataFrame, counts: DataFrame) -> DataFrame:
+    """(before, after, word): the word that stands between two words far more than all others do; no row where none does.
+
+    ``counts`` has (a, b, n) of pairs of words, and of single words with no b. A
+    place meets the words seen on its rarer side first, of which the other side
+    keeps some.
+    """
+    ahead = counts.filter(F.col("b").rlike(_ARABIC_WORD)).select(F.col("a").alias("before"), F.col("b").alias("word"), "n")
+    behind = counts.filter(F.col("b").isNotNull() & F.col("a").rlike(_ARABIC_WORD)).select(F.col("a").alias("word"), F.col("b").alias("after"), F.col("n").alias("m"))
+    words = counts.filter("b is null").select(F.col("a").alias("word"), F.col("n").alias("c"))
+    sized = places.select("before", "after").distinct().join(ahead.groupBy("before").agg(F.count("*").alias("_f")), "before").join(behind.groupBy("after").agg(F.count("*").alias("_p")), "after")
+    sized = cut(sized.select("before", "after", (F.col("_f") <= F.col("_p")).alias("_left")))
+    met = sized.filter("_left").drop("_left").join(ahead, "before").join(behind, ["after", "word"])
+    met = met.unionByName(sized.filter("not _left").drop("_left").join(behind, "after").join(ahead, ["before", "word"]))
+    # whole numbers: their sum doesn't depend on its order
+    share = F.round(F.col("n") * F.col("m") / F.col("c") * 1e9).cast("bigint").alias("share")
+    best = met.join(words, "word").select("before", "after", "word", share).groupBy("before", "after").agg(F.max(F.struct("share", "word")).alias("best"), F.sum("share").alias("all"))
+    return best.filter(F.col("best.share") >= SURE * F.col("all")).select("before", "after", "best.word")
 
 
 class Corrector:
     """Noisy-channel correction of the words of lines."""
 
-    def __init__(self, words: sketch.Sketch, bigrams: sketch.Sketch, ratio: float = 8.0, whole: tuple[str, ...] = ()) -> None:
-        self.words, self.bigrams, self.ratio, self.whole = words, bigrams, ratio, whole
+    def __init__(self, words: sketch.Sketch, bigrams: sketch.Sketch, ratio: float = 8.0) -> None:
+        self.words, self.bigrams, self.ratio = words, bigrams, ratio
         self.total = max(words.count("\0total"), 1)
         self.verdicts: dict[str, tuple[str, list[tuple[str, float]]] | None] = {}
         self.gibberish: dict[str, bool] = {}
-        self.near: dict[tuple[str, str], dict[str, int]] = {}
 
     def count(self, word: str) -> int:
         return self.words.count(word)
@@ -322,24 +359,6 @@ class Corrector:
             known = self.gibberish[word] = 2 * self.words.count(f"\0{word}") >= self.count(word) > 0 and self.words.count(f"\0{word}") > 0
         return known
 
-    def _near(self, left: str, right: str) -> dict[str, int]:
-        """The frequent words seen between ``left`` and ``right``, one of which is empty, with their counts; kept, for the same neighbours come again."""
-        known = self.near.get((left, right))
-        if known is None:
-            if len(self.near) > 20_000:
-                self.near.clear()
-            known = self.near[left, right] = {w: n for w in self.whole if (n := self.bigrams.count(f"{left}{w}{right}"))}
-        return known
-
-    def whole_word(self, before: str, after: str) -> str | None:
-        """The frequent word that stands between two words far more than all others do; None if none does."""
-        if not before or not after:
-            return None
-        behind, ahead = self._near(f"{before} ", ""), self._near("", f" {after}")
-        shares = {w: n * ahead[w] / max(self.count(w), 1) for w, n in behind.items() if w in ahead}
-        best = max(shares, key=lambda w: (shares[w], w), default=None)
-        return best if best and shares[best] >= SURE * sum(shares.values()) else None
-
     def recurs(self, key: str, line: str) -> bool:
         """Whether an edge line recurs on many pages, most of them with other numbers."""
         n = self.count(f"\2{key}")
@@ -358,15 +377,17 @@ class Corrector:
             best = [max(((s + p + self._bigram(path[-1], w), [*path, w]) for s, path in best), key=lambda x: x[0]) for w, p in options]
         return max(best, key=lambda x: x[0])[1]
 
-    def correct(self, chunks: list[str], first_only: bool = False) -> dict[int, str]:
+    def correct(self, chunks: list[str], first_only: bool = False, gaps: list[tuple] | None = None) -> dict[int, str]:
         """place -> correction, for the words found misread; what can't be restored maps to itself.
 
         ``first_only``: stop at the first one, where only its being there is asked for.
+        ``gaps`` gets (before, after, level, form, read) of each whole word read in other letters, which maps to a tab
+        until its word is known; ``level`` gaps stand right before it.
         """
         get, suspect = self.verdicts.get, self.suspect
         hits = [(k, v) for k, c in enumerate(chunks) if (v := get(c, 0)) is not None]
         out: dict[int, str] = {}
-        last = -1
+        last, gap, level = -1, -1, 0
         for k, v in hits:
             if v == 0 and (v := suspect(chunks[k])) is None or k <= last:
                 continue
@@ -377,9 +398,12 @@ class Corrector:
                 near = "".join(chunks[max(0, k - 1) : k] + chunks[k + 1 : k + 2])
                 if _MARKED.search(word) or _IS_ARABIC.search(near):
                     out[k] = chunks[k]
-                    if self.whole and not first_only and _IS_LATIN.match(word) and 0 < k < len(chunks) - 1:
-                        one = self.whole_word(word_of(out.get(k - 1, chunks[k - 1])), word_of(chunks[k + 1]))
-                        out[k] = chunks[k].lower().replace(word, one) if one else chunks[k]
+                    if gaps is not None and not first_only and _IS_LATIN.match(word) and 0 < k < len(chunks) - 1:
+                        before, after = word_of(chunks[k - 1] if gap == k - 1 else out.get(k - 1, chunks[k - 1])), word_of(chunks[k + 1])
+                        if before and after:
+                            level = level + 1 if gap == k - 1 else 0
+                            gaps.append((before, after, level, chunks[k].lower().replace(word, "\t"), chunks[k]))
+                            gap, out[k] = k, "\t"
                 continue
             # the run of suspects with a known word on either side
             run, lattice = [k], [options]
@@ -423,14 +447,14 @@ class Corrector:
                 at = m.end()
         return ("".join([*out, text[at:]]) if out else text), cut
 
-    def repair(self, page: str, with_text: bool = True) -> tuple[str | None, list[str]]:
-        """(continuous text, kinds of damage) of a page; the text only if asked for."""
+    def repair(self, page: str, with_text: bool = True, gaps: list[tuple] | None = None) -> tuple[str | None, list[str]]:
+        """(continuous text, kinds of damage) of a page; the text only if asked for, with a tab for each of ``gaps``."""
         text, header, number = running_lines(page, self.recurs)
         text, cut = self.join_cuts(text)
         lines = text.split("\n")
         parts = [line.split() for line in lines]
         # the page as one row of words: a line's first and last words have neighbours too
-        fixed = self.correct([c for some in parts for c in some], first_only=not with_text)
+        fixed = self.correct([c for some in parts for c in some], first_only=not with_text, gaps=gaps)
         paragraphs: list[list[str]] = [[]]
         if with_text:
             width = max(map(len, lines), default=0)
@@ -450,40 +474,73 @@ class Corrector:
 _CORRECTORS: dict[str, Corrector] = {}
 
 
-def _corrector(name: str, packed: Callable[[], dict[str, tuple[int, bytes]]], whole: tuple[str, ...]) -> Corrector:
+def _corrector(name: str, packed: Callable[[], dict[str, tuple[int, bytes]]]) -> Corrector:
     """The corrector of one run, one for each worker process: what it learned about words serves its later tasks."""
     if name not in _CORRECTORS:
         _CORRECTORS.clear()
         sketches = {k: sketch.Sketch.unpacked(*x) for k, x in packed().items()}
-        _CORRECTORS[name] = Corrector(sketches["words"], sketches["bigrams"], whole=whole)
+        _CORRECTORS[name] = Corrector(sketches["words"], sketches["bigrams"])
     return _CORRECTORS[name]
 
 
+_GAP = "array<struct<before: string, after: string, level: int, form: string, read: string>>"
+_GAP_ARROW = pa.list_(pa.struct([("before", pa.string()), ("after", pa.string()), ("level", pa.int32()), ("form", pa.string()), ("read", pa.string())]))
+
+
 def repair_pages(pages: DataFrame, key: str = "row_no", columns: tuple[str, ...] = ("page1", "page2"), with_text: bool = True, stats: dict[str, sketch.Sketch] | None = None) -> DataFrame:
     """(key, page_no, kinds, text) of every page of ``pages``; ``text`` only if asked for."""
     stats = stats or statistics(pages, columns)
-    # only a text asks for them
-    whole = tuple(frequent_words(pages, columns)) if with_text else ()
     shared = pages.sparkSession.sparkContext.broadcast({k: s.packed() for k, s in stats.items()})
     name = uuid.uuid4().hex
 
     def make() -> Callable[..., tuple]:
-        corrector = _corrector(name, lambda: shared.value, whole)
+        corrector = _corrector(name, lambda: shared.value)
 
         def each(keys: list, *texts: list) -> tuple:
-            out_keys, numbers, kinds, repaired = [], [], [], []
+            out_keys, numbers, kinds, repaired, gaps = [], [], [], [], []
             for no, column in enumerate(texts, 1):
                 for k, page in zip(keys, column):
-                    text, some = (page, []) if not page else corrector.repair(page, with_text)
+                    own: list[tuple] = []
+                    text, some = (page, []) if not page else corrector.repair(page, with_text, own)
                     out_keys.append(k)
                     numbers.append(no)
                     kinds.append(some)
                     repaired.append(text)
-            return (out_keys, numbers, kinds, repaired) if with_text else (out_keys, numbers, kinds)
+                    gaps.append([dict(zip(("before", "after", "level", "form", "read"), g)) for g in own])
+            return (out_keys, numbers, kinds, repaired, gaps) if with_text else (out_keys, numbers, kinds)
 
         return each
 
-    schema = f"`{key}` bigint, page_no int, kinds array<string>" + ", text string" * with_text
-    arrow = [(key, pa.int64()), ("page_no", pa.int32()), ("kinds", pa.list_(pa.string()))] + [("text", pa.string())] * with_text
+    schema = f"`{key}` bigint, page_no int, kinds array<string>" + f", text string, _gaps {_GAP}" * with_text
+    arrow = [(key, pa.int64()), ("page_no", pa.int32()), ("kinds", pa.list_(pa.string()))] + [("text", pa.string()), ("_gaps", _GAP_ARROW)] * with_text
     rows = pages.select(F.col(key).cast("bigint").alias(key), *columns)
-    return map_rows(rows, make, schema, pa.schema(arrow))
+    found = map_rows(rows, make, schema, pa.schema(arrow))
+    return _filled(found, pages.select(*columns)) if with_text else found
+
+
+def _filled(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """``found`` without ``_gaps``, with their words in the place of the tabs of ``text``; repeated rows stay."""
+    found = stored(found.withColumn("_id", F.monotonically_increasing_id()))
+    some = found.filter(F.size("_gaps") > 0)
+    gaps = cut(some.select("_id", F.posexplode("_gaps").alias("pos", "g")).select("_id", "pos", "g.*"))
+    most = gaps.agg(F.max("level")).first()[0]
+    out = found.drop("_gaps", "_id")
+    if most is None:
+        return out
+    key, is_pair = F.col("key"), F.col("key").contains("\t")
+    counts = stored(partial_counts(pages, _count_pairs).select(F.when(is_pair, F.substring_index("key", "\t", 1)).otherwise(key).alias("a"), F.when(is_pair, F.substring_index("key", "\t", -1)).alias("b"), "n"))
+    told = None
+    for level in range(most + 1):
+        here = gaps.filter(F.col("level") == level)
+        if told is not None:
+            # what stands before is the word told for the gap there, if there is one
+            last = told.filter((F.col("level") == level - 1) & F.col("form").contains("\t")).select("_id", (F.col("pos") + 1).alias("pos"), F.col("word").alias("_last"))
+            here = here.join(last, ["_id", "pos"], "left").withColumn("before", F.coalesce("_last", "before")).drop("_last")
+            here = cut(here)
+        here = cut(here.join(whole_words(here, counts), ["before", "after"], "left"))
+        told = here if told is None else told.unionByName(here)
+    fill = F.when(F.col("word").isNull(), F.col("read")).otherwise(F.replace("form", F.lit("\t"), F.col("word")))
+    fills = told.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("pos", fill.alias("fill")))).alias("fills"))
+    text = F.array_join(F.zip_with(F.split("text", "\t"), "fills", lambda t, f: F.concat(t, F.coalesce(f["fill"], F.lit("")))), "")
+    filled = some.join(fills, "_id").withColumn("text", text).select(*out.columns)
+    return found.filter(F.size("_gaps") == 0).select(*out.columns).unionByName(filled)
